@@ -4,20 +4,52 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
 from .chat_format import format_chats, loss_text, parse_chat
 from .common import staged, table
+from .decontaminate import find_leaks
+from .html_text import extract_text
 from .kd_shards import kd_shards
+from .language_id import identify_language
+from .secret_scan import scan_secrets
 from .warc import read_warc, write_warc
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Documents that no model may learn from."""
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = bpe.digests(table(spark, sf_dir, "documents"), path=tokenizer_path(), pattern=tokenizer_pattern())
+    return made.withColumnRenamed("id", "doc_id")
+
+
+def tokenizer_path(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def tokenizer_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = kd_shards(table(spark, sf_dir, "documents"), shards=24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = extract_text(table(spark, sf_dir, "pages"))
+    return made.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
@@ -34,6 +66,11 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = scan_secrets(table(spark, sf_dir, "documents"))
+    return made.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_inferred")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_warc(table(spark, sf_dir, "pages"))
     back = read_warc(spark, path)
@@ -48,6 +85,18 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    made = identify_language(docs, trains=~held_out()).withColumnRenamed("id", "doc_id")
+    return made.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    leaks = F.size("leaked_items") > 0
+    return found.select("doc_id", leaks.alias("contaminated"), F.array_join(F.array_sort(F.array_distinct("leaked_items")).cast("array<string>"), ",").alias("leaked_items"), "coverage", "longest_tile")
+
+
 OP6_SQL = r"""
 with rows as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -74,9 +123,14 @@ from k
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_byte_bpe": op2_byte_bpe,
     "op4_kd_shards": op4_kd_shards,
+    "op5_html_text": op5_html_text,
     "op6_chat_format": op6_chat_format,
+    "op7_secret_scan": op7_secret_scan,
     "op8_warc": op8_warc,
+    "op9_language_id": op9_language_id,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLES: dict[str, str] = {"op6_chat_format": OP6_SQL, "op8_warc": OP8_SQL}
