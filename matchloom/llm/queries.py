@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
+from .block_knn import nearest
 from .chat_format import format_chats, loss_text, parse_chat
 from .common import staged, table
 from .decontaminate import find_leaks
 from .html_text import extract_text
 from .kd_shards import kd_shards
 from .language_id import identify_language
+from .ngram_join import link_components
 from .secret_scan import scan_secrets
 from .warc import read_warc, write_warc
 
@@ -23,11 +25,21 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
+def op1_block_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    found = nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = bpe.digests(table(spark, sf_dir, "documents"), path=tokenizer_path(), pattern=tokenizer_pattern())
     return made.withColumnRenamed("id", "doc_id")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_components(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def tokenizer_path(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
     import public_tokenizers
 
@@ -97,6 +109,36 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", leaks.alias("contaminated"), F.array_join(F.array_sort(F.array_distinct("leaked_items")).cast("array<string>"), ",").alias("leaked_items"), "coverage", "longest_tile")
 
 
+OP1_SQL = """
+with v as (
+  select vec_id, cast(embedding as double[]) as e from embeddings
+  where vec_id is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), p as (
+  select q.vec_id as query_id, c.vec_id as vec_id, list_inner_product(q.e, c.e) as score
+  from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id and len(c.e) = len(q.e)
+), r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from p)
+select query_id, rank, vec_id, score from r where rank <= 20
+"""
+
+OP3_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as t from documents
+), s as (
+  select distinct doc_id, sh from (
+    select doc_id, unnest(case when len(t) >= 5 then list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i+4], ' ')) when len(t) > 0 then [array_to_string(t, ' ')] else [] end) as sh from w)
+), n as (select doc_id, count(*) as n from s group by doc_id),
+pairs as (
+  select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id group by all
+), links as (
+  select a, b from pairs join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * i >= 80 * (na.n + nb.n - i)
+), reach as (
+  select doc_id, doc_id as other from n union select reach.doc_id, links.b from reach join links on reach.other = links.a
+)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce((select min(other) from reach where reach.doc_id = d.doc_id), d.doc_id) as component_id
+from documents d left join n using (doc_id)
+"""
+
 OP6_SQL = r"""
 with rows as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -123,7 +165,9 @@ from k
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_block_knn": op1_block_knn,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_ngram_join": op3_ngram_join,
     "op4_kd_shards": op4_kd_shards,
     "op5_html_text": op5_html_text,
     "op6_chat_format": op6_chat_format,
@@ -133,4 +177,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLES: dict[str, str] = {"op6_chat_format": OP6_SQL, "op8_warc": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_block_knn": OP1_SQL, "op3_ngram_join": OP3_SQL, "op6_chat_format": OP6_SQL, "op8_warc": OP8_SQL}
