@@ -24,10 +24,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
+MAX_CONTEXTS = 16_000
 
 
 @dataclass
@@ -59,7 +61,7 @@ def training_sample(docs: DataFrame, trains: Column, *, id_col: str, text_col: s
     return [(k, text) for k in sorted(found) for _, text in sorted(found[k])[:max_rows]]
 
 
-def train(sample: list[tuple[str, str]], *, order: int = 3, max_contexts: int = 30_000, least: int = 4) -> PpmModel | None:
+def train(sample: list[tuple[str, str]], *, order: int = 3, max_contexts: int = MAX_CONTEXTS, least: int = 4) -> PpmModel | None:
     """Fit the context trees of all languages of the sample."""
     if not sample:
         return None
@@ -119,7 +121,7 @@ def train(sample: list[tuple[str, str]], *, order: int = 3, max_contexts: int =
     return PpmModel(languages, symbol, size, order, node, np.concatenate(costs).astype(np.float32))
 
 
-def code_lengths(model: PpmModel, text: str, step: int = 1 << 20) -> np.ndarray:
+def code_lengths(model: PpmModel, text: str, step: int = 1 << 18) -> np.ndarray:
     """Bits to code the text under each language."""
     raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
     lead = model.symbol[np.full(model.order, 10, np.uint8)]
@@ -149,34 +151,78 @@ def identify_language(
     order: int = 3,
     max_rows: int = 400,
     max_chars: int = 20_000,
-    max_contexts: int = 30_000,
+    max_contexts: int = MAX_CONTEXTS,
 ) -> DataFrame:
     """Return ``(id, lang_pred, score, bits_per_byte)`` for every row of ``docs``.
 
     ``trains`` tells which rows may be learned from (default: all labelled rows).
     ``score`` is the posterior of the winner when all languages are equally likely.
     """
-    import pandas as pd
-
     trains = F.lit(True) if trains is None else trains
     sample = training_sample(docs, trains, id_col=id_col, text_col=text_col, lang_col=lang_col, max_rows=max_rows, max_chars=max_chars)
-    model = train(sample, order=order, max_contexts=max_contexts)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(train(sample, order=order, max_contexts=max_contexts))
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = sent.value
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for text, letters in zip(batch["text"], batch["letters"], strict=True):
-                if m is None or not letters:
-                    out.append((UNKNOWN, 0.0, None))
-                    continue
-                bits = code_lengths(m, text)
-                best = int(bits.argmin())
-                out.append((m.languages[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum()), float(bits[best] / len(text.encode("utf-8", "replace")))))
-            yield pd.DataFrame({"id": batch["id"], "lang_pred": [x[0] for x in out], "score": [x[1] for x in out], "bits_per_byte": pd.array([x[2] for x in out], "Float64")})
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.withColumn("letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+            yield pd.concat([batch[["id"]], predict(sent.value, batch["text"], batch["letters"])], axis=1)
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), _letters(text_col).alias("letters"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInPandas(predict, f"id {kind}, lang_pred string, score double, bits_per_byte double")
+    return rows.mapInPandas(run, f"id {kind}, lang_pred string, score double, bits_per_byte double")
+
+
+def _letters(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False))
+
+
+def predict(model: PpmModel | None, texts: pd.Series, letters: pd.Series) -> pd.DataFrame:
+    """The columns ``lang_pred, score, bits_per_byte`` for a batch of texts."""
+    out = []
+    for text, ok in zip(texts, letters, strict=True):
+        if model is None or not ok:
+            out.append((UNKNOWN, 0.0, float("nan")))
+            continue
+        bits = code_lengths(model, text)
+        best = int(bits.argmin())
+        score = 1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum()
+        out.append((model.languages[best], float(score), float(bits[best] / len(text.encode("utf-8", "replace")))))
+    made = pd.DataFrame(out, columns=["lang_pred", "score", "bits_per_byte"], index=texts.index)
+    made["bits_per_byte"] = made["bits_per_byte"].astype("Float64")
+    return made
+
+
+def keep_identified(
+    docs: DataFrame,
+    *,
+    trains: Column | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    order: int = 3,
+    max_rows: int = 400,
+    max_chars: int = 20_000,
+    max_contexts: int = MAX_CONTEXTS,
+    raw_bits: float = 8.0,
+) -> DataFrame:
+    """The rows of ``docs`` whose language can be told, with all columns and ``lang_pred`` added.
+
+    A row goes when its text is null or has no letter, or when the winning model takes
+    ``raw_bits`` or more for a byte, no less than raw bytes. Without any labelled row nothing
+    can be told, and every row with letters stays as ``und``.
+    """
+    trains = F.lit(True) if trains is None else trains
+    sample = training_sample(docs, trains, id_col=id_col, text_col=text_col, lang_col=lang_col, max_rows=max_rows, max_chars=max_chars)
+    sent = docs.sparkSession.sparkContext.broadcast(train(sample, order=order, max_contexts=max_contexts))
+    named = [f"c{i}" for i in range(len(docs.columns))]  # any names, clashing ones too
+    at = named[docs.columns.index(text_col)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = predict(sent.value, batch[at], batch["letters"])
+            batch["letters"] = made["lang_pred"]
+            yield batch[~(made["bits_per_byte"] >= raw_bits).fillna(False).astype(bool)]
+
+    rows = docs.toDF(*named)
+    rows = rows.withColumn("letters", _letters(at)).where("letters")
+    schema = rows.drop("letters").schema.add("letters", "string")
+    return rows.mapInPandas(run, schema).toDF(*docs.columns, "lang_pred")
