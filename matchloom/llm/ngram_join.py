@@ -8,8 +8,9 @@ How pairs are found:
 
 1. Each task hashes the shingles of its documents with array code: 64-bit hashes of words,
    then of five words in a row. Documents with equal sets are one class from here on.
-2. Shingles are hashed into 64 groups; the counts by group are a point. The overlap of two
-   sets is at most the sum of their coordinate minima.
+2. Shingles are hashed into groups, about eight to a group; the counts by group are a point. The
+   overlap of two sets is at most the sum of their coordinate minima. The number of groups
+   is a power of two, so points of sets of different sizes are made alike by folding.
 3. Documents meet in the buckets of the shingles of their prefixes: among sets in one fixed
    order, two that link share one of their first ``n - ceil(0.8 n) + 1`` shingles. The order
    puts shingles that many documents hold last, so frequent passages fill no buckets. It is a
@@ -48,9 +49,12 @@ from pyspark.sql.window import Window
 from .common import staged
 from .components import connected_components
 
-GROUPS = 64
+#: Least number of groups, and shingles to a group.
+GROUPS, LOAD = 16, 8
 #: Share of a task's documents from which on a shingle counts as frequent there.
-FREQUENT = 0.005
+FREQUENT = 0.002
+#: Buckets of more classes get a tree.
+SMALL = 32
 #: So many keys at most are broadcast (16 MB); beyond, the same join shuffles.
 BROADCAST_KEYS = 2_000_000
 FREQUENT_KEYS = 2_000_000
@@ -216,12 +220,12 @@ def link_components(
                     at = np.minimum(np.searchsorted(late, own), max(len(late) - 1, 0))
                     last = late[at] == own if len(late) else np.zeros(len(own), bool)
                     prefix = np.concatenate([own[~last], own[last]])[: limits.prefix(len(own))].view(np.int64)
-                    point = np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+                    point = counts(own)
                 yield i, len(own), d, prefix, point
 
         yield from _batched(each(), ["id", "n", "class", "prefix", "point"])
 
-    sketched = staged(rows.mapInPandas(sketch, "id long, n long, class long, prefix array<long>, point array<int>"), "sketch")
+    sketched = staged(rows.mapInPandas(sketch, "id long, n long, class long, prefix array<long>, point binary"), "sketch")
     entries = sketched.where("prefix is not null").select("class", F.explode("prefix").alias("shingle"))
     bucket = Window.partitionBy("shingle")
     shared = staged(
@@ -259,59 +263,123 @@ def link_components(
     return linked.unionByName(alone)
 
 
+def counts(own: np.ndarray) -> bytes:
+    """The point of a set: counts by group as unsigned 16-bit numbers, finer for larger sets."""
+    bits = max(GROUPS, 1 << max(0, (len(own) - 1) // LOAD).bit_length()).bit_length() - 1
+    point = np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return point.astype(np.uint16).tobytes()
+
+
+def folded(points: np.ndarray, size: int) -> np.ndarray:
+    """Points of more groups as points of ``size`` groups."""
+    return points.reshape(len(points), size, -1).sum(2) if points.shape[1] != size else points
+
+
+def room(limits: Limits, pa: list[bytes], pb: list[bytes], na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """For each pair of sets, whether their points leave enough room for an overlap."""
+    ok = (na * limits.den >= nb * limits.num) & (nb * limits.den >= na * limits.num)
+    for i in np.flatnonzero(ok).tolist():
+        x, y = np.frombuffer(pa[i], np.uint16), np.frombuffer(pb[i], np.uint16)
+        if len(x) != len(y):
+            size = min(len(x), len(y))
+            x, y = x.reshape(size, -1).sum(1), y.reshape(size, -1).sum(1)
+        ok[i] = limits.enough(int(np.minimum(x, y).sum()), int(na[i] + nb[i]))
+    return ok
+
+
 def _bounded(pairs: DataFrame, classes: DataFrame, limits: Limits) -> DataFrame:
     """The pairs whose sizes and points leave enough room for an overlap."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ok = room(limits, batch["pa"].tolist(), batch["pb"].tolist(), batch["na"].to_numpy(np.int64), batch["nb"].to_numpy(np.int64))
+            yield batch.loc[ok, ["a", "b"]]
+
     side = lambda s: classes.select(F.col("class").alias(s), F.col("n").alias(f"n{s}"), F.col("point").alias(f"p{s}"))
-    bound = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
-    return met.where((limits.num + limits.den) * bound >= limits.num * (F.col("na") + F.col("nb"))).select("a", "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
 
 
 def _tree_pairs(rows: DataFrame, limits: Limits) -> DataFrame:
     """Pairs ``(a, b)`` of classes of one bucket that neither the tree nor a component rules out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def pairs() -> Iterator[tuple[int, int]]:
-            held: list[pd.DataFrame] = []
-            for batch in batches:
-                while len(batch):
-                    last = held[-1]["shingle"].iloc[-1] if held else batch["shingle"].iloc[0]
-                    own = int(np.searchsorted(batch["shingle"].to_numpy(), last, side="right"))
-                    if own:
-                        held.append(batch.iloc[:own])
-                    batch = batch.iloc[own:]
-                    if len(batch):
-                        yield from CountTree(pd.concat(held), limits).pairs()
-                        held = []
-            if held:
-                yield from CountTree(pd.concat(held), limits).pairs()
-
-        found: set[tuple[int, int]] = set()  # a pair may meet in many buckets
-        for pair in pairs():
-            found.add(pair)
-            if len(found) >= 200_000:
-                yield pd.DataFrame(sorted(found), columns=["a", "b"])
-                found = set()
-        yield pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+        done: set[tuple[int, int]] = set()  # pairs that met before, the latest of them
+        for rows in _whole_buckets(batches):
+            shingle, n = rows["shingle"].to_numpy(), rows["n"].to_numpy(np.int64)
+            start = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
+            size = np.diff(np.concatenate([start, [len(rows)]]))
+            first, second = _inner_pairs(start[size <= SMALL], size[size <= SMALL])
+            cls, part = rows["class"].to_numpy(np.int64), rows["component"].to_numpy(np.int64)
+            points = rows["point"].tolist()
+            ok = part[first] != part[second]
+            first, second = first[ok], second[ok]
+            low, high = np.minimum(cls[first], cls[second]), np.maximum(cls[first], cls[second])
+            _, one = np.unique(np.stack([low, high], 1), axis=0, return_index=True)
+            keys = list(zip(low[one].tolist(), high[one].tolist(), strict=True))
+            one = one[[k not in done for k in keys]] if len(one) else one
+            if len(done) > 300_000:
+                done.clear()
+            done.update(keys)
+            first, second = first[one], second[one]
+            ok = room(limits, [points[i] for i in first], [points[i] for i in second], n[first], n[second])
+            yield pd.DataFrame({"a": np.minimum(cls[first], cls[second])[ok], "b": np.maximum(cls[first], cls[second])[ok]})
+            for a, c in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+                found = set(bucket_pairs(cls[a : a + c], n[a : a + c], part[a : a + c], points[a : a + c], limits))
+                yield pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
     dealt = rows.repartition("shingle").sortWithinPartitions("shingle", "class")
     return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
+def _whole_buckets(batches: Iterator[pd.DataFrame], least: int = 20_000) -> Iterator[pd.DataFrame]:
+    """Rows in order of their shingle, cut between shingles."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= least and (whole := pd.concat(held, ignore_index=True))["shingle"].iloc[0] != whole["shingle"].iloc[-1]:
+            cut = int(np.searchsorted(whole["shingle"].to_numpy(), whole["shingle"].iloc[-1]))
+            yield whole.iloc[:cut]
+            held = [whole.iloc[cut:]]
+            size = len(held[0])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _inner_pairs(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs within each short run."""
+    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for c in np.unique(size).tolist():
+        x, y = np.triu_indices(c, 1)
+        at = start[size == c][:, None]
+        first.append((at + x).ravel())
+        second.append((at + y).ravel())
+    return np.concatenate(first), np.concatenate(second)
+
+
+def bucket_pairs(cls: np.ndarray, n: np.ndarray, part: np.ndarray, points: list[bytes], limits: Limits) -> Iterator[tuple[int, int]]:
+    """The pairs of a large bucket, by a tree for each number of groups with the next finer points folded in."""
+    groups = np.array([len(p) // 2 for p in points])
+    for size in np.unique(groups).tolist():
+        at = np.flatnonzero((groups == size) | (groups == 2 * size))
+        matrix = np.stack([folded(np.frombuffer(points[i], np.uint16).astype(np.int64)[None], size)[0] for i in at])
+        own = dict(zip(cls[at].tolist(), (groups[at] == size).tolist(), strict=True))
+        for a, b in CountTree(matrix, n[at], cls[at], part[at], limits).pairs():
+            if own[a] or own[b]:
+                yield a, b
+
+
 class CountTree:
     """An R-tree, packed bottom-up, over the count vectors of a bucket."""
 
-    def __init__(self, rows: pd.DataFrame, limits: Limits, fill: int = 16) -> None:
+    def __init__(self, points: np.ndarray, n: np.ndarray, cls: np.ndarray, part: np.ndarray, limits: Limits, fill: int = 16) -> None:
         self.limits = limits
-        points = np.stack(rows["point"].to_numpy()).astype(np.int64)
-        n = rows["n"].to_numpy(np.int64)
-        spread = points.var(0).argsort()[::-1][:3] if len(points) > fill else np.zeros(0, int)
+        spread = points.var(0).argsort()[::-1][:3]
         order = np.lexsort((*(points[:, d] for d in spread), n))
-        self.points, self.n = points[order], n[order]
-        self.cls, self.part = rows["class"].to_numpy(np.int64)[order], rows["component"].to_numpy(np.int64)[order]
+        self.points, self.n, self.cls, self.part = points[order], n[order], cls[order], part[order]
         starts = np.arange(0, len(n), fill)
         #: Levels of boxes, leaves first: greatest counts, least and greatest size, the only component or -1 and children.
-        self.levels = [self._boxes(starts, self.points, self.n, self.n, self.part, np.ones(len(n), bool))]
+        self.levels = [self._boxes(starts, self.points, self.n, self.n, self.part, np.ones(len(self.n), bool))]
         while len(self.levels[-1]["low"]) > 1:
             below = self.levels[-1]
             starts = np.arange(0, len(below["low"]), fill)
