@@ -24,7 +24,7 @@ def _hang(edges: DataFrame, larger: bool) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """``(node, component)`` for every node of the edges ``(u, v)``; the component is its least node.
+    """``(node, component)`` for the nodes of the edges ``(u, v)``; the component is its least node, which has no row.
 
     Large-star and small-star steps alternate until nothing changes (a number of rounds
     that grows with the logarithm of the graph); each round is written out, so the

@@ -8,23 +8,25 @@ How pairs are found:
 
 1. Each task hashes the shingles of its documents with array code: 64-bit hashes of words,
    then of five words in a row. Documents with equal sets are one class from here on.
-2. Shingles are hashed into groups, about eight to a group; the counts by group are a point. The
+2. Shingles are hashed into groups, about one to a group; the counts by group are a point. The
    overlap of two sets is at most the sum of their coordinate minima. The number of groups
    is a power of two, so points of sets of different sizes are made alike by folding.
 3. Documents meet in the buckets of the shingles of their prefixes: among sets in one fixed
    order, two that link share one of their first ``n - ceil(0.8 n) + 1`` shingles. The order
    puts shingles that many documents hold last, so frequent passages fill no buckets. It is a
    matter of cost alone: any fixed order gives all links.
-4. First every class of a bucket is tried against the bucket's least class. Groups of copies,
-   however large, become connected this way in linear work.
-5. Then buckets that hold classes of different components build an R-tree over the points
-   of their classes and join it with itself: a pair of boxes whose greatest possible
-   overlap is too small for their least sizes is cut off with all below, and so are pairs
-   that are connected already. What survives is verified.
+4. Every bucket has a centre, the class whose prefix is shared most. The classes that meet a
+   centre in any bucket are its family, so two classes that share a bucket are in one family, and
+   there are no more family members than bucket entries. All are tried against their centre
+   first; groups of copies, however large, become connected this way in linear work.
+5. Then families with classes of different components build an R-tree over the points of their
+   classes and join it with itself: a pair of boxes whose greatest possible overlap is too
+   small for their least sizes is cut off with all below, and so are pairs that are connected
+   already. Large families are dealt out by pairs of chunks. What survives is verified.
 6. Verifying compares whole sets. They are hashed again for the classes concerned alone, so
    the sets of the other documents are never written out.
 
-The R-tree prunes within buckets rather than over the whole table: for unrelated texts of
+The R-tree prunes within families rather than over the whole table: for unrelated texts of
 some hundred words, points are too alike for a box to exclude them, and a single
 tree over all documents would compare nearly all pairs.
 
@@ -38,6 +40,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,11 +53,13 @@ from .common import staged
 from .components import connected_components
 
 #: Least number of groups, and shingles to a group.
-GROUPS, LOAD = 16, 8
+GROUPS, LOAD = 16, 1
+#: Shingles to a group in the tree; its leaves are tried at the full number of groups.
+TREE_LOAD = 8
 #: Share of a task's documents from which on a shingle counts as frequent there.
 FREQUENT = 0.002
-#: Buckets of more classes get a tree.
-SMALL = 32
+#: Larger families are dealt out by pairs of chunks of this size.
+CHUNK_CLASSES = 3000
 #: So many keys at most are broadcast (16 MB); beyond, the same join shuffles.
 BROADCAST_KEYS = 2_000_000
 FREQUENT_KEYS = 2_000_000
@@ -229,30 +234,26 @@ def link_components(
     entries = sketched.where("prefix is not null").select("class", F.explode("prefix").alias("shingle"))
     bucket = Window.partitionBy("shingle")
     shared = staged(
-        entries.withColumns({"least": F.min("class").over(bucket), "most": F.max("class").over(bucket)})
+        entries.withColumns({"least": F.min("class").over(bucket), "most": F.max("class").over(bucket), "size": F.count("*").over(bucket)})
         .where("least <> most")
-        .select("shingle", "class", "least")
+        .select("shingle", "class", "size")
         .distinct(),
         "shared",
     )
+    shares = shared.groupBy("class").agg(F.sum("size").alias("met"))
     classes = sketched.where("n > 0").groupBy("class").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("point").alias("point"))
-    concerned = staged(classes.join(shared.select("class").distinct(), "class", "left_semi"), "classes")
+    concerned = staged(classes.join(shares, "class").withColumn("pull", F.col("met") / (F.col("n") - F.ceil(F.col("n") * limits.num / limits.den) + 1)).drop("met"), "classes")
+    central = F.max(F.struct("pull", "class")).over(bucket)
+    families = staged(
+        shared.select("shingle", "class").join(concerned.select("class", "pull"), "class").select("class", central["class"].alias("centre")).distinct(),
+        "families",
+    )
 
-    stars = shared.where("class <> least").select(F.col("least").alias("a"), F.col("class").alias("b")).distinct()
+    stars = families.where("class <> centre").select(F.col("centre").alias("a"), F.col("class").alias("b"))
     first = _verified(rows, concerned, _bounded(stars, concerned, limits), limits, n)
     joined = connected_components(first)
-    named = concerned.join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    named = staged(named, "named")
-    mixed_up = (
-        shared.select("shingle", "class")
-        .join(named.select("class", "component"), "class")
-        .withColumns({"least": F.min("component").over(bucket), "most": F.max("component").over(bucket)})
-        .where("least <> most")
-        .select("shingle", "class")
-        .join(named.select("class", "n", "component", "point"), "class")
-    )
-    tried = _tree_pairs(mixed_up, limits)
-    second = _verified(rows, concerned, tried, limits, n)
+    named = concerned.join(joined.withColumnRenamed("node", "class"), "class", "left").select("class", "n", "point", F.coalesce("component", "class").alias("component"))
+    second = _verified(rows, concerned, _tree_pairs(families, staged(named, "named"), limits), limits, n)
     joined = connected_components(first.unionByName(second))
 
     ids = sketched.select("id", "n", "class").where("n > 0")
@@ -264,26 +265,30 @@ def link_components(
 
 
 def counts(own: np.ndarray) -> bytes:
-    """The point of a set: counts by group as unsigned 16-bit numbers, finer for larger sets."""
+    """The point of a set: counts by group, compressed; at about one shingle to a group they stay far below 255."""
     bits = max(GROUPS, 1 << max(0, (len(own) - 1) // LOAD).bit_length()).bit_length() - 1
     point = np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-    return point.astype(np.uint16).tobytes()
+    if point.max(initial=0) > 255:
+        raise ValueError("shingle hashes are not spread")
+    return zlib.compress(point.astype(np.uint8).tobytes(), 1)
+
+
+def point_of(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.uint8)
 
 
-def folded(points: np.ndarray, size: int) -> np.ndarray:
-    """Points of more groups as points of ``size`` groups."""
-    return points.reshape(len(points), size, -1).sum(2) if points.shape[1] != size else points
+def folded(point: np.ndarray, size: int) -> np.ndarray:
+    """A point of more groups as one of ``size`` groups."""
+    return point.astype(np.uint16) if len(point) == size else point.reshape(size, -1).sum(1, dtype=np.uint16)
 
 
 def room(limits: Limits, pa: list[bytes], pb: list[bytes], na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """For each pair of sets, whether their points leave enough room for an overlap."""
     ok = (na * limits.den >= nb * limits.num) & (nb * limits.den >= na * limits.num)
     for i in np.flatnonzero(ok).tolist():
-        x, y = np.frombuffer(pa[i], np.uint16), np.frombuffer(pb[i], np.uint16)
-        if len(x) != len(y):
-            size = min(len(x), len(y))
-            x, y = x.reshape(size, -1).sum(1), y.reshape(size, -1).sum(1)
-        ok[i] = limits.enough(int(np.minimum(x, y).sum()), int(na[i] + nb[i]))
+        x, y = point_of(pa[i]), point_of(pb[i])
+        size = min(len(x), len(y))
+        ok[i] = limits.enough(int(np.minimum(folded(x, size), folded(y, size)).sum()), int(na[i] + nb[i]))
     return ok
 
 
@@ -299,84 +304,52 @@ def _bounded(pairs: DataFrame, classes: DataFrame, limits: Limits) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a long, b long")
 
 
-def _tree_pairs(rows: DataFrame, limits: Limits) -> DataFrame:
-    """Pairs ``(a, b)`` of classes of one bucket that neither the tree nor a component rules out."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        done: set[tuple[int, int]] = set()  # pairs that met before, the latest of them
-        for rows in _whole_buckets(batches):
-            shingle, n = rows["shingle"].to_numpy(), rows["n"].to_numpy(np.int64)
-            start = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
-            size = np.diff(np.concatenate([start, [len(rows)]]))
-            first, second = _inner_pairs(start[size <= SMALL], size[size <= SMALL])
-            cls, part = rows["class"].to_numpy(np.int64), rows["component"].to_numpy(np.int64)
-            points = rows["point"].tolist()
-            ok = part[first] != part[second]
-            first, second = first[ok], second[ok]
-            low, high = np.minimum(cls[first], cls[second]), np.maximum(cls[first], cls[second])
-            _, one = np.unique(np.stack([low, high], 1), axis=0, return_index=True)
-            keys = list(zip(low[one].tolist(), high[one].tolist(), strict=True))
-            one = one[[k not in done for k in keys]] if len(one) else one
-            if len(done) > 300_000:
-                done.clear()
-            done.update(keys)
-            first, second = first[one], second[one]
-            ok = room(limits, [points[i] for i in first], [points[i] for i in second], n[first], n[second])
-            yield pd.DataFrame({"a": np.minimum(cls[first], cls[second])[ok], "b": np.maximum(cls[first], cls[second])[ok]})
-            for a, c in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-                found = set(bucket_pairs(cls[a : a + c], n[a : a + c], part[a : a + c], points[a : a + c], limits))
-                yield pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
-
-    dealt = rows.repartition("shingle").sortWithinPartitions("shingle", "class")
-    return dealt.mapInPandas(run, "a long, b long").distinct()
-
-
-def _whole_buckets(batches: Iterator[pd.DataFrame], least: int = 20_000) -> Iterator[pd.DataFrame]:
-    """Rows in order of their shingle, cut between shingles."""
-    held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += len(batch)
-        if size >= least and (whole := pd.concat(held, ignore_index=True))["shingle"].iloc[0] != whole["shingle"].iloc[-1]:
-            cut = int(np.searchsorted(whole["shingle"].to_numpy(), whole["shingle"].iloc[-1]))
-            yield whole.iloc[:cut]
-            held = [whole.iloc[cut:]]
-            size = len(held[0])
-    if held:
-        yield pd.concat(held, ignore_index=True)
+def _tree_pairs(families: DataFrame, named: DataFrame, limits: Limits) -> DataFrame:
+    """Pairs ``(a, b)`` of classes of one family, but for its centre, that neither the tree nor a component rules out."""
 
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        _, low, high = key
+        found = family_pairs(rows["class"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), rows["component"].to_numpy(np.int64), [point_of(p) for p in rows["point"]], limits)
+        chunk = dict(zip(rows["class"], rows["chunk"], strict=True))
+        kept = {(a, b) for a, b in found if low == high or chunk[a] != chunk[b]}  # of two chunks, pairs across
+        return pd.DataFrame(sorted(kept), columns=["a", "b"], dtype="int64")
 
-def _inner_pairs(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all pairs within each short run."""
-    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for c in np.unique(size).tolist():
-        x, y = np.triu_indices(c, 1)
-        at = start[size == c][:, None]
-        first.append((at + x).ravel())
-        second.append((at + y).ravel())
-    return np.concatenate(first), np.concatenate(second)
+    own = families.where("class <> centre").join(named.select("class", "component"), "class")
+    sizes = own.groupBy("centre").agg(F.count("*").alias("size"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+    dealt = own.join(sizes.select("centre", "size"), "centre").withColumn("chunks", F.ceil(F.col("size") / CHUNK_CLASSES).cast("int"))
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("class"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("centre", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "class")
+    return dealt.join(named, "class").groupBy("centre", "low", "high").applyInPandas(run, "a long, b long").distinct()
 
 
-def bucket_pairs(cls: np.ndarray, n: np.ndarray, part: np.ndarray, points: list[bytes], limits: Limits) -> Iterator[tuple[int, int]]:
-    """The pairs of a large bucket, by a tree for each number of groups with the next finer points folded in."""
-    groups = np.array([len(p) // 2 for p in points])
+def family_pairs(cls: np.ndarray, n: np.ndarray, part: np.ndarray, points: list[np.ndarray], limits: Limits) -> Iterator[tuple[int, int]]:
+    """The pairs of a family that points and components leave, for each number of groups with the next finer folded in."""
+    groups = np.array([len(p) for p in points])
     for size in np.unique(groups).tolist():
         at = np.flatnonzero((groups == size) | (groups == 2 * size))
-        matrix = np.stack([folded(np.frombuffer(points[i], np.uint16).astype(np.int64)[None], size)[0] for i in at])
-        own = dict(zip(cls[at].tolist(), (groups[at] == size).tolist(), strict=True))
-        for a, b in CountTree(matrix, n[at], cls[at], part[at], limits).pairs():
-            if own[a] or own[b]:
-                yield a, b
+        if len(at) < 2 or part[at].min() == part[at].max():
+            continue
+        fine = np.stack([folded(points[i], size) for i in at])
+        coarse = fine.reshape(len(at), max(4, size * LOAD // TREE_LOAD), -1).sum(2, dtype=np.uint16)
+        own = groups[at] == size
+        for x, y in CountTree(coarse, n[at], part[at], limits).pairs():
+            step = max(64, 4_000_000 // size)
+            for s in range(0, len(x), step):
+                i, j = x[s : s + step], y[s : s + step]
+                ok = own[i] | own[j]
+                ok[ok] = limits.enough(np.minimum(fine[i[ok]], fine[j[ok]]).sum(1, dtype=np.int64), n[at[i[ok]]] + n[at[j[ok]]])
+                first, second = cls[at[i[ok]]], cls[at[j[ok]]]
+                yield from zip(np.minimum(first, second).tolist(), np.maximum(first, second).tolist(), strict=True)
 
 
 class CountTree:
-    """An R-tree, packed bottom-up, over the count vectors of a bucket."""
+    """An R-tree, packed bottom-up, over the count vectors of a family."""
 
-    def __init__(self, points: np.ndarray, n: np.ndarray, cls: np.ndarray, part: np.ndarray, limits: Limits, fill: int = 16) -> None:
+    def __init__(self, points: np.ndarray, n: np.ndarray, part: np.ndarray, limits: Limits, fill: int = 16) -> None:
         self.limits = limits
         spread = points.var(0).argsort()[::-1][:3]
-        order = np.lexsort((*(points[:, d] for d in spread), n))
-        self.points, self.n, self.cls, self.part = points[order], n[order], cls[order], part[order]
+        self.order = np.lexsort((*(points[:, d] for d in spread), n))
+        self.points, self.n, self.part = points[self.order], n[self.order], part[self.order]
         starts = np.arange(0, len(n), fill)
         #: Levels of boxes, leaves first: greatest counts, least and greatest size, the only component or -1 and children.
         self.levels = [self._boxes(starts, self.points, self.n, self.n, self.part, np.ones(len(self.n), bool))]
@@ -402,9 +375,10 @@ class CountTree:
         num, den = self.limits.num, self.limits.den
         ok = ~(pure[a] & pure[b] & (part[a] == part[b])) & (high[a] * den >= low[b] * num) & (high[b] * den >= low[a] * num)
         at = np.flatnonzero(ok)
-        for s in range(0, len(at), 65536):
-            k = at[s : s + 65536]
-            ok[k] = self.limits.enough(np.minimum(top[a[k]], top[b[k]]).sum(1), low[a[k]] + low[b[k]])
+        step = max(64, 4_000_000 // top.shape[1])
+        for s in range(0, len(at), step):
+            k = at[s : s + step]
+            ok[k] = self.limits.enough(np.minimum(top[a[k]], top[b[k]]).sum(1, dtype=np.int64), low[a[k]] + low[b[k]])
         return ok
 
     def _children(self, a: np.ndarray, b: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -415,7 +389,8 @@ class CountTree:
         ok = (x < count) & (y < count) & ((x < y) if count == len(self.n) else (x <= y))
         return x[ok], y[ok]
 
-    def pairs(self) -> Iterator[tuple[int, int]]:
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions of pairs that may link, some at a time."""
         todo = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while todo:
             level, a, b = todo.pop()
@@ -429,8 +404,7 @@ class CountTree:
                 else:
                     x, y = self._children(a[s : s + 256], b[s : s + 256], len(self.n))
                     met = self._meet(x, y, self.points, self.n, self.n, self.part, np.ones(len(self.n), bool))
-                    first, second = self.cls[x[met]], self.cls[y[met]]
-                    yield from zip(np.minimum(first, second).tolist(), np.maximum(first, second).tolist(), strict=True)
+                    yield self.order[x[met]], self.order[y[met]]
 
 
 def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, limits: Limits, n: int) -> DataFrame:

@@ -1,0 +1,186 @@
+"""BPE, language ID, HTML text, secrets and decontamination on small cases."""
+
+import base64
+import hashlib
+import random
+import re
+
+import numpy as np
+import pandas as pd
+import public_tokenizers
+import pytest
+import tiktoken
+
+from matchloom.llm import bpe, decontaminate, html_text, language_id, queries, secret_scan
+
+PATH, PATTERN = queries.tokenizer_path(), queries.tokenizer_pattern()
+TEXTS = [None, "", " ", "a" * 3000, "aaaa ababab", "日本語 한국어 😀👍🏽", " \x1c x　z\n\n  \tq", "don't WE'LL", "İstanbul", "x " * 2000, "same", "same"]
+
+
+def documents(spark, texts, **more):
+    rows = [(i, t, "x", 1) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, id string, letters int")  # extra columns clash with inner names
+
+
+@pytest.fixture(scope="module")
+def library():
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_round_trip(spark, library):
+    docs = documents(spark, TEXTS)
+    made = bpe.encode(docs, path=PATH, pattern=PATTERN, block_chars=50)
+    ids = {r["id"]: r["ids"] for r in made.collect()}
+    back = {r["id"]: bytes(r["bytes"]) for r in bpe.decode(made, path=PATH, pattern=PATTERN).collect()}
+    digests = {r["id"]: r for r in bpe.digests(docs, path=PATH, pattern=PATTERN).collect()}
+    for i, t in enumerate(TEXTS):
+        assert ids[i] == library.encode_ordinary(t or "")
+        assert back[i] == (t or "").encode()
+        assert digests[i]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids[i])).encode()).hexdigest()
+        assert digests[i]["decoded_sha256"] == hashlib.sha256(back[i]).hexdigest() and digests[i]["n_tokens"] == len(ids[i])
+
+
+def test_bpe_random(library):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab\n 'é9#٣Ⅷ") for _ in range(rng.randint(1, 60))) for _ in range(500)]
+    texts += ["".join(chr(rng.choice([rng.randint(32, 126), rng.randint(160, 0x2FFF), rng.randint(0x1F000, 0x1FFFF)])) for _ in range(40)) for _ in range(500)]
+    frame = pd.DataFrame({"id": range(len(texts)), "text": texts})
+    got = {k: x for keys, lists in bpe.encoded(iter([frame]), PATH, PATTERN, 10_000) for k, x in zip(keys, lists, strict=True)}
+    assert all(got[i].tolist() == library.encode_ordinary(t) for i, t in enumerate(texts))
+
+
+def test_bpe_empty_table(spark):
+    assert bpe.digests(documents(spark, []), path=PATH, pattern=PATTERN).count() == 0
+
+
+def test_ppm_costs_are_a_code():
+    """Costs of all bytes after a context make a distribution: they sum to one or less."""
+    sample = [("a", "abracadabra " * 20), ("b", "banana bandana " * 20)]
+    model = language_id.train(sample, least=1)
+    shares = np.exp2(-model.cost.astype(float))[:, :-1].sum(1)
+    assert (shares <= 1 + 1e-4).all()
+    assert language_id.code_lengths(model, "abracadabra").argmin() == 0
+    assert language_id.code_lengths(model, "banana ban").argmin() == 1
+    one, two = language_id.code_lengths(model, "abra banana " * 50), language_id.code_lengths(model, "abra banana " * 50, step=7)
+    assert np.allclose(one, two)
+
+
+def test_language_cases(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr")] * 30)]
+    rows += [(100, None, "en"), (101, "12 34", None), (102, "the dog the cat", None), (103, "", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["id"]: r for r in language_id.identify_language(docs).collect()}
+    assert [got[i]["lang_pred"] for i in (0, 1, 100, 101, 102, 103)] == ["en", "fr", "und", "und", "en", "und"]
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert {r["doc_id"] for r in language_id.keep_identified(docs).collect()} == {*range(60), 102}
+    unlabelled = docs.selectExpr("doc_id", "text", "cast(null as string) as lang")
+    assert {r["lang_pred"] for r in language_id.identify_language(unlabelled).collect()} == {"und"}
+    assert language_id.identify_language(docs.limit(0)).count() == 0
+
+
+def test_language_held_out(spark):
+    made = queries.op9_language_id(spark, "/root/testdata/sf0.01")
+    truth = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
+    right = [r["lang_pred"] == r["lang"] for r in made.where("held_out").join(truth, "doc_id").collect()]
+    assert sum(right) / len(right) > 0.98
+
+
+PAGES = {
+    "<html><nav>Home</nav><article><h1>A &amp; B</h1><p>One\n two<br>three</p><div class='comments'>Me too</div></article><footer>x</footer>": "A & B One two three",
+    "<body><div id=menu>Menu menu menu</div><p>" + "word " * 60 + "</p><p>more</p><p>" + "text " * 30 + "</p><script>var a='<p>no</p>'</script><form>send</form></body>": "word " * 60 + "more " + ("text " * 30).strip(),
+    "": "",
+    "<!-- nothing --><style>p{}</style>": "",
+    "plain & simple": "plain & simple",
+    "<main><p>short</p></main><aside>side text</aside>": "short",
+    "<article><p>a<b>b</b>c</article>": "abc",
+}
+
+
+def test_html(spark):
+    rows = [(i, "u", p) for i, p in enumerate([*PAGES, None])]
+    got = {r["id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(len(rows))] == [*PAGES.values(), ""]
+
+
+def test_surges():
+    assert html_text.surges([5, 200, 200, 5, 200, 5, 3, 2]) == [(1, 5)]
+    assert html_text.surges([5, 5]) == []
+
+
+def brute_spans(text):
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    found = [(m.start(), 0, "assign", m.end()) for m in assign.finditer(text) if len(m[2]) >= 8]
+    found += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return [(k, a, b) for a, _, k, b in sorted(found)]
+
+
+def test_base_spans():
+    rng = random.Random(2)
+    parts = ["token", "TOKEN", "api_key", "apikey", "secret", " ", " = ", ":", '"', "'", "AKIA", "ABCDEFGH1234", "0123456789abcdef" * 2, "é", "x", ".", "passwd=", "abcdefgh", "\n", "AKIAAKIA1234"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert secret_scan.base_spans(text) == brute_spans(text), text
+
+
+def test_automata_find_formats(spark):
+    rng = random.Random(3)
+    code = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    texts = [f'text token = "{code(40)}" text' for _ in range(60)] + ["plain words of a sentence Some-thing-with-dashes/and/paths here"] * 5 + [None, ""]
+    texts += [f"see {code(29)} here", "a" * 5000]
+    got = {r["id"]: r for r in secret_scan.scan_secrets(documents(spark, texts)).collect()}
+    assert all(got[i]["n_assign"] == 1 and got[i]["n_hex"] == 1 for i in range(60))
+    assert all(got[i]["spans"] == "" for i in range(60, 67))
+    assert got[67]["spans"] == "inferred:4:33" and got[68]["spans"] == ""
+    assert secret_scan.scan_secrets(documents(spark, [])).count() == 0
+
+
+def test_redact(spark):
+    docs = documents(spark, ['a token="abcdefgh12" b', None, "clean"])
+    got = secret_scan.redact_secrets(docs)
+    assert got.columns == docs.columns
+    assert [r["text"] for r in got.orderBy("doc_id").collect()] == ['a [SECRET]" b', None, "clean"]
+
+
+def brute_tiles(a, b, least):
+    """The longest unmarked match first, until none is left."""
+    marked_a, marked_b, out = set(), set(), 0
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and i + n not in marked_a and j + n not in marked_b:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        if best[0] < least:
+            return out
+        n, i, j = best
+        marked_a |= set(range(i, i + n))
+        marked_b |= set(range(j, j + n))
+        out += n
+
+
+def test_tiles_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(150):
+        item = [rng.choice("abc") for _ in range(rng.randint(5, 14))]
+        text = [rng.choice("abcd") for _ in range(rng.randint(0, 25))]
+        found = decontaminate.Items([(1, " ".join(item))], 3).leaks(" ".join(text), 0.01)
+        assert (round(found[0][1] * len(item)) if found else 0) == brute_tiles(text, item, 3)
+
+
+def test_decontaminate(spark):
+    one, two = "alpha beta gamma delta epsilon zeta eta theta iota kappa", "red green blue"
+    texts = [f"x {one} y", "zeta eta theta iota kappa and then alpha beta gamma delta epsilon", "alpha beta gamma delta other words", "Red, GREEN blue!", None, "", "clean", "red green " * 4000]
+    benchmark = spark.createDataFrame([(1, one), (2, two), (3, None), (4, "..."), (1, one)], "item_id long, text string")
+    docs = documents(spark, texts)
+    for words in (500_000, 5):  # one block of items, and several
+        found = {r["id"] if "id" in r else r["doc_id"]: list(r["leaked_items"]) for r in decontaminate.find_leaks(docs, benchmark, block_words=words).collect()}
+        assert found == {0: [1, 1], 1: [1, 1], 2: [], 3: [2], 4: [], 5: [], 6: [], 7: []}
+    kept = decontaminate.decontaminate(docs, benchmark)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {2, 4, 5, 6, 7}
+    assert decontaminate.decontaminate(docs, benchmark.limit(0)).count() == len(texts)
