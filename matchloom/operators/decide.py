@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .candidates import INSUFFICIENT, PARTIAL, RELAXED, SPEC, STRICT
-from .evidence import pairs_with_rows, ranked, record, with_lists, with_scores
+from .evidence import ranked, record, with_lists
 from .items import public_view, source_view
 
 SAFE_GAP = 12.0
@@ -30,10 +30,6 @@ REASONS = {
 }
 
 
-def scored_candidates(pairs: DataFrame, items: DataFrame, catalogue: DataFrame) -> DataFrame:
-    return with_scores(pairs_with_rows(pairs, items, catalogue))
-
-
 def top_of_each(first_two: DataFrame) -> DataFrame:
     """One row per item with candidates: the best candidate and the gap to the next (null for a single one)."""
     at = lambda n, c: F.max(F.when(F.col("rank") == n, F.col(c)))

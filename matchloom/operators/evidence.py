@@ -127,7 +127,7 @@ def _sequence_ratio(pairs: pd.Series) -> pd.Series:
 
 
 def with_similarity(rows: DataFrame) -> DataFrame:
-    """Add ``similarity``: null but for candidates found by a part of an identifier.
+    """Add ``similarity`` of the codes, for candidates found by a part of an identifier.
 
     A code that holds the other has a ratio of its lengths alone. Only pairs that could beat
     those go through the sequence matcher.
@@ -138,18 +138,24 @@ def with_similarity(rows: DataFrame) -> DataFrame:
     pairs = F.filter(F.concat(F.array(pair(i("product_code_relaxed"), c("full_code_relaxed"))), public), lambda p: (p["a"] != "") & (p["b"] != ""))
     least = lambda p: 2.0 * F.least(F.length(p["a"]), F.length(p["b"])) / (F.length(p["a"]) + F.length(p["b"]))
     held = lambda p: p["a"].contains(p["b"]) | p["b"].contains(p["a"])
-    partly = F.exists("match_types", lambda m: F.startswith(m, F.lit("partial_identifier:")))
-    rows = rows.withColumn("_pairs", F.when(partly, pairs))
-    rows = rows.withColumn("similarity", F.when(partly, F.coalesce(F.array_max(F.transform(F.filter("_pairs", held), least)), F.lit(0.0))))
+    rows = rows.withColumn("_pairs", pairs)
+    rows = rows.withColumn("similarity", F.coalesce(F.array_max(F.transform(F.filter("_pairs", held), least)), F.lit(0.0)))
     rows = rows.withColumn("_pairs", F.filter("_pairs", lambda p: ~held(p) & (least(p) > F.col("similarity"))))
-    plain = rows.where(F.coalesce(F.size("_pairs"), F.lit(0)) <= 0).drop("_pairs")
-    matched = rows.where(F.coalesce(F.size("_pairs"), F.lit(0)) > 0).withColumn("similarity", F.greatest("similarity", _sequence_ratio("_pairs"))).drop("_pairs")
+    plain = rows.where(F.size("_pairs") == 0).drop("_pairs")
+    matched = rows.where(F.size("_pairs") > 0).withColumn("similarity", F.greatest("similarity", _sequence_ratio("_pairs"))).drop("_pairs")
     return plain.unionByName(matched)
 
 
+def scored(pairs: DataFrame, items: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """All pairs with their rows and scores; only pairs found by a part take the way over similarity."""
+    partly = F.exists("match_types", lambda m: F.startswith(m, F.lit("partial_identifier:")))
+    plain = pairs_with_rows(pairs.where(~partly), items, catalogue).withColumn("similarity", F.lit(None).cast("double"))
+    parts = with_similarity(pairs_with_rows(pairs.where(partly), items, catalogue))
+    return with_scores(plain.unionByName(parts))
+
+
 def with_scores(rows: DataFrame) -> DataFrame:
-    """Add ``score`` and the counts that the decision needs."""
-    rows = with_similarity(rows)
+    """Add ``score`` and the counts that the decision needs to rows with ``similarity``."""
     table = rules()
     score = F.greatest(F.array_max(F.transform("match_types", _identifier_weight)), F.lit(0.0))
     matched = conflicts = F.lit(0)

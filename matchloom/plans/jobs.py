@@ -60,7 +60,7 @@ def match(spark: SparkSession, raw: DataFrame, products: DataFrame, *, top_k: in
     spark.conf.set(*WINDOW_LIMIT)
     asked = items.normalize_items(raw).persist()
     found = candidates.find_candidates(asked, products)
-    scored = decide.scored_candidates(found.pairs, asked, products)
+    scored = evidence.scored(found.pairs, asked, products)
     top = decide.top_of_each(evidence.ranked(scored, 2))
     decisions = decide.decide(asked, found.routes, top)
     return decide.result_documents(asked, decisions, scored, top_k)

@@ -109,7 +109,7 @@ def route_per_item(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     asked, products = _both(spark, sf_dir)
     found = candidates.find_candidates(asked, products)
-    return asked, found.routes, decide.scored_candidates(found.pairs, asked, products)
+    return asked, found.routes, evidence.scored(found.pairs, asked, products)
 
 
 def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
