@@ -104,7 +104,7 @@ def format_chats(
         F.octet_length("piece").cast("long").alias("bytes"),
         F.octet_length("head").cast("long").alias("skip"),
         F.octet_length("body").cast("long").alias("len"),
-        F.lit(0).alias("loss") if trained_role is None else (F.col("role") == trained_role).cast("int").alias("loss"),
+        (F.col("role") == trained_role).cast("int").alias("loss"),
         "attached",
     )
     blocks = (

@@ -56,8 +56,8 @@ from .components import connected_components
 GROUPS, LOAD = 16, 1
 #: Shingles to a group in the tree; its leaves are tried at the full number of groups.
 TREE_LOAD = 8
-#: Share of a task's documents from which on a shingle counts as frequent there.
-FREQUENT = 0.002
+#: Share of a block's documents from which on a shingle counts as frequent there; a block holds so many shingles.
+FREQUENT, BLOCK_SHINGLES = 0.002, 8_000_000
 #: Larger families are dealt out by pairs of chunks of this size.
 CHUNK_CLASSES = 3000
 #: So many keys at most are broadcast (16 MB); beyond, the same join shuffles.
@@ -178,19 +178,27 @@ class Limits:
 
 
 def frequent_shingles(rows: DataFrame, n: int) -> np.ndarray:
-    """Shingles that are frequent in some task and in all tasks together, sorted."""
+    """Shingles that are frequent in some block of documents and in all blocks together, sorted."""
+
+    def frequent(sets: list[np.ndarray]) -> pd.DataFrame:
+        shingle, c = np.unique(np.concatenate(sets), return_counts=True)
+        ok = c >= max(3, FREQUENT * len(sets))
+        none = np.zeros(1, np.int64)  # a row for the number of documents
+        docs = np.concatenate([np.zeros(int(ok.sum()), np.int64), [len(sets)]])
+        return pd.DataFrame({"shingle": np.concatenate([shingle[ok].view(np.int64), none]), "c": np.concatenate([c[ok], none]), "docs": docs})
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, sets = set(), []
+        seen, sets, held = set(), [], 0
         for _, own in _sets(batches, n):
             if len(own) and (d := digest(own)) not in seen:
                 seen.add(d)
                 sets.append(own)
+                held += len(own)
+                if held >= BLOCK_SHINGLES:
+                    yield frequent(sets)
+                    sets, held = [], 0
         if sets:
-            shingle, c = np.unique(np.concatenate(sets), return_counts=True)
-            ok = c >= max(3, FREQUENT * len(sets))
-            yield pd.DataFrame({"shingle": shingle[ok].view(np.int64), "c": c[ok].astype(np.int64), "docs": 0})
-            yield pd.DataFrame({"shingle": np.zeros(1, np.int64), "c": np.zeros(1, np.int64), "docs": len(sets)})
+            yield frequent(sets)
 
     found = staged(rows.mapInPandas(local, "shingle long, c long, docs long"), "frequent")
     docs = found.agg(F.sum("docs")).first()[0] or 0
