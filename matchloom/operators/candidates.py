@@ -111,7 +111,7 @@ def by_partial(values: DataFrame, catalogue: DataFrame, cap: int = FUZZY_CAP) ->
     # Any gram of the value finds all rows; the rarest of its first and last keeps buckets small.
     ends = asked.select("value", F.explode(F.array_distinct(F.array(F.substring("value", 1, GRAM), F.expr(f"substring(value, length(value) - {GRAM - 1})")))).alias("gram"))
     often = index.join(ends.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("rows"))
-    rare = ends.join(often, "gram").groupBy("value").agg(F.min(F.struct("rows", "gram")).alias("g"), F.count("*").alias("known"), F.first(F.col("gram")).alias("any"))
+    rare = ends.join(often, "gram").groupBy("value").agg(F.min(F.struct("rows", "gram")).alias("g"), F.count("*").alias("known"))
     need = ends.groupBy("value").agg(F.count("*").alias("asked"))
     rare = rare.join(need, "value").where("known = asked").select("value", F.col("g.gram").alias("gram"))  # a gram that no code has rules the value out
     hits = rare.join(index, "gram").where(F.col("code").contains(F.col("value"))).select("value", "id", "source_row").distinct()
@@ -192,14 +192,15 @@ def by_spec(items: DataFrame, catalogue: DataFrame, cap: int = SPEC_CAP) -> tupl
     more = (F.col("cutout_size") != "") | (F.col("fixture_size") != "")
     back = F.col("total").isNull() & (F.col("category") != "") & more
     named = F.array_compact(F.array(*(F.when(F.col(k) != "", k) for k in SPEC_KEYS)))
-    routed = staged(only.select(
+    routed = only.select(
         "item_key",
         "category",
         F.when(back, "").otherwise(F.col("cutout_size")).alias("cutout_size"),
         F.when(back, "").otherwise(F.col("fixture_size")).alias("fixture_size"),
         F.when(back, F.array(F.lit("category_backoff"))).otherwise(named).alias("basis"),
         F.coalesce(F.when(back, F.col("backoff_total")).otherwise(F.col("total")), F.lit(0)).alias("candidate_total"),
-    ), "spec-routes")
+    )
+    routed = staged(routed, "spec-routes")
     pairs = routed.join(hits, list(SPEC_KEYS)).select("item_key", "id")
     return pairs, routed.select("item_key", "basis", "candidate_total", (F.col("candidate_total") > cap).alias("truncated"))
 
@@ -226,9 +227,9 @@ def find_candidates(items: DataFrame, catalogue: DataFrame, *, fuzzy_cap: int =
     part, part_totals = _capped(staged(by_partial(rest, catalogue, fuzzy_cap), "partial"), fuzzy_cap)
     spec, spec_totals = by_spec(items, catalogue, spec_cap)
 
-    hits = exact.unionByName(loose).unionByName(part).unionByName(_hits(spec, 0, "spec_candidate"))
-    hits = staged(hits, "hits")
+    hits = staged(exact.unionByName(loose).unionByName(part), "hits")
     pairs = hits.groupBy("item_key", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "match_type"))), lambda x: x["match_type"]).alias("match_types"))
+    pairs = pairs.unionByName(spec.select("item_key", "id", F.array(F.lit("spec_candidate")).alias("match_types")))  # each pair once already
 
     none = F.array().cast("array<string>")
     tried = F.when(_branch() == "", none).otherwise(F.array(F.when((_branch() == "full_code") & (F.col("by_hinban") == 1), "hinban").otherwise(_branch())))
