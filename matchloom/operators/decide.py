@@ -14,6 +14,13 @@ SAFE_GAP = 12.0
 IDENTIFIER_FIELDS = ("identity.hinban", "identity.kidou", "product_code", "public_model")
 VERSION = "matchloom/v1"
 
+# Warnings of a result, in order.
+WARNINGS = [
+    "candidate_pool_truncated_before_scoring",
+    "source_db_has_no_manufacturer_column; manufacturer_not_used_for_matching",
+    "input_contains_uncertain_fields",
+]
+
 REASONS = {
     "insufficient": "The item gives neither an identifier nor a specification that can be searched.",
     "not_found": "No catalogue row has the identifier, strictly, tolerantly or in part.",
@@ -106,13 +113,8 @@ def result_documents(items: DataFrame, decisions: DataFrame, scored: DataFrame,
     candidate = F.struct("rank", "score", "matched_fields", "conflicts", "db_internal_warnings", "lifecycle_warning", record().alias("record"))
     lists = shown.select("item_key", candidate.alias("candidate")).groupBy("item_key").agg(F.array_sort(F.collect_list("candidate"), lambda a, b: a["rank"] - b["rank"]).alias("candidates"))
     rows = items.join(decisions, "item_key").join(lists, "item_key", "left")
-    warnings = F.array_compact(
-        F.array(
-            F.when(F.col("truncated"), "candidate_pool_truncated_before_scoring"),
-            F.when(F.col("manufacturer") != "", "source_db_has_no_manufacturer_column; manufacturer_not_used_for_matching"),
-            F.when(F.size("uncertain_fields") > 0, "input_contains_uncertain_fields"),
-        )
-    )
+    told = (F.col("truncated"), F.col("manufacturer") != "", F.size("uncertain_fields") > 0)
+    warnings = F.array_compact(F.array(*(F.when(c, w) for c, w in zip(told, WARNINGS, strict=True))))
     some = F.coalesce("candidates", F.array().cast(lists.schema["candidates"].dataType))
     return rows.select(
         "item_key",
