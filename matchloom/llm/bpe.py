@@ -33,7 +33,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_CHARS = 24_000_000
+#: Characters of a block, and pair ranks that a worker remembers; both bound its memory.
+BLOCK_CHARS, PAIRS = 12_000_000, 200_000
 
 
 class Ranks:
@@ -54,8 +55,9 @@ class Ranks:
         found = self.pairs.get((a, b))
         if found is None:
             found = self.rank.get(self.token[a] + self.token[b], -1)
-            if len(self.pairs) < 4_000_000:
-                self.pairs[a, b] = found
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
+            self.pairs[a, b] = found
         return found
 
     def one_word(self, word: bytes) -> list[int]:
@@ -87,10 +89,10 @@ def replay(words: list[bytes], ranks: Ranks) -> list[list[int]]:
     if not rest:
         return out
     size = np.array([len(words[i]) for i in rest])
-    ids = ranks.byte[np.frombuffer(b"".join(words[i] for i in rest), np.uint8)]
+    ids = ranks.byte[np.frombuffer(b"".join(words[i] for i in rest), np.uint8)].astype(np.int32)
     n, start = len(ids), np.concatenate([[0], np.cumsum(size)])
-    owner = np.repeat(np.arange(len(rest)), size)
-    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    owner = np.repeat(np.arange(len(rest), dtype=np.int32), size)
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
     after[start[1:] - 1] = n  # n: no neighbour
     before[start[:-1]] = -1
     live = np.ones(n, bool)
@@ -98,13 +100,16 @@ def replay(words: list[bytes], ranks: Ranks) -> list[list[int]]:
     index: dict[int, list[np.ndarray]] = {}
     queue: list[int] = []
 
+    def joined(left: np.ndarray) -> np.ndarray:
+        """The pair of tokens at each position as one number."""
+        return ids[left].astype(np.int64) << 32 | ids[after[left]]
+
     def add(left: np.ndarray, now: int) -> None:
         """Index the pairs that begin at these positions; ``now``: the rank just merged."""
         if not len(left):
             return
-        a, b = ids[left], ids[after[left]]
-        kinds, which = np.unique(a * (1 << 32) + b, return_inverse=True)
-        rank = np.array([ranks.pair(int(k >> 32), int(k & 0xFFFFFFFF)) for k in kinds])[which]
+        kinds, which = np.unique(joined(left), return_inverse=True)
+        rank = np.array([ranks.pair(int(k >> 32), int(k & 0xFFFFFFFF)) for k in kinds], np.int32)[which]
         left, rank = left[rank >= 0], rank[rank >= 0]
         if (low := rank < now).any():
             odd.update(owner[left[low]].tolist())
@@ -118,14 +123,14 @@ def replay(words: list[bytes], ranks: Ranks) -> list[list[int]]:
                 heapq.heappush(queue, r)
             index[r].append(part)
 
-    add(np.flatnonzero(after < n), -1)
+    add(np.flatnonzero(after < n).astype(np.int32), -1)
     while queue:
         r = heapq.heappop(queue)
         at = np.unique(np.concatenate(index.pop(r)))
         at = at[live[at]]
         at = at[after[at] < n]
         token = ranks.token[r]
-        pairs = ids[at] * (1 << 32) + ids[after[at]]
+        pairs = joined(at)
         good = np.array([k for k in np.unique(pairs) if ranks.pair(int(k >> 32), int(k & 0xFFFFFFFF)) == r], np.int64)
         at = at[np.isin(pairs, good)]
         if not len(at):
