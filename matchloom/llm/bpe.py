@@ -33,6 +33,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Characters of a block, and pair ranks that a worker remembers; both bound its memory.
 BLOCK_CHARS, PAIRS = 12_000_000, 200_000
 
@@ -188,7 +190,7 @@ def encode(docs: DataFrame, *, path: str, pattern: str, id_col: str = "doc_id",
             yield pd.DataFrame({"id": keys, "ids": lists})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInPandas(run, f"id {kind}, ids array<int>")
 
 
@@ -246,5 +248,5 @@ def digests(docs: DataFrame, *, path: str, pattern: str, id_col: str = "doc_id",
             yield pd.DataFrame({"id": keys, "n_tokens": [r[0] for r in rows], "ids_sha256": [r[1] for r in rows], "decoded_sha256": [r[2] for r in rows]})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInPandas(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -35,3 +35,15 @@ def staged(df: DataFrame, what: str = "stage", *, partition_by: list[str] | None
     df.write.parquet(path, partitionBy=partition_by)
     return spark.read.schema(df.schema).parquet(path)
 
+
+
+#: Rows of an Arrow batch on its way to Python; Spark's default of 10,000 whole texts takes hundreds of MB.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, with small batches to Python in its session unless the session asks for smaller ones."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df

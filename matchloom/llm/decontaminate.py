@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 WORDS = re.compile(r"[^\W_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -159,7 +161,7 @@ def find_leaks(
     """
     spark = docs.sparkSession
     keep = keep or []
-    rows = docs.select(id_col, text_col, *[c for c in keep if c not in (id_col, text_col)])
+    rows = bounded_batches(docs).select(id_col, text_col, *[c for c in keep if c not in (id_col, text_col)])
     found = rows.withColumns({"_items": F.array().cast("array<bigint>"), "_share": F.lit(0.0), "_tile": F.lit(0)})
     for block in _item_blocks(benchmark, item_col, item_text_col, block_words):
         sent = spark.sparkContext.broadcast(Items(block, least))

@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 # Elements of the HTML standard by what they do to text.
 DROPPED = {"script", "style", "noscript", "template", "form", "select", "button", "textarea", "svg", "math", "canvas", "iframe", "object", "head", "title", "nav", "footer", "aside", "dialog", "menu", "audio", "video", "map", "datalist", "label"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe"}
@@ -155,5 +157,5 @@ def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
             yield pd.DataFrame({"id": batch["id"], "url": batch["url"], "text": [main_text(x, **limits) for x in batch["html"]]})
 
     kind = pages.schema[id_col].dataType.simpleString()
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
+    rows = bounded_batches(pages).select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
     return rows.mapInPandas(run, f"id {kind}, url string, text string")

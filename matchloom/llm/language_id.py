@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 UNKNOWN = "und"
 MAX_CONTEXTS = 16_000
 
@@ -166,7 +168,7 @@ def identify_language(
         for batch in batches:
             yield pd.concat([batch[["id"]], predict(sent.value, batch["text"], batch["letters"])], axis=1)
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), _letters(text_col).alias("letters"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), _letters(text_col).alias("letters"))
     kind = docs.schema[id_col].dataType.simpleString()
     return rows.mapInPandas(run, f"id {kind}, lang_pred string, score double, bits_per_byte double")
 
@@ -222,7 +224,7 @@ def keep_identified(
             batch["letters"] = made["lang_pred"]
             yield batch[~(made["bits_per_byte"] >= raw_bits).fillna(False).astype(bool)]
 
-    rows = docs.toDF(*named)
+    rows = bounded_batches(docs).toDF(*named)
     rows = rows.withColumn("letters", _letters(at)).where("letters")
     schema = rows.drop("letters").schema.add("letters", "string")
     return rows.mapInPandas(run, schema).toDF(*docs.columns, "lang_pred")

@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged
+from .common import bounded_batches, staged
 from .components import connected_components
 
 #: Least number of groups, and shingles to a group.
@@ -219,7 +219,7 @@ def link_components(
     """Return ``(id, n_shingles, component_id)`` for every row of ``docs``."""
     spark = docs.sparkSession
     limits = Limits(*similarity)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(rows, n))
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import bounded_batches, staged
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -245,7 +245,7 @@ def learn_formats(docs: DataFrame, *, text_col: str = "text", max_labels: int =
                     found.update(("word", text[a:b][:256]) for a, b in candidates(text, base))
             yield pd.DataFrame(sorted(found), columns=["kind", "value"])
 
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInPandas(labels, "kind string, value string")
+    rows = bounded_batches(docs).select(F.col(text_col).cast("string").alias("text")).mapInPandas(labels, "kind string, value string")
     rows = staged(rows.select("kind", "value", F.xxhash64("value").alias("at")), "labels")
     picked: dict[str, list[str]] = {}
     for kind in (*LEAST, "word"):
@@ -276,7 +276,7 @@ def scan_secrets(docs: DataFrame, *, formats: Formats | None = None, id_col: str
             yield out
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInPandas(run, f"id {kind}, n_assign long, n_access long, n_hex long, n_inferred long, base_sha256 string, spans string")
 
 
@@ -302,5 +302,5 @@ def redact_secrets(docs: DataFrame, *, formats: Formats | None = None, text_col:
             batch[at] = [x if x is None else redact(x, sent.value.spans(x)[1], mark) for x in batch[at]]
             yield batch
 
-    rows = docs.toDF(*named)
+    rows = bounded_batches(docs).toDF(*named)
     return rows.mapInPandas(run, rows.schema).toDF(*docs.columns)
