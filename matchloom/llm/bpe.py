@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 #: Characters of a block, and pair ranks that a worker remembers; both bound its memory.
-BLOCK_CHARS, PAIRS = 12_000_000, 200_000
+BLOCK_CHARS, PAIRS = 6_000_000, 200_000
 
 
 class Ranks:
