@@ -34,18 +34,21 @@ Sets are compared by 64-bit shingle hashes, classes by a 64-bit digest and the s
 
 Defined cases: null, empty or blank texts have an empty set, link with nothing and are
 their own component; texts of one to four words have one shingle, the whole sequence;
-repeated rows are copies; rows that share an id share a component; an empty table gives an
-empty result; other columns are ignored.
+repeated rows are copies; rows go by their texts, so rows that share an id may be of different
+components, and rows without an id link like others (a component of such rows alone has a null
+id); an empty table gives an empty result; other columns are ignored. Where rows are told
+apart, it is by a 64-bit hash of id and text.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -63,6 +66,8 @@ CHUNK_CLASSES = 3000
 #: So many keys at most are broadcast (16 MB); beyond, the same join shuffles.
 BROADCAST_KEYS = 2_000_000
 FREQUENT_KEYS = 2_000_000
+#: A row's id (0 where it is null, as nulls would turn a batch's ids into floats), whether that is null, and its row key.
+KEYS = ["id", "no_id", "row"]
 CHUNK_BYTES = 2_000_000
 
 R = np.uint64(0x9E3779B97F4A7C15)
@@ -136,18 +141,19 @@ def digest(own: np.ndarray) -> int:
     return int(mixed(total + np.array([len(own)], np.uint64) * R).view(np.int64)[0])
 
 
-def _sets(batches: Iterator[pd.DataFrame], n: int) -> Iterator[tuple[object, np.ndarray]]:
+def _sets(batches: Iterator[pd.DataFrame], n: int) -> Iterator[tuple[tuple, np.ndarray]]:
+    """The values of ``KEYS`` and the set of every row."""
     for batch in batches:
-        ids, texts, held = [], [], 0
-        for i, t in zip(batch["id"], batch["text"], strict=True):
-            ids.append(i)
+        keys, texts, held = [], [], 0
+        for *key, t in zip(*(batch[c] for c in KEYS), batch["text"], strict=True):
+            keys.append(tuple(key))
             texts.append(t)
             held += len(t or "")
             if held >= CHUNK_BYTES:
-                yield from zip(ids, shingle_sets(texts, n), strict=True)
-                ids, texts, held = [], [], 0
-        if ids:
-            yield from zip(ids, shingle_sets(texts, n), strict=True)
+                yield from zip(keys, shingle_sets(texts, n), strict=True)
+                keys, texts, held = [], [], 0
+        if keys:
+            yield from zip(keys, shingle_sets(texts, n), strict=True)
 
 
 def _batched(rows: Iterator[tuple], columns: list[str], cells: int = 400_000) -> Iterator[pd.DataFrame]:
@@ -208,7 +214,22 @@ def frequent_shingles(rows: DataFrame, n: int) -> np.ndarray:
     return np.sort(top["shingle"].to_numpy(np.int64).view(np.uint64))
 
 
-def link_components(
+def _row_key(id_column: Column, text: Column) -> Column:
+    """What tells rows apart: equal for rows of one id and one text alone."""
+    return F.xxhash64(id_column.cast("long"), text.cast("string"))
+
+
+def link_components(docs: DataFrame, **options) -> DataFrame:
+    """Return ``(id, n_shingles, component_id)`` for every row of ``docs``; options as in ``labelled_rows``."""
+    rows = labelled_rows(docs, **options)
+    labelled = rows.where("n > 0")
+    least = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
+    linked = labelled.join(least, "label").select("id", F.col("n").alias("n_shingles"), "component_id")
+    alone = rows.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    return linked.unionByName(alone)
+
+
+def labelled_rows(
     docs: DataFrame,
     *,
     id_col: str = "doc_id",
@@ -216,17 +237,18 @@ def link_components(
     n: int = 5,
     similarity: tuple[int, int] = (80, 100),
 ) -> DataFrame:
-    """Return ``(id, n_shingles, component_id)`` for every row of ``docs``."""
+    """Return ``(id, row, n, label)`` for every row of ``docs``; ``label`` names its component and is null for empty sets."""
     spark = docs.sparkSession
     limits = Limits(*similarity)
-    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    i, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    rows = bounded_batches(docs).select(F.coalesce(i, F.lit(0)).alias("id"), i.isNull().alias("no_id"), _row_key(i, text).alias("row"), text.alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(rows, n))
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         late, seen = frequent.value, set()
 
         def each() -> Iterator[tuple]:
-            for i, own in _sets(batches, n):
+            for key, own in _sets(batches, n):
                 d, prefix, point = digest(own), None, None
                 if len(own) and d not in seen:
                     seen.add(d)
@@ -234,11 +256,11 @@ def link_components(
                     last = late[at] == own if len(late) else np.zeros(len(own), bool)
                     prefix = np.concatenate([own[~last], own[last]])[: limits.prefix(len(own))].view(np.int64)
                     point = counts(own)
-                yield i, len(own), d, prefix, point
+                yield *key, len(own), d, prefix, point
 
-        yield from _batched(each(), ["id", "n", "class", "prefix", "point"])
+        yield from _batched(each(), [*KEYS, "n", "class", "prefix", "point"])
 
-    sketched = staged(rows.mapInPandas(sketch, "id long, n long, class long, prefix array<long>, point binary"), "sketch")
+    sketched = staged(rows.mapInPandas(sketch, "id long, no_id boolean, row long, n long, class long, prefix array<long>, point binary"), "sketch")
     entries = sketched.where("prefix is not null").select("class", F.explode("prefix").alias("shingle"))
     bucket = Window.partitionBy("shingle")
     shared = staged(
@@ -249,7 +271,7 @@ def link_components(
         "shared",
     )
     shares = shared.groupBy("class").agg(F.sum("size").alias("met"))
-    classes = sketched.where("n > 0").groupBy("class").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("point").alias("point"))
+    classes = sketched.where("n > 0").groupBy("class").agg(F.min("row").alias("rep"), F.max("n").alias("n"), F.max("point").alias("point"))
     concerned = staged(classes.join(shares, "class").withColumn("pull", F.col("met") / (F.col("n") - F.ceil(F.col("n") * limits.num / limits.den) + 1)).drop("met"), "classes")
     central = F.max(F.struct("pull", "class")).over(bucket)
     families = staged(
@@ -264,12 +286,9 @@ def link_components(
     second = _verified(rows, concerned, _tree_pairs(families, staged(named, "named"), limits), limits, n)
     joined = connected_components(first.unionByName(second))
 
-    ids = sketched.select("id", "n", "class").where("n > 0")
-    labelled = ids.join(joined.withColumnRenamed("node", "class"), "class", "left").select("id", "n", F.coalesce("component", "class").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
-    linked = labelled.join(least, "label").select("id", F.col("n").alias("n_shingles"), "component_id")
-    alone = sketched.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    return linked.unionByName(alone)
+    ids = sketched.select(F.when(~F.col("no_id"), F.col("id")).alias("id"), "row", "n", "class")
+    labelled = ids.where("n > 0").join(joined.withColumnRenamed("node", "class"), "class", "left").select("id", "row", "n", F.coalesce("component", "class").alias("label"))
+    return labelled.unionByName(ids.where("n = 0").select("id", "row", "n", F.lit(None).cast("long").alias("label")))
 
 
 def counts(own: np.ndarray) -> bytes:
@@ -419,13 +438,12 @@ def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, limits: Lim
     """The pairs of classes that link, as edges ``(u, v)``, by comparing their whole sets."""
     pairs = staged(pairs, "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    reps = staged(classes.join(needed, "class", "left_semi").select(F.col("rep").alias("id")).distinct(), "reps")
-    reps = F.broadcast(reps) if reps.count() <= BROADCAST_KEYS else reps
+    reps = _few(staged(classes.join(needed, "class", "left_semi").select(F.col("rep").alias("row")).distinct(), "reps"))
 
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from _batched(((digest(own), own.tobytes()) for _, own in _sets(batches, n)), ["class", "own"], 4_000_000)
 
-    sets = rows.join(reps, "id", "left_semi").mapInPandas(again, "class long, own binary").dropDuplicates(["class"])
+    sets = rows.join(reps, "row", "left_semi").mapInPandas(again, "class long, own binary").dropDuplicates(["class"])
     sets = staged(sets, "sets")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -444,11 +462,27 @@ def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, limits: Lim
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, of the least id of each component; other ids go."""
-    found = link_components(docs, id_col=id_col, text_col=text_col, **options)
-    gone = staged(found.where("id <> component_id").select("id").distinct(), "gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
+    """One row, all columns, of each component, and every row with an empty set.
+
+    It is the row of the least id, null last, then of the least row key, then of the least other values.
+    """
+    rows = labelled_rows(docs, id_col=id_col, text_col=text_col, **options).where("n > 0")
+    rows = staged(rows.groupBy("row").agg(F.min("label").alias("label"), F.min("id").alias("id"), F.count("*").alias("copies")), "rows")
+    first = rows.groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")).select("first.row")
+    gone = _few(staged(rows.join(first, "row", "left_anti").select("row"), "gone"))
+    twice = staged(rows.where("copies > 1").join(first, "row", "left_semi").select("row"), "twice")
+
     named = [f"c{i}" for i in range(len(docs.columns))]
-    at = named[docs.columns.index(id_col)]
-    kept = docs.toDF(*named)
-    return kept.join(gone, kept[at].cast("long") == gone["id"], "left_anti").toDF(*docs.columns)
+    at = dict(zip(docs.columns, named, strict=True))
+    kept = docs.toDF(*named).withColumn("row", _row_key(F.col(at[id_col]), F.col(at[text_col]))).join(gone, "row", "left_anti")
+    if twice.isEmpty():
+        return kept.select(*named).toDF(*docs.columns)
+    twice = _few(twice)
+    ordered = [c for c, f in zip(named, docs.schema, strict=True) if not re.search("map<|variant", f.dataType.simpleString())]  # the others have no order
+    one = kept.join(twice, "row", "left_semi").groupBy("row").agg(F.min_by(F.struct(*named), F.struct(*ordered)).alias("kept")).select("kept.*")
+    return kept.join(twice, "row", "left_anti").select(*named).unionByName(one).toDF(*docs.columns)
+
+
+def _few(keys: DataFrame) -> DataFrame:
+    """The keys, to be broadcast unless they are many."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys

@@ -87,6 +87,30 @@ def test_ngram_join_against_brute_force(spark):
     assert ngram_join.link_components(docs.limit(0)).count() == 0
 
 
+def test_one_row_of_each_group(spark):
+    """Repeated, shared and null ids leave one row of their own group each; nothing else goes."""
+    rng = random.Random(9)
+    a, b, c, d, e = (" ".join(rng.choices([f"w{i}" for i in range(500)], k=40)) for _ in range(5))
+    near = lambda t: t + " end"
+    big = 2**60 + 1  # ids that a float can't hold
+    rows = [(1, a, "x"), (2, near(a), "y"), (2, b, "z")]  # id 2: a copy of 1, and a text of its own
+    rows += [(None, c, "y"), (None, c, "x"), (None, near(c), "x")]  # no ids
+    rows += [(big, d, "y"), (big, d, "x"), (big, d, "x"), (None, near(d), "a"), (big + 1, d, "a")]  # repeated, with and without an id
+    rows += [(7, e, "x"), (7, near(e), "x")]  # near copies of one id
+    rows += [(8, None, "x"), (None, "", "x"), (None, " ", "x")]  # empty sets link with nothing
+    docs = spark.createDataFrame([(*r, {"k": 1}) for r in rows], "doc_id long, text string, row string, m map<string,int>")
+    for parts in (1, 5):
+        kept = ngram_join.one_of_each(docs.repartition(parts))
+        got = [(r["doc_id"], r["text"], r["row"]) for r in kept.collect()]
+        assert kept.columns == docs.columns
+        assert sorted(((i, s) for i, t, s in got if t in (a, b, d)), key=repr) == sorted([(1, "x"), (2, "z"), (big, "x")], key=repr)
+        assert len([1 for i, t, s in got if i is None and t in (c, near(c))]) == 1
+        assert len([1 for i, t, s in got if i == 7]) == 1
+        assert sum(not (t or "").strip() for _, t, _ in got) == 3 and len(got) == 8
+    found = {(r["id"], r["component_id"]) for r in ngram_join.link_components(docs).collect()}
+    assert {(None, None), (None, big), (big, big), (big + 1, big), (2, 1), (2, 2)} <= found
+
+
 def test_ngram_join_large_family(spark, monkeypatch):
     """A chain of near copies, and a shared passage in more classes than a chunk takes."""
     monkeypatch.setattr(ngram_join, "CHUNK_CLASSES", 20)
