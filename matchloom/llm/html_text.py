@@ -9,8 +9,10 @@ ends where it dives to nothing, and the lines between are kept.
 Elements that name their role are used as hard borders: navigation, headers of the page,
 footers, asides, and blocks whose class or id marks adverts, menus, notices, sidebars or
 reader comments count as no text, and an ``article`` or ``main`` element, where a page has
-one, bounds the search; inside it all lines belong to the text. Pages without such
-elements are decided by the distribution alone.
+one, bounds the search; inside it all lines belong to the text. On pages without such
+elements everything from the first surge to the last dive is kept, and with it the short
+lines next to these ends, up to an element that was dropped for its role or a line of links
+alone, and what follows a heading before the first surge.
 
 Character references are decoded, runs of white space become one blank, and blocks are
 joined in page order by one blank.
@@ -25,6 +27,7 @@ from __future__ import annotations
 import html as references
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,6 +39,9 @@ from .common import bounded_batches
 DROPPED = {"script", "style", "noscript", "template", "form", "select", "button", "textarea", "svg", "math", "canvas", "iframe", "object", "head", "title", "nav", "footer", "aside", "dialog", "menu", "audio", "video", "map", "datalist", "label"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe"}
 BLOCKS = {"address", "article", "blockquote", "body", "br", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements that end the text next to them when they are dropped; others may stand within it.
+BORDERS = {"nav", "header", "footer", "aside", "dialog", "menu", "form"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Words in a class, id or role that mark what is not the article.
 MARKS = re.compile(
@@ -48,29 +54,52 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*
 SPACE = re.compile(r"\s+")
 
 
-def lines_of(page: str) -> tuple[list[str], list[bool]]:
-    """The text lines of a page, and whether each lies in an ``article`` or ``main`` element."""
+class Place(NamedTuple):
+    """How a line stands: in a heading, in links alone, after a border."""
+
+    heading: bool
+    linked: bool
+    bordered: bool
+
+
+def lines_of(page: str) -> tuple[list[str], list[bool], list[Place]]:
+    """The text lines of a page, whether each lies in an ``article`` or ``main`` element, and how it stands."""
     lines: list[str] = []
     inside: list[bool] = []
+    places: list[Place] = []
     held: list[str] = []
+    loose = border = False  # whether text outside links is held, and whether a border came before it
     stack: list[tuple[str, bool, bool]] = []  # name, drops its text, is the article
 
+    def hold(text: str) -> None:
+        nonlocal loose
+        held.append(text)
+        loose = loose or bool(text.strip()) and not any(x[0] == "a" for x in stack)
+
     def flush() -> None:
+        nonlocal loose, border
         text = SPACE.sub(" ", references.unescape("".join(held))).strip()
         held.clear()
         if text:
             lines.append(text)
             inside.append(any(x[2] for x in stack))
+            places.append(Place(any(x[0] in HEADINGS for x in stack), not loose, border))
+            border = False
+        loose = False
 
     def opened(name: str, rest: str) -> None:
+        nonlocal border
         quiet = bool(stack) and stack[-1][1]
         drops = quiet or name in DROPPED
+        marked = False
         if not drops and rest:
-            drops = any(MARKS.search(a or b or c) for a, b, c in NAMED.findall(rest)) or bool(HIDDEN.search(rest))
+            marked = any(MARKS.search(a or b or c) for a, b, c in NAMED.findall(rest))
+            drops = marked or bool(HIDDEN.search(rest))
         if not drops and name == "header":  # of the page, not of the article
             drops = not any(x[2] for x in stack)
         if name in BLOCKS or drops:
             flush()
+        border = border or not quiet and drops and (marked or name in BORDERS) and name not in ("body", "html", "article", "main")
         if name not in VOID and not rest.endswith("/"):
             stack.append((name, drops and name not in ("body", "html", "article", "main") or quiet, name in ("article", "main")))
 
@@ -86,12 +115,12 @@ def lines_of(page: str) -> tuple[list[str], list[bool]]:
     at = 0
     for m in iter(lambda: TAG.search(page, at), None):
         if m.start() > at and not (stack and stack[-1][1]):
-            held.append(page[at : m.start()])
+            hold(page[at : m.start()])
         at = m.end()
         name = (m[3] or "").lower()
         if not name:
             if m[1] and not (stack and stack[-1][1]):
-                held.append(m[1].replace("&", "&amp;"))
+                hold(m[1].replace("&", "&amp;"))
             continue
         if m[2]:
             if name == "br" or name == "p" and not any(x[0] == "p" for x in stack):
@@ -106,9 +135,9 @@ def lines_of(page: str) -> tuple[list[str], list[bool]]:
             if stack and stack[-1][0] == name:
                 stack.pop()
     if at < len(page) and not (stack and stack[-1][1]):
-        held.append(page[at:])
+        hold(page[at:])
     flush()
-    return lines, inside
+    return lines, inside, places
 
 
 def surges(weights: list[int], *, window: int = 3, surge_chars: int = 120, quiet_chars: int = 30) -> list[tuple[int, int]]:
@@ -132,20 +161,30 @@ def surges(weights: list[int], *, window: int = 3, surge_chars: int = 120, quiet
     return found
 
 
+def widened(start: int, end: int, places: list[Place]) -> tuple[int, int]:
+    """The region from ``start`` to ``end`` with the lines next to it and those from the first heading before it on."""
+    start = next((i for i in range(start) if places[i].heading and not places[i].linked), start)
+    while start and not places[start].bordered and not places[start - 1].linked:
+        start -= 1
+    while end < len(places) and not places[end].bordered and not places[end].linked:
+        end += 1
+    return start, end
+
+
 def main_text(page: str | None, *, window: int = 3, surge_chars: int = 120, quiet_chars: int = 30) -> str:
     """The text between the surge and dive points.
 
     A line of an article element counts as a surge of its own, and beside articles all other
     lines count nothing; then every region is kept, without the lines that count nothing.
-    On other pages the region with most text is kept, the first among equals, or all
-    lines where the text never surges.
+    On other pages all from the first region to the last is kept, with what ``widened`` adds,
+    or all lines where the text never surges.
     """
-    lines, inside = lines_of(page or "")
+    lines, inside, places = lines_of(page or "")
     marked = any(inside)
     weights = [(max(len(x), surge_chars) if own else 0) if marked else len(x) for x, own in zip(lines, inside, strict=True)]
     regions = surges(weights, window=window, surge_chars=surge_chars, quiet_chars=quiet_chars)
     if not marked:
-        regions = [max(regions, key=lambda r: (sum(weights[r[0] : r[1]]), -r[0]))] if regions else [(0, len(lines))]
+        regions = [widened(regions[0][0], regions[-1][1], places)] if regions else [(0, len(lines))]
     return " ".join(lines[i] for a, b in regions for i in range(a, b) if weights[i])
 
 

@@ -104,6 +104,28 @@ def test_html(spark):
     assert [got[i] for i in range(len(rows))] == [*PAGES.values(), ""]
 
 
+LONG, OTHER = "rain " * 59 + "fell.", "wind " * 49 + "blew."
+
+
+def test_pages_without_article():
+    short = ["Yes.", "No.", "So."]
+    tags = lambda *x: "".join(f"<p>{t}</p>" for t in x)
+    whole = " ".join(["Rain", LONG, *short, OTHER, "The end."])
+    body = "<h1>Rain</h1>" + tags(LONG, *short, OTHER, "The end.")
+    assert html_text.main_text(f"<body>{body}</body>") == whole
+    assert html_text.main_text(f"<body><nav>Home</nav><div class=ad>Buy now</div>{body}<footer>end</footer><p>Imprint</p></body>") == whole
+    assert html_text.main_text(f"<div><a href=/>Home</a></div><div><a href=/a>About</a></div>{body}<div><a href=/b>Next</a></div>") == whole
+    parted = "<h1>Rain</h1><div class=share>Tell all</div>" + tags(LONG, *short * 9) + "<aside>See also</aside>" + tags(OTHER)
+    assert html_text.main_text(parted) == " ".join(["Rain", LONG, *short * 9, OTHER])
+
+
+def test_sample_pages_without_their_article_tags(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    bare = [re.sub("</?article>", "", p) for p in pages]
+    assert pages != bare
+    assert [html_text.main_text(p) for p in bare] == [html_text.main_text(p) for p in pages]
+
+
 def test_surges():
     assert html_text.surges([5, 200, 200, 5, 200, 5, 3, 2]) == [(1, 5)]
     assert html_text.surges([5, 5]) == []
