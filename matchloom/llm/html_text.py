@@ -8,7 +8,8 @@ ends where it dives to nothing, and the lines between are kept.
 
 Elements that name their role are used as hard borders: navigation, headers of the page,
 footers, asides, and blocks whose class or id marks adverts, menus, notices, sidebars or
-reader comments count as no text, and an ``article`` or ``main`` element, where a page has
+reader comments count as no text (within an article, and for ids of sections anywhere, only whole
+classes and ids of a narrower list do, and ids of headings never), and an ``article`` or ``main`` element, where a page has
 one, bounds the search; inside it all lines belong to the text. On pages without such
 elements everything from the first surge to the last dive is kept, and with it the short
 lines next to these ends, up to an element that was dropped for its role or a line of links
@@ -49,11 +50,32 @@ MARKS = re.compile(
     re.I,
 )
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+#: Whole classes and ids that mark the same within an article, where ids are often slugs of headings.
+INNER_MARKS = re.compile(
+    r"(?:ads?|adverts?|advertisements?|advertising|sponsored|promo|comments?|comment-?list|replies|respond|disqus(?:_thread)?|share|sharing|share-(?:bar|buttons?|links)|social-(?:bar|buttons?|links|share)|related-(?:articles|links|posts|stories)|newsletter(?:-signup)?|subscribe|signup|sidebar|breadcrumbs?|pagination|pager|nav|navbar|navigation|cookie-(?:banner|consent|notice)|popup)",
+    re.I,
+)
+ROLES = re.compile(r"navigation|complementary|contentinfo|banner", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+UNSHOWN = re.compile(r"display\s*:\s*none", re.I)
 SPACE = re.compile(r"\s+")
 
 
+def roles_of(name: str, rest: str, within: bool) -> tuple[bool, bool]:
+    """Whether the attributes of a tag mark it as no text of the article, and whether they hide it; ``within``: it stands in an article."""
+    marked = hidden = False
+    for key, a, b, c in ATTRIBUTE.findall(rest):
+        key, value = key.lower(), a or b or c
+        if key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true" or key == "style" and UNSHOWN.search(value):
+            hidden = True
+        elif key in ("class", "id", "role") and not (key == "id" and name in HEADINGS):  # such an id is an anchor
+            if within or key == "id" and name == "section":
+                marked = marked or any((ROLES if key == "role" else INNER_MARKS).fullmatch(x) for x in value.split())
+            else:
+                marked = marked or bool(MARKS.search(value))
+    return marked, hidden
+
+
 class Place(NamedTuple):
     """How a line stands: in a heading, in links alone, after a border."""
 
@@ -93,8 +115,8 @@ def lines_of(page: str) -> tuple[list[str], list[bool], list[Place]]:
         drops = quiet or name in DROPPED
         marked = False
         if not drops and rest:
-            marked = any(MARKS.search(a or b or c) for a, b, c in NAMED.findall(rest))
-            drops = marked or bool(HIDDEN.search(rest))
+            marked, hidden = roles_of(name, rest, any(x[2] for x in stack))
+            drops = marked or hidden
         if not drops and name == "header":  # of the page, not of the article
             drops = not any(x[2] for x in stack)
         if name in BLOCKS or drops:

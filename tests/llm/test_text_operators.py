@@ -119,6 +119,16 @@ def test_pages_without_article():
     assert html_text.main_text(parted) == " ".join(["Rain", LONG, *short * 9, OTHER])
 
 
+def test_slugs_and_attributes():
+    kept = ["section id='related-work'", 'h2 id="social-history"', "div id=alert-levels", 'div data-id="comments" data-class="ad"', 'p title="the hidden cost"', "p title=' class=ad '", "h3 id=comments", "div class='notice-period side'", "div data-hidden"]
+    gone = ["div class='x comments'", "div id=disqus_thread", "div hidden", "div HIDDEN=''", "div style='color:red; display : none'", 'div aria-hidden="true"', "div role=navigation", "div class='share-buttons'"]
+    make = lambda tags: "".join(f"<{t}>{i} text</{t.split()[0]}>" for i, t in enumerate(tags))
+    assert html_text.main_text(f"<article><p>start</p>{make(kept)}<p>end</p></article>") == " ".join(["start", *(f"{i} text" for i in range(len(kept))), "end"])
+    assert html_text.main_text(f"<article><p>start</p>{make(gone)}<p>end</p></article>") == "start end"
+    bare = f"<h2 id=social-history>Clubs</h2><p>{LONG}</p><section id=related-work><p>{OTHER}</p></section><div id=related-posts>{OTHER}</div>"
+    assert html_text.main_text(bare) == f"Clubs {LONG} {OTHER}"
+
+
 def test_sample_pages_without_their_article_tags(spark):
     pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
     bare = [re.sub("</?article>", "", p) for p in pages]
