@@ -31,7 +31,7 @@ def library():
 
 def test_bpe_round_trip(spark, library):
     docs = documents(spark, TEXTS)
-    made = bpe.encode(docs, path=PATH, pattern=PATTERN, block_chars=50)
+    made = bpe.encode(docs, path=PATH, pattern=PATTERN, block_bytes=50)
     ids = {r["id"]: r["ids"] for r in made.collect()}
     back = {r["id"]: bytes(r["bytes"]) for r in bpe.decode(made, path=PATH, pattern=PATTERN).collect()}
     digests = {r["id"]: r for r in bpe.digests(docs, path=PATH, pattern=PATTERN).collect()}
