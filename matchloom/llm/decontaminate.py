@@ -10,7 +10,14 @@ Pairs to tile are found by joining seeds: Karp-Rabin hashes of ``least`` words.
 a block of benchmark items (``block_words`` words at most) go to the executors, where each
 document's rolling hashes are looked up in them; a larger benchmark takes several blocks, each
 a pass over the documents, so what is sent is bounded whatever its size. Documents are never
-shuffled. A seed hit is checked word by word, so a hash collision makes no tile.
+shuffled.
+
+Tiling doesn't list the places where seeds of the two meet, as texts that repeat themselves have
+a square number of them. The greatest length at which unmarked windows of both still agree is found by
+bisection over running Karp-Rabin hashes of all windows of a length; the windows of that
+length are marked from left to right, each at the first place that is free, and the search goes on
+below it. Tiles of ``m`` words have at most ``sqrt(2 m)`` different lengths, so that many rounds are
+made at most. Every tile is checked word by word, so a hash collision makes none.
 
 Defined cases: null or wordless texts hold no seed and are clean; an item of fewer than
 ``least`` words is tiled with its own length and must be held whole; an item without words
@@ -22,6 +29,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -33,6 +41,11 @@ from .common import bounded_batches
 WORDS = re.compile(r"[^\W_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
+#: Modulus and bases of the hashes of windows of any length: two of 31 bits, as one number of 62.
+PRIME = (1 << 31) - 1
+BASES = (1_103_515_245, 1_664_525_013)
+#: Longer texts are split word by word instead of into a list of words.
+LONG_CHARS = 1 << 20
 
 
 def words(text: str | None) -> list[str]:
@@ -50,81 +63,169 @@ def rolling(codes: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def tiles(a: np.ndarray, b: np.ndarray, starts: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles ``(a, b, length)`` of ``a`` and ``b`` grown from seed hits ``starts`` (all of them).
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base`` modulo the prime, kept for later calls."""
+    known = _POWERS.get(base, np.ones(1, np.uint64))
+    while len(known) < n:
+        known = np.concatenate([known, known * np.uint64(pow(base, len(known), PRIME)) % np.uint64(PRIME)])
+    _POWERS[base] = known
+    return known[:n]
+
 
-    Each round grows every seed whose words are unmarked as far as unmarked words agree and
-    marks the longest matches that don't overlap; ties go to the first place in ``a``, then ``b``.
+class Windows:
+    """Running Karp-Rabin hashes of the windows of a code sequence, for any window length."""
+
+    def __init__(self, codes: np.ndarray) -> None:
+        self.n = len(codes)
+        c = (codes + 2).astype(np.uint64)
+        self.sums = [np.concatenate([[np.uint64(0)], np.cumsum(c * _powers(b, self.n) % np.uint64(PRIME))]) for b in BASES]
+
+    def of(self, length: int) -> np.ndarray:
+        out = np.zeros(self.n - length + 1, np.uint64)
+        for base, sums in zip(BASES, self.sums, strict=True):
+            part = (sums[length:] - sums[: self.n - length + 1]) % np.uint64(PRIME)
+            out = out << np.uint64(31) | part * _powers(pow(base, -1, PRIME), len(part)) % np.uint64(PRIME)
+        return out
+
+
+def _free_runs(free: np.ndarray) -> np.ndarray:
+    """For every place, how many unmarked words follow in a row."""
+    at = np.arange(len(free))
+    stop = np.where(free, len(free), at)
+    return np.minimum.accumulate(stop[::-1])[::-1] - at
+
+
+def tiles(a: np.ndarray, b: np.ndarray, least: int, free_a: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """Greedy tiles ``(a, b, length)`` of ``a`` and ``b``; ``free_a``: the places of ``a`` that may be used.
+
+    The longest match of unmarked words is marked first; ties go to the first place in
+    ``a``, then ``b``.
     """
-    free_a, free_b = np.ones(len(a), bool), np.ones(len(b), bool)
-    made, seeds = [], starts
-    while seeds:
-        grown, ends = [], {}
-        for i, j in sorted(seeds):
-            if ends.get(i - j, -1) > i:  # lies in a match that began before it on the same diagonal
+    free_a = np.ones(len(a), bool) if free_a is None else free_a.copy()
+    free_b = np.ones(len(b), bool)
+    in_a, in_b = Windows(a), Windows(b)
+    made, most = [], min(len(a), len(b))
+    while most >= least:
+        run_a, run_b = _free_runs(free_a), _free_runs(free_b)
+        most = min(most, int(run_a.max()), int(run_b.max()))
+
+        def open_windows(length: int, run_a=run_a, run_b=run_b) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """Places of unmarked windows of ``a`` that ``b`` has too, and all of ``b``, with their hashes; those of ``b`` sorted by hash, then place."""
+            i, j = (np.flatnonzero(r[: len(r) - length + 1] >= length) for r in (run_a, run_b))
+            x, y = in_a.of(length)[i], in_b.of(length)[j]
+            order = np.argsort(y, kind="stable")
+            j, y = j[order], y[order]
+            met = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x if len(y) else np.zeros(len(x), bool)
+            return i[met], x[met], j, y
+
+        low, high = least - 1, most
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if len(open_windows(middle)[0]) else (low, middle - 1)
+        if low < least:
+            break
+        i, x, j, y = open_windows(low)
+        first, end = np.searchsorted(y, x).tolist(), np.searchsorted(y, x, side="right").tolist()
+        next_of: dict[int, int] = {}  # by the first window of a hash, the first that is free
+        upto = 0
+        for at, begin, stop in zip(i.tolist(), first, end, strict=True):
+            if at < upto:
                 continue
-            n = 0
-            while i + n < len(a) and j + n < len(b) and free_a[i + n] and free_b[j + n] and a[i + n] == b[j + n]:
-                n += 1
-            ends[i - j] = i + n
-            if n >= least:
-                grown.append((n, i, j))
-        if not grown:
-            return made
-        grown.sort(key=lambda x: (-x[0], x[1], x[2]))
-        longest = grown[0][0]
-        for n, i, j in grown:
-            if n < longest:
-                break
-            if free_a[i : i + n].all() and free_b[j : j + n].all():
-                free_a[i : i + n] = free_b[j : j + n] = False
-                made.append((i, j, n))
-        seeds = [(i, j) for i, j in seeds if free_a[i : i + least].all() and free_b[j : j + least].all()]
+            k = next_of.get(begin, begin)
+            while k < stop and not (free_b[j[k]] and free_b[j[k] + low - 1]):  # marks of this round are of this length
+                k += 1
+            next_of[begin] = k
+            if k < stop and (a[at : at + low] == b[j[k] : j[k] + low]).all():
+                upto = at + low
+                free_a[at:upto] = free_b[j[k] : j[k] + low] = False
+                made.append((at, int(j[k]), low))
+        most = low - 1
     return made
 
 
+def _covered(starts: np.ndarray, k: int, n: int) -> np.ndarray:
+    """Which of ``n`` places windows of ``k`` at these starts cover."""
+    change = np.bincount(starts, minlength=n + 1)[: n + 1] - np.bincount(starts + k, minlength=n + 1)[: n + 1]
+    return np.cumsum(change)[:n] > 0
+
+
+class Seeds(NamedTuple):
+    """The seeds of the items of one seed length: sorted hashes, and the items that have each."""
+
+    keys: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+    items: np.ndarray
+
+    def items_of(self, places: np.ndarray) -> np.ndarray:
+        n = self.count[places]
+        ends = np.cumsum(n)
+        return np.unique(self.items[np.repeat(self.first[places] - (ends - n), n) + np.arange(ends[-1])])
+
+
+class Item(NamedTuple):
+    """An item's id, words as codes, seed length and the place of each of its windows among the seeds."""
+
+    name: int
+    codes: np.ndarray
+    k: int
+    places: np.ndarray
+
+
 class Items:
     """A block of benchmark items: their words as codes and the index of their seeds."""
 
     def __init__(self, items: list[tuple[int, str]], least: int) -> None:
         self.code: dict[str, int] = {}
-        self.items = []
-        index: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        known = []
         for item, text in items:
             codes = np.array([self.code.setdefault(w, len(self.code)) for w in words(text)], np.int64)
             if len(codes):
                 k = min(least, len(codes))
-                for j, h in enumerate(rolling(codes, k).tolist()):
-                    index.setdefault(k, {}).setdefault(h, []).append((len(self.items), j))
-                self.items.append((item, codes, k))
-        self.index = {k: (np.array(sorted(seeds), np.uint64), seeds) for k, seeds in index.items()}
+                known.append((item, codes, k, rolling(codes, k)))
+        self.index: dict[int, Seeds] = {}
+        for k in sorted({x[2] for x in known}):
+            hashes = np.concatenate([x[3] for x in known if x[2] == k])
+            owner = np.concatenate([np.full(len(x[3]), i) for i, x in enumerate(known) if x[2] == k])
+            order = np.lexsort((owner, hashes))
+            hashes, owner = hashes[order], owner[order]
+            new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])])
+            keys, first, count = np.unique(hashes[new], return_index=True, return_counts=True)
+            self.index[k] = Seeds(keys, first, count, owner[new])
+        self.items = [Item(name, codes, k, np.searchsorted(self.index[k].keys, h)) for name, codes, k, h in known]
 
     def leaks(self, text: str | None, coverage: float) -> list[tuple[int, float, int]]:
         """``(item, share of its words, longest tile)`` of the items that leak into the text."""
-        codes = np.array([self.code.get(w, -1) for w in words(text)], np.int64)
-        hits: dict[int, list[tuple[int, int]]] = {}
-        for k, (keys, seeds) in self.index.items():
+        found = words(text) if len(text or "") < LONG_CHARS else (m[0] for m in WORDS.finditer(text.lower()))
+        codes = np.fromiter((self.code.get(w, -1) for w in found), np.int64)
+        run = np.cumsum(np.concatenate([[0], codes >= 0]))
+        out = []
+        for k, seeds in self.index.items():
             if len(codes) < k:
                 continue
-            known = codes >= 0
-            run = np.cumsum(np.concatenate([[0], known]))
             at = np.flatnonzero(run[k:] - run[:-k] == k)  # windows of benchmark words only
             if not len(at):
                 continue
             found = rolling(codes, k)[at]
-            place = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-            for i, h in zip(at[keys[place] == found].tolist(), found[keys[place] == found].tolist(), strict=True):
-                for item, j in seeds[h]:
-                    hits.setdefault(item, []).append((i, j))
-        out = []
-        for item, starts in hits.items():
-            name, own, k = self.items[item]
-            if len({j + x for _, j in starts for x in range(k)}) < coverage * len(own):
-                continue  # all seeds together cover too little
-            made = tiles(codes, own, starts, k)
-            share = sum(n for _, _, n in made) / len(own)
-            if share >= coverage:
-                out.append((name, share, max(n for _, _, n in made)))
+            place = np.minimum(np.searchsorted(seeds.keys, found), len(seeds.keys) - 1)
+            hit = seeds.keys[place] == found
+            if not hit.any():
+                continue
+            at, place = at[hit], place[hit]
+            held = np.unique(place)
+            for i in seeds.items_of(held).tolist():
+                name, own, _, places = self.items[i]
+                if _covered(np.flatnonzero(np.isin(places, held)), k, len(own)).sum() < coverage * len(own):
+                    continue  # all seeds together cover too little
+                used = _covered(at[np.isin(place, places)], k, len(codes))
+                kept = np.flatnonzero(used | np.concatenate([[False], used[:-1]]))  # each stretch and a word after it
+                made = tiles(np.where(used[kept], codes[kept], -1), own, k, used[kept])
+                share = sum(n for _, _, n in made) / len(own)
+                if share >= coverage:
+                    out.append((name, share, max(n for _, _, n in made)))
         return out
 
 

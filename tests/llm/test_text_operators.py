@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pandas as pd
@@ -205,6 +206,24 @@ def test_tiles_against_brute_force():
         assert (round(found[0][1] * len(item)) if found else 0) == brute_tiles(text, item, 3)
 
 
+def test_tiles_of_repetitive_texts():
+    """Texts that repeat themselves: the same tiles as brute force, in time that grows with their lengths."""
+    rng = random.Random(14)
+    for _ in range(120):
+        a, b = (np.array([rng.choice([0, 0, 0, 1]) for _ in range(rng.randint(1, 40))]) for _ in range(2))
+        least = rng.randint(1, 4)
+        made = decontaminate.tiles(a, b, least)
+        assert all((a[i : i + n] == b[j : j + n]).all() and n >= least for i, j, n in made)
+        assert sum(n for _, _, n in made) == brute_tiles(a.tolist(), b.tolist(), least)
+    began = time.process_time()
+    same = "word " * 20_000
+    assert decontaminate.Items([(1, same)], 5).leaks(same, 0.5) == [(1, 1.0, 20_000)]
+    parted = " ".join("word " * n + "stop" for n in range(1, 200))
+    assert decontaminate.Items([(1, same)], 5).leaks(parted, 0.5)[0][2] == 199
+    assert decontaminate.Items([(k, same) for k in range(20)], 5).leaks("word " * 5000, 0.2) == [(k, 0.25, 5000) for k in range(20)]
+    assert time.process_time() - began < 4
+
+
 def test_decontaminate(spark):
     one, two = "alpha beta gamma delta epsilon zeta eta theta iota kappa", "red green blue"
     texts = [f"x {one} y", "zeta eta theta iota kappa and then alpha beta gamma delta epsilon", "alpha beta gamma delta other words", "Red, GREEN blue!", None, "", "clean", "red green " * 4000]
