@@ -4,17 +4,23 @@ Markup is stripped first: comments, scripts, styles, forms and other elements th
 hold running text go with their contents, block-level tags become line ends, and the rest
 of the tags vanish. What is left is a list of lines. The length of text in a sliding
 window of lines is the page's distribution: the main text begins where the sum surges and
-ends where it dives to nothing, and the lines between are kept.
+ends where it dives to nothing, and the lines between are kept. All regions are kept, not the
+greatest alone.
 
 Elements that name their role are used as hard borders: navigation, headers of the page,
 footers, asides, and blocks whose class or id marks adverts, menus, notices, sidebars or
 reader comments count as no text (within an article, and for ids of sections anywhere, only whole
-classes and ids of a narrower list do, and ids of headings never), and an ``article`` or ``main`` element, where a page has
-one, bounds the search; inside it all lines belong to the text. On pages without such
-elements everything from the first surge to the last dive is kept, and with it the short
+classes and ids of a narrower list do, and ids of headings never). ``article`` and ``main``
+elements weigh on the distribution: their lines count as surges each, so nothing within
+them is lost, and where they hold a third of the page's text the other lines count nothing. On other pages
+everything from the first surge to the last dive is kept, and with it the short
 lines next to these ends, up to an element that was dropped for its role or a line of links
 alone, and what follows a heading before the first surge.
 
+A page is read once, from left to right, in time that grows with its length whatever it holds.
+The start of a block ends a paragraph, and that of a list item, cell or row the one before it, as in browsers. A tag that
+never ends is dropped with what follows it, as there is no other markup to come.
+
 Character references are decoded, runs of white space become one blank, and blocks are
 joined in page order by one blank.
 
@@ -27,7 +33,9 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pandas as pd
@@ -37,7 +45,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 # Elements of the HTML standard by what they do to text.
-DROPPED = {"script", "style", "noscript", "template", "form", "select", "button", "textarea", "svg", "math", "canvas", "iframe", "object", "head", "title", "nav", "footer", "aside", "dialog", "menu", "audio", "video", "map", "datalist", "label"}
+DROPPED = {"script", "style", "noscript", "template", "form", "select", "button", "textarea", "svg", "math", "canvas", "iframe", "object", "head", "title", "nav", "footer", "aside", "dialog", "menu", "audio", "video", "map", "datalist"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe"}
 BLOCKS = {"address", "article", "blockquote", "body", "br", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -49,16 +57,29 @@ MARKS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice\w*|popup|modal|menu\w*|nav\w*|breadcrumbs?|sidebar\w*|side|widget\w*|related|share|sharing|social|comments?|commentlist|replies|disqus|respond|footer\w*|masthead|subscribe|newsletter|signup|login|pagination|pager|navigation|complementary|contentinfo|alert)(?:$|[\s_-])",
     re.I,
 )
-TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Elements that the start of another one ends, as the HTML standard has it.
+ENDS_P = BLOCKS - {"br", "caption", "html", "body", "tbody", "td", "tfoot", "th", "thead", "tr", "li", "dd", "dt"} | {"form", "nav", "footer", "aside", "menu", "dialog"}
+ENDED_BY = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "option": ("option",), "a": ("a",)}
+LISTS = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "td": ("table", "tr"), "th": ("table", "tr"), "tr": ("table",), "option": ("select", "datalist"), "a": ()}
+#: Elements that end tags of other elements don't reach out of.
+SCOPES = {"article", "main", "body", "td", "th"}
+#: Elements whose own end tags do.
+THROUGH = {"html", "body", "main", "article", "table", "tbody", "thead", "tfoot", "tr", "td", "th"}
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: The rest of a tag up to its end, which may not stand in quotes; nothing is tried twice.
+REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 #: Whole classes and ids that mark the same within an article, where ids are often slugs of headings.
 INNER_MARKS = re.compile(
     r"(?:ads?|adverts?|advertisements?|advertising|sponsored|promo|comments?|comment-?list|replies|respond|disqus(?:_thread)?|share|sharing|share-(?:bar|buttons?|links)|social-(?:bar|buttons?|links|share)|related-(?:articles|links|posts|stories)|newsletter(?:-signup)?|subscribe|signup|sidebar|breadcrumbs?|pagination|pager|nav|navbar|navigation|cookie-(?:banner|consent|notice)|popup)",
     re.I,
 )
 ROLES = re.compile(r"navigation|complementary|contentinfo|banner", re.I)
-ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: Parts of a class that tell what an element is with or without, not what it is.
+MODIFIER = re.compile(r"(?:has|have|with|without|no|is|show|hide)-\S+", re.I)
 UNSHOWN = re.compile(r"display\s*:\s*none", re.I)
 SPACE = re.compile(r"\s+")
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 
 
 def roles_of(name: str, rest: str, within: bool) -> tuple[bool, bool]:
@@ -72,7 +93,7 @@ def roles_of(name: str, rest: str, within: bool) -> tuple[bool, bool]:
             if within or key == "id" and name == "section":
                 marked = marked or any((ROLES if key == "role" else INNER_MARKS).fullmatch(x) for x in value.split())
             else:
-                marked = marked or bool(MARKS.search(value))
+                marked = marked or bool(MARKS.search(MODIFIER.sub("", value)))
     return marked, hidden
 
 
@@ -84,82 +105,173 @@ class Place(NamedTuple):
     bordered: bool
 
 
-def lines_of(page: str) -> tuple[list[str], list[bool], list[Place]]:
-    """The text lines of a page, whether each lies in an ``article`` or ``main`` element, and how it stands."""
-    lines: list[str] = []
-    inside: list[bool] = []
-    places: list[Place] = []
-    held: list[str] = []
-    loose = border = False  # whether text outside links is held, and whether a border came before it
-    stack: list[tuple[str, bool, bool]] = []  # name, drops its text, is the article
-
-    def hold(text: str) -> None:
-        nonlocal loose
-        held.append(text)
-        loose = loose or bool(text.strip()) and not any(x[0] == "a" for x in stack)
-
-    def flush() -> None:
-        nonlocal loose, border
-        text = SPACE.sub(" ", references.unescape("".join(held))).strip()
-        held.clear()
-        if text:
-            lines.append(text)
-            inside.append(any(x[2] for x in stack))
-            places.append(Place(any(x[0] in HEADINGS for x in stack), not loose, border))
-            border = False
-        loose = False
-
-    def opened(name: str, rest: str) -> None:
-        nonlocal border
-        quiet = bool(stack) and stack[-1][1]
-        drops = quiet or name in DROPPED
-        marked = False
-        if not drops and rest:
-            marked, hidden = roles_of(name, rest, any(x[2] for x in stack))
+class Open(NamedTuple):
+    """An open element, and whether it drops its text."""
+
+    name: str
+    drops: bool
+
+
+class Scanner:
+    """One pass over a page to its text lines; every tag takes constant time, spread over the page.
+
+    Open elements are on a stack. What is asked of them (is one of this name open, does one
+    drop text, is one an article) is counted, so that no question walks the stack.
+    """
+
+    def __init__(self) -> None:
+        self.lines: list[str] = []
+        self.inside: list[bool] = []
+        self.places: list[Place] = []
+        self.held: list[str] = []
+        self.loose = self.border = False  # whether text outside links is held, and whether a border came before it
+        self.stack: list[Open] = []
+        self.count: Counter[str] = Counter()
+        self.scopes: list[Counter[str]] = [Counter()]  # of elements since the last of SCOPES was opened
+        self.within: dict[str, list[int]] = {k: [0] for k in LISTS}  # of elements by name since their list was opened
+        self.drops = self.articles = self.headings = 0
+
+    def hold(self, text: str) -> None:
+        if not self.drops and text:
+            self.held.append(text)
+            self.loose = self.loose or not self.count["a"] and bool(text.strip())
+
+    def flush(self) -> None:
+        if self.held:
+            text = SPACE.sub(" ", references.unescape("".join(self.held))).strip()
+            self.held.clear()
+            if text:
+                self.lines.append(text)
+                self.inside.append(self.articles > 0)
+                self.places.append(Place(self.headings > 0, not self.loose, self.border))
+                self.border = False
+        self.loose = False
+
+    def push(self, name: str, drops: bool) -> None:
+        self.stack.append(Open(name, drops))
+        self.count[name] += 1
+        self.scopes[-1][name] += 1
+        if name in SCOPES:
+            self.scopes.append(Counter())
+        for inner, lists in LISTS.items():
+            if name in lists:
+                self.within[inner].append(0)
+        if name in self.within:
+            self.within[name][-1] += 1
+        self.drops += drops
+        self.articles += name in ("article", "main")
+        self.headings += name in HEADINGS
+
+    def pop(self) -> str:
+        name, drops = self.stack[-1]
+        if name in BLOCKS or drops:
+            self.flush()
+        self.stack.pop()
+        if name in SCOPES:
+            self.scopes.pop()
+        self.count[name] -= 1
+        self.scopes[-1][name] -= 1
+        if name in self.within:
+            self.within[name][-1] -= 1
+        for inner, lists in LISTS.items():
+            if name in lists:
+                self.within[inner].pop()
+        self.drops -= drops
+        self.articles -= name in ("article", "main")
+        self.headings -= name in HEADINGS
+        return name
+
+    def close(self, name: str) -> None:
+        """End the last element of the name and all in it, if it can be reached."""
+        if (self.count if name in THROUGH else self.scopes[-1])[name] > 0:
+            while self.pop() != name:
+                pass
+
+    def started(self, name: str, rest: str) -> None:
+        if name in ENDS_P:
+            self.close("p")
+        for ended in ENDED_BY.get(name, ()):
+            if self.within[ended][-1] > 0:
+                self.close(ended)
+        quiet = self.drops > 0
+        drops, marked = name in DROPPED, False
+        if not quiet and not drops and rest:
+            marked, hidden = roles_of(name, rest, self.articles > 0)
             drops = marked or hidden
-        if not drops and name == "header":  # of the page, not of the article
-            drops = not any(x[2] for x in stack)
+        if name == "header" and not self.articles:  # of the page, not of the article
+            drops = True
+        drops = drops and name not in ("body", "html", "article", "main")
         if name in BLOCKS or drops:
-            flush()
-        border = border or not quiet and drops and (marked or name in BORDERS) and name not in ("body", "html", "article", "main")
-        if name not in VOID and not rest.endswith("/"):
-            stack.append((name, drops and name not in ("body", "html", "article", "main") or quiet, name in ("article", "main")))
-
-    def closed(name: str) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == name:
-                flush() if name in BLOCKS or any(x[1] or x[2] for x in stack[k:]) else None
-                del stack[k:]
-                return
-            if stack[k][0] in ("article", "main", "body") and name not in ("html", "body", "main", "article"):
-                return  # a stray end tag closes nothing outside the article
-
-    at = 0
-    for m in iter(lambda: TAG.search(page, at), None):
-        if m.start() > at and not (stack and stack[-1][1]):
-            hold(page[at : m.start()])
-        at = m.end()
-        name = (m[3] or "").lower()
-        if not name:
-            if m[1] and not (stack and stack[-1][1]):
-                hold(m[1].replace("&", "&amp;"))
-            continue
-        if m[2]:
-            if name == "br" or name == "p" and not any(x[0] == "p" for x in stack):
-                flush()
-            else:
-                closed(name)
-            continue
-        opened(name, m[4] or "")
-        if name in RAW and not (m[4] or "").endswith("/"):
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            if stack and stack[-1][0] == name:
-                stack.pop()
-    if at < len(page) and not (stack and stack[-1][1]):
-        hold(page[at:])
-    flush()
-    return lines, inside, places
+            self.flush()
+        self.border = self.border or not quiet and drops and (marked or name in BORDERS)
+        if name not in VOID and name not in RAW and not rest.endswith("/"):
+            self.push(name, drops)
+
+    def ended(self, name: str) -> None:
+        if name == "br" or name == "p" and not self.scopes[-1]["p"]:
+            self.flush()
+        else:
+            self.close(name)
+
+    def read(self, page: str) -> None:
+        at, last, quoted = 0, page.rfind(">"), True
+        while True:
+            tag = page.find("<", at)
+            if tag < 0:
+                break
+            self.hold(page[at:tag])
+            following = page[tag + 1 : tag + 2]
+            if following in ("!", "?"):
+                at = self.declared(page, tag)
+                continue
+            end_tag = following == "/"
+            name = NAME.match(page, tag + 1 + end_tag)
+            if not name:
+                self.hold("<")
+                at = tag + 1
+                continue
+            if name.end() > last:
+                return self.flush()  # a tag without an end
+            rest = REST.match(page, name.end()) if quoted else None
+            if rest:
+                at, attributes = rest.end(), rest[1]
+            else:  # from here on quotes may not be paired, so tags end at the next sign for it
+                quoted, end = False, page.find(">", name.end())
+                at, attributes = end + 1, page[name.end() : end]
+            tag_name = name[0].lower()
+            if end_tag:
+                self.ended(tag_name)
+                continue
+            self.started(tag_name, attributes)
+            if tag_name in RAW and not attributes.endswith("/"):
+                end = RAW_END[tag_name].search(page, at)
+                at = end.end() if end else len(page)
+        self.hold(page[at:])
+        self.flush()
+
+    def declared(self, page: str, tag: int) -> int:
+        """Pass over a comment, a declaration or an instruction; text in a CDATA section stays."""
+        if page.startswith("<!--", tag):
+            start, mark = tag + 4, "-->"
+        elif page.startswith("<![CDATA[", tag):
+            start, mark = tag + 9, "]]>"
+        else:
+            start, mark = tag + 1, ">"
+        end = page.find(mark, start)
+        if mark == "]]>":
+            self.hold(page[start : end if end >= 0 else len(page)].replace("&", "&amp;"))
+        return end + len(mark) if end >= 0 else len(page)
+
+
+def lines_of(page: str) -> tuple[list[str], list[bool], list[Place]]:
+    """The text lines of a page, whether each lies in an ``article`` or ``main`` element, and how it stands."""
+    scanner = Scanner()
+    scanner.read(page)
+    return scanner.lines, scanner.inside, scanner.places
+
+
+#: Share of a page's text that its article elements hold, from which on they bound the search.
+ARTICLE_SHARE = 1 / 3
 
 
 def surges(weights: list[int], *, window: int = 3, surge_chars: int = 120, quiet_chars: int = 30) -> list[tuple[int, int]]:
@@ -169,7 +281,8 @@ def surges(weights: list[int], *, window: int = 3, surge_chars: int = 120, quiet
     where the sum over the next ``window`` lines reaches ``surge_chars``, and closes where
     that sum falls under ``quiet_chars``.
     """
-    sums = [sum(weights[i : i + window]) for i in range(len(weights))]
+    upto = [0, *accumulate(weights)]
+    sums = [upto[min(i + window, len(weights))] - upto[i] for i in range(len(weights))]
     found, k = [], 0
     while k < len(weights):
         end = k
@@ -196,14 +309,16 @@ def widened(start: int, end: int, places: list[Place]) -> tuple[int, int]:
 def main_text(page: str | None, *, window: int = 3, surge_chars: int = 120, quiet_chars: int = 30) -> str:
     """The text between the surge and dive points.
 
-    A line of an article element counts as a surge of its own, and beside articles all other
-    lines count nothing; then every region is kept, without the lines that count nothing.
-    On other pages all from the first region to the last is kept, with what ``widened`` adds,
-    or all lines where the text never surges.
+    A line of an article element has the weight of a surge at least. Where the articles of a page
+    hold a share of ``ARTICLE_SHARE`` of its text or more, other lines weigh nothing there, and
+    every region is kept without the lines that weigh nothing. On other pages all from the
+    first region to the last is kept, with what ``widened`` adds, or all lines where the text
+    never surges.
     """
     lines, inside, places = lines_of(page or "")
-    marked = any(inside)
-    weights = [(max(len(x), surge_chars) if own else 0) if marked else len(x) for x, own in zip(lines, inside, strict=True)]
+    own = sum(len(x) for x, i in zip(lines, inside, strict=True) if i)
+    marked = own > 0 and own >= ARTICLE_SHARE * sum(map(len, lines))
+    weights = [max(len(x), surge_chars) if i else 0 if marked else len(x) for x, i in zip(lines, inside, strict=True)]
     regions = surges(weights, window=window, surge_chars=surge_chars, quiet_chars=quiet_chars)
     if not marked:
         regions = [widened(regions[0][0], regions[-1][1], places)] if regions else [(0, len(lines))]

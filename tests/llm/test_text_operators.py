@@ -137,6 +137,53 @@ def test_sample_pages_without_their_article_tags(spark):
     assert [html_text.main_text(p) for p in bare] == [html_text.main_text(p) for p in pages]
 
 
+def test_lost_texts():
+    body = "<p class='notice'>ad<p>" + LONG + "<p>" + OTHER
+    assert html_text.main_text(f"<body>{body}</body>") == f"{LONG} {OTHER}"
+    assert html_text.main_text(f"<article>{body}</article>") == f"ad {LONG} {OTHER}"  # no whole class of the narrower list
+    kept = "<blockquote class='note side'>a</blockquote><section class='share-price'>b</section><label>c</label>"
+    assert html_text.main_text(f"<article><p>{LONG}</p>{kept}</article>") == f"{LONG} a b c"
+    assert html_text.main_text(f"<div class='page has-sidebar'><p>{LONG}</p></div><div class='left sidebar'>links</div>") == LONG
+    assert html_text.main_text(f"<div class=menu><ul><li>one<li>two</div><p>{LONG}") == LONG
+    assert html_text.main_text(f"<table><tr><td>{LONG}<td><span>{OTHER}</div></td></tr></table></p>x") == f"{LONG} {OTHER} x"
+    assert html_text.main_text(f"<p>{LONG}</p><main></main><p>{OTHER}</p>") == f"{LONG} {OTHER}"  # an empty article bounds nothing
+    assert html_text.main_text('<p title="a>b">x</p> 3 < 4 <b class="y>z</b> &lt;i&gt;<u') == "x 3 < 4 z <i>"
+
+
+@pytest.mark.parametrize("page", ["<a " * 330_000, "<p>x" * 250_000, "<div>" * 100_000 + "</span>" * 70_000, '<a ">" ' * 160_000, "<li>" * 250_000, "<div>" * 100_000 + "<li></li>" * 50_000, "<p a" + " a" * 500_000 + ">", "<" * 1_000_000, "<script>" * 120_000, "<!--" * 250_000, "<ul><li>" * 120_000 + "</a>" * 10_000])
+def test_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 6 * len(page) / 1e6 + 1
+
+
+def brute_region(lines):
+    """What is kept of plain lines: from the first line where the distribution surges to the last before it dives."""
+    sums = [sum(len(x) for x in lines[i : i + 3]) for i in range(len(lines))]
+    keep = [False] * len(lines)
+    for start in range(len(lines)):
+        if sums[start] >= 120 and len(lines[start]) >= 30:
+            for i in range(start, len(lines)):
+                if sums[i] < 30:
+                    break
+                keep[i] = True
+    return keep
+
+
+def test_distribution_against_brute_force():
+    rng = random.Random(15)
+    for _ in range(400):
+        lines = ["x" * rng.choice([1, 3, 8, 20, 35, 90, 150]) for _ in range(rng.randint(1, 14))]
+        tag = lambda t: f"<{(n := rng.choice(['p', 'div', 'li', 'td', 'h2']))}>{t}</{n}>"
+        inner = "".join(map(tag, lines))
+        assert html_text.main_text(f"<body><nav>menu</nav><article>{inner}</article><p>{'y' * rng.randint(1, 60)}</p></body>").split()[: len(lines)] == lines
+        regions = html_text.surges([len(x) for x in lines])
+        kept = [any(a <= i < b for a, b in regions) for i in range(len(lines))]
+        brute = brute_region(lines)
+        assert all(b or not a for a, b in zip(kept, brute, strict=True))  # regions end at their last line of some length
+        assert all(a or len(x) < 30 for a, b, x in zip(kept, brute, lines, strict=True) if b)
+
+
 def test_surges():
     assert html_text.surges([5, 200, 200, 5, 200, 5, 3, 2]) == [(1, 5)]
     assert html_text.surges([5, 5]) == []
