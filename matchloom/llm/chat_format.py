@@ -33,6 +33,10 @@ CONTROL = r"\||/?INST\]|/?s>|</?SYS>>"
 #: Tokens that one unit of an attachment stands for (a tile, a second, a page), and those around it.
 TOKENS = {"image": (256, 2), "audio": (25, 2), "document": (512, 1)}
 TURN_BLOCK = 64
+#: A typed content part; ``units`` are tiles, seconds or pages.
+PART = T.StructType([T.StructField("type", T.StringType()), T.StructField("text", T.StringType()), T.StructField("ref", T.StringType()), T.StructField("units", T.IntegerType())])
+#: Elements summed up in one go by running sums.
+STEP = 128
 
 
 def escape(text: Column) -> Column:
@@ -74,20 +78,20 @@ def format_chats(
 ) -> DataFrame:
     """One row per conversation: ``conv_id, n_turns, formatted, loss_spans, attachments, expanded_tokens``.
 
-    ``content_col`` is a string, or an array of ``struct<type, text, ref, units>``.
+    ``content_col`` is a string, which is one ``text`` part, or an array of ``struct<type, text, ref, units>``.
     """
     kind = df.schema[content_col].dataType
     role = F.coalesce(F.col(role_col).cast("string"), F.lit(""))
-    if isinstance(kind, T.ArrayType):
-        parts = F.coalesce(F.col(content_col), F.array().cast(kind))
-        body = F.array_join(F.transform(parts, _visit), "")
-        attached = F.transform(
-            F.filter(parts, lambda p: p["type"].isin(*TOKENS)),
-            lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p).cast("long").alias("tokens")),
-        )
-    else:
-        body = escape(F.coalesce(F.col(content_col).cast("string"), F.lit("")))
-        attached = F.array().cast("array<struct<type:string,ref:string,tokens:bigint>>")
+    if not isinstance(kind, T.ArrayType):  # plain texts are turns of one text part
+        kind = T.ArrayType(PART)
+        plain = {"type": F.lit("text"), "text": F.col(content_col)}
+        df = df.withColumn(content_col, F.array(F.struct(*(plain.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in PART))))
+    parts = F.coalesce(F.col(content_col), F.array().cast(kind))
+    body = F.array_join(F.transform(parts, _visit), "")
+    attached = F.transform(
+        F.filter(parts, lambda p: p["type"].isin(*TOKENS)),
+        lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p).cast("long").alias("tokens")),
+    )
     turns = df.select(
         F.col(conv_col).alias("conv_id"),
         F.col(turn_col).cast("long").alias("turn"),
@@ -143,9 +147,17 @@ def format_chats(
 
 
 def _starts(lengths: Column) -> Column:
-    """Running sum before each element."""
+    """Running sum before each element: over steps of the array, then within each, so that long arrays take linear time."""
     zero = F.array(F.lit(0).cast("long"))
-    return F.slice(F.aggregate(lengths, zero, lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))), 1, F.size(lengths))
+    within = lambda x: F.slice(F.aggregate(x, zero, lambda a, y: F.concat(a, F.array(F.element_at(a, -1) + y))), 1, F.size(x))
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, y: a + y)
+
+    def stepped(x: Column, inner) -> Column:
+        steps = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / STEP).cast("int")), lambda k: F.slice(x, k * STEP + 1, STEP))
+        moved = F.zip_with(steps, inner(F.transform(steps, total)), lambda part, at: F.transform(within(part), lambda y: y + at))
+        return F.when(F.size(x) > 0, F.flatten(moved)).otherwise(F.array().cast("array<bigint>"))
+
+    return stepped(lengths, lambda x: stepped(x, within))
 
 
 def _spans(turns: Column) -> Column:

@@ -75,6 +75,8 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        F.size("attachments").cast("long").alias("n_attachments"),
+        "expanded_tokens",
     )
 
 
@@ -150,7 +152,7 @@ select conv_id, count(*) as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
   cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
-  cast(sum(n + length(role) + 17) as bigint) as formatted_chars
+  cast(sum(n + length(role) + 17) as bigint) as formatted_chars, cast(0 as bigint) as n_attachments, cast(0 as bigint) as expanded_tokens
 from sized group by conv_id
 """
 

@@ -183,6 +183,18 @@ def test_chats_read_back(spark):
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
 
+def test_long_chats(spark):
+    """Running sums over steps, and many turns of one number or none."""
+    sizes = [0, 1, 127, 128, 129, 40_000]
+    df = spark.createDataFrame([([(i * 7) % 11 for i in range(n)],) for n in sizes], "x array<long>")
+    for r in df.select("x", chat_format._starts(F.col("x")).alias("y")).collect():
+        assert r["y"] == [sum(r["x"][:i]) for i in range(min(len(r["x"]), 300))] + np.cumsum([0, *r["x"]])[300:-1].tolist()
+    rows = [(1, turn, "assistant", f"t{i}") for i, turn in enumerate([None] * 300 + [5] * 300)]
+    made = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    said = made.select(chat_format.loss_text(F.col("formatted"), F.col("loss_spans")).alias("x")).first()["x"]
+    assert said == "".join(sorted(f"t{i}" for i in range(300))) + "".join(sorted(f"t{i}" for i in range(300, 600)))
+
+
 def test_chat_parts(spark):
     part = "array<struct<type:string,text:string,ref:string,units:int>>"
     rows = [(1, 0, "user", [("text", "look <|image|> ", None, None), ("image", None, "a.png", 2), ("audio", None, "b.wav", 3), None]), (1, 1, "assistant", [("document", None, "c.pdf", None), ("text", "ok", None, None)])]
