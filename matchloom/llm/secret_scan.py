@@ -9,9 +9,12 @@ automaton. A candidate is added as an ``inferred`` span when its code is no long
 character, than that of nearly all labelled credentials of the kind and clearly shorter
 than under a model of ordinary runs.
 
-Training looks at every text, keeps at most ``max_labels`` distinct values a kind and
-``max_words`` ordinary runs (chosen by hash, so the choice spreads over all rows), and sends
-automata of bounded size to the executors.
+Training looks at every text. Only the shapes of the values leave the tasks (each letter or digit
+as its class) with a hash of the value, so no credential is written anywhere. It keeps at most
+``max_labels`` distinct values a kind and ``max_words`` ordinary runs (chosen by hash, so the
+choice spreads over all rows), of at most ``max_chars`` characters together, and sends
+automata of bounded size to the executors. Of a value longer than ``LONGEST`` that many
+characters are learned from, and it counts as going on there, not as ending. Scans take whole values.
 
 Defined cases: null text counts as empty; spans are in code points, ends exclusive; a kind
 without labelled values gets no automaton; repeated rows are scanned each; an empty table
@@ -26,6 +29,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -46,7 +50,22 @@ PLAIN = re.compile(r"[A-Za-z][a-z]+(?:[-/_][A-Za-z][a-z]*)*")
 CLASS = {**{c: "d" for c in "0123456789"}, **{c: "h" for c in "abcdef"}, **{c: "l" for c in "ghijklmnopqrstuvwxyz"}, **{c: "H" for c in "ABCDEF"}, **{c: "U" for c in "GHIJKLMNOPQRSTUVWXYZ"}}
 CLASS_BITS = {k: math.log2(n) for k, n in Counter(CLASS.values()).items()}
 
+#: Characters of one value that are learned from.
+LONGEST = 4096
+_SHAPES = str.maketrans(CLASS)
+
 Span = tuple[str, int, int]
+Sample = tuple[str, bool]
+
+
+def shape(value: str) -> str:
+    """The classes of a value's characters; signs stand for themselves."""
+    return value.translate(_SHAPES)
+
+
+def sampled(value: str) -> Sample:
+    """What is learned of a value: its shape, and whether that is all of it."""
+    return shape(value[:LONGEST]), len(value) <= LONGEST
 
 
 def base_spans(text: str) -> list[Span]:
@@ -99,13 +118,12 @@ class Edge:
 class Automaton:
     """A probabilistic automaton over character classes, inferred by merging prefix-tree states."""
 
-    def __init__(self, samples: list[str], *, alpha: float = 0.05, max_length: int = 128) -> None:
+    def __init__(self, samples: list[Sample], *, alpha: float = 0.05) -> None:
         self.states = [State()]
-        for value in samples:
+        for kinds, whole in samples:
             at = 0
-            for c in value[:max_length]:
+            for c in kinds:
                 self.states[at].arrived += 1
-                c = CLASS.get(c, c)
                 edge = self.states[at].next.get(c)
                 if edge is None:
                     edge = self.states[at].next[c] = Edge(0, len(self.states))
@@ -113,12 +131,12 @@ class Automaton:
                 edge.count += 1
                 at = edge.to
             self.states[at].arrived += 1
-            self.states[at].ended += 1
+            self.states[at].ended += whole
         self.slack = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge()
         self.bits_limit = 0.0
-        if samples:
-            each = sorted(self.bits(v) / len(v) for v in samples)
+        each = sorted(self.bits(kinds) / len(kinds) for kinds, whole in samples if whole)
+        if each:
             self.bits_limit = each[min(len(each) - 1, int(0.99 * len(each)))]
 
     def _differ(self, f: int, n: int, g: int, m: int) -> bool:
@@ -176,11 +194,10 @@ class Automaton:
             for e in state.next.values():
                 e.to = number[e.to]
 
-    def bits(self, value: str, unseen: float = 24.0) -> float:
-        """Code length of the value's format; a step that no sample took costs ``unseen`` bits."""
+    def bits(self, kinds: str, unseen: float = 24.0) -> float:
+        """Code length of a value of this shape; a step that no sample took costs ``unseen`` bits."""
         at, bits = 0, 0.0
-        for c in value:
-            kind = CLASS.get(c, c)
+        for kind in kinds:
             bits += CLASS_BITS.get(kind, 0.0)
             edge = self.states[at].next.get(kind)
             if edge is None:
@@ -195,17 +212,15 @@ class Automaton:
 class Ordinary:
     """How ordinary runs of credential characters look: pairs of classes, with add-one counts."""
 
-    def __init__(self, samples: list[str]) -> None:
-        shapes = ("".join(CLASS.get(c, c) for c in v) for v in samples)
-        self.pairs = Counter(pair for k in shapes for pair in zip(" " + k, k, strict=False))
+    def __init__(self, samples: list[Sample]) -> None:
+        self.pairs = Counter(pair for k, _ in samples for pair in zip(" " + k, k, strict=False))
         self.first = Counter()
         for (p, _), n in self.pairs.items():
             self.first[p] += n
 
-    def bits(self, value: str) -> float:
+    def bits(self, kinds: str) -> float:
         before, bits = " ", 0.0
-        for c in value:
-            kind = CLASS.get(c, c)
+        for kind in kinds:
             bits += CLASS_BITS.get(kind, 0.0) - math.log2((self.pairs[before, kind] + 1) / (self.first[before] + 10))
             before = kind
         return bits
@@ -219,7 +234,7 @@ class Formats:
 
     def score(self, value: str) -> float:
         """Bits by which the best automaton's code is shorter than the ordinary one; negative infinity if none fits."""
-        best = -math.inf
+        best, value = -math.inf, shape(value)
         for automaton in self.automata.values():
             if (bits := automaton.bits(value)) <= (automaton.bits_limit + 0.05) * len(value):
                 best = max(best, self.ordinary.bits(value) - bits)
@@ -232,8 +247,8 @@ class Formats:
         return base, ordered(base + more)
 
 
-def learn_formats(docs: DataFrame, *, text_col: str = "text", max_labels: int = 400, max_words: int = 2000, margin: float = 8.0) -> Formats:
-    """Fit the automata on the labelled credentials of all texts."""
+def learn_formats(docs: DataFrame, *, text_col: str = "text", max_labels: int = 400, max_words: int = 2000, max_chars: int = 100_000, margin: float = 8.0) -> Formats:
+    """Fit the automata on the labelled credentials of all texts; ``max_chars`` bounds what a kind learns from."""
 
     def labels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -241,16 +256,19 @@ def learn_formats(docs: DataFrame, *, text_col: str = "text", max_labels: int =
             for text in batch["text"]:
                 if text:
                     base = base_spans(text)
-                    found.update((kind, value_of(text, (kind, a, b))[:256]) for kind, a, b in base)
-                    found.update(("word", text[a:b][:256]) for a, b in candidates(text, base))
-            yield pd.DataFrame(sorted(found), columns=["kind", "value"])
-
-    rows = bounded_batches(docs).select(F.col(text_col).cast("string").alias("text")).mapInPandas(labels, "kind string, value string")
-    rows = staged(rows.select("kind", "value", F.xxhash64("value").alias("at")), "labels")
-    picked: dict[str, list[str]] = {}
+                    found.update((kind, value_of(text, (kind, a, b))) for kind, a, b in base)
+                    found.update(("word", text[a:b]) for a, b in candidates(text, base))
+            rows = [(kind, int.from_bytes(hashlib.blake2b(v.encode(), digest_size=8).digest(), "big", signed=True), *sampled(v)) for kind, v in sorted(found)]
+            yield pd.DataFrame(rows, columns=["kind", "at", "shape", "whole"])
+
+    rows = bounded_batches(docs).select(F.col(text_col).cast("string").alias("text")).mapInPandas(labels, "kind string, at long, shape string, whole boolean")
+    rows = staged(rows, "shapes")
+    picked: dict[str, list[Sample]] = {}
     for kind in (*LEAST, "word"):
         n = max_words if kind == "word" else max_labels
-        picked[kind] = [r["value"] for r in rows.where(F.col("kind") == kind).select("at", "value").distinct().orderBy("at", "value").limit(n).collect()]
+        near = rows.where(F.col("kind") == kind).select("at", "shape", "whole").distinct().orderBy("at", "shape").limit(n).collect()
+        room = accumulate(len(r["shape"]) for r in near)
+        picked[kind] = [(r["shape"], r["whole"]) for i, (r, used) in enumerate(zip(near, room, strict=True)) if i == 0 or used <= max_chars]
     automata = {k: Automaton(v) for k, v in picked.items() if k != "word" and v}
     return Formats(automata, Ordinary(picked["word"]), margin)
 
