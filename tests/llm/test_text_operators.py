@@ -11,6 +11,7 @@ import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from matchloom.llm import bpe, decontaminate, html_text, language_id, queries, secret_scan
 
@@ -56,16 +57,58 @@ def test_bpe_empty_table(spark):
     assert bpe.digests(documents(spark, []), path=PATH, pattern=PATTERN).count() == 0
 
 
-def test_ppm_costs_are_a_code():
-    """Costs of all bytes after a context make a distribution: they sum to one or less."""
-    sample = [("a", "abracadabra " * 20), ("b", "banana bandana " * 20)]
-    model = language_id.train(sample, least=1)
-    shares = np.exp2(-model.cost.astype(float))[:, :-1].sum(1)
-    assert (shares <= 1 + 1e-4).all()
-    assert language_id.code_lengths(model, "abracadabra").argmin() == 0
-    assert language_id.code_lengths(model, "banana ban").argmin() == 1
-    one, two = language_id.code_lengths(model, "abra banana " * 50), language_id.code_lengths(model, "abra banana " * 50, step=7)
-    assert np.allclose(one, two)
+def brute_bits(texts, text, order):
+    """Bits of a text by prediction by partial matching, one byte after the other, from plain counts."""
+    counts = {}
+    for t in texts:
+        raw = b"\n" * order + t.encode()
+        for i in range(order, len(raw)):
+            for k in range(order + 1):
+                by = counts.setdefault(raw[i - k : i], {})
+                by[raw[i]] = by.get(raw[i], 0) + 1
+    raw, bits = b"\n" * order + text.encode(), 0.0
+    for i in range(order, len(raw)):
+        for k in range(order, -1, -1):
+            by = counts.get(raw[i - k : i], {})
+            if raw[i] in by:
+                bits += np.log2((sum(by.values()) + len(by)) / by[raw[i]])
+                break
+            if by:
+                bits += np.log2((sum(by.values()) + len(by)) / len(by))
+        else:
+            bits += 8
+    return bits
+
+
+def test_ppm_against_brute_force():
+    rng = random.Random(17)
+    make = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    samples = {"a": [make("abc é", 60) for _ in range(6)] + [""], "b": [make("xyzab\n", 40) for _ in range(6)]}
+    models = {k: language_id.train(v, least=1) for k, v in samples.items()}
+    texts = [make("abcxyz é\n", rng.randint(1, 50)) for _ in range(30)] + ["", "日本"]
+    want = [[brute_bits(samples[k], t, 3) for k in "ab"] for t in texts]
+    for stretch in (7, 50, 1 << 20):
+        assert np.allclose(language_id.code_lengths(models, [t.encode() for t in texts], stretch), want, rtol=1e-5)
+
+
+def test_ppm_models_are_bounded():
+    """Costs after a context are those of a code, also of a pruned model; a model's size has a bound."""
+    rng = random.Random(18)
+    text = "".join(chr(rng.choice([rng.randint(97, 122), rng.randint(0x400, 0x4FF), rng.randint(0x4E00, 0x9FFF)])) for _ in range(60_000))
+    model = language_id.train([text], max_contexts=500, max_followers=2000)
+    assert all(len(c.codes) <= 2000 for c in model.followers) and all(len(c.codes) <= 500 for c in model.escapes)
+    for context in (b"\n\n\n", b"abc", "жж".encode()[:3]):
+        bits = model.costs(np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], np.uint64))
+        assert np.exp2(-bits.astype(float)).sum() <= 1 + 1e-4
+
+
+def test_language_sample(spark):
+    """Copies of a row count once, long texts give a stretch, and a language of long texts alone is learned."""
+    rows = [(None, "same text again", "en")] * 3000 + [(i, f"the cat and the dog {i}", "en") for i in range(500)] + [(i, "le chat et le chien " * 3000, "fr") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.training_sample(docs, F.lit(True), id_col="doc_id", text_col="text", lang_col="lang", max_rows=100, max_chars=200).toPandas()
+    assert (got["text"] == "same text again").sum() <= 1 and 60 <= (got["lang"] == "en").sum() <= 250
+    assert (got["lang"] == "fr").sum() == 5 and set(got[got["lang"] == "fr"]["text"].str.len()) == {200}
 
 
 def test_language_cases(spark):
