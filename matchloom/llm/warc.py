@@ -7,7 +7,8 @@ with the largest id keeps the payload (``response``), the others are ``revisit``
 that refer to it.
 
 Reading: ``spark.read.format("warc").load(path)``. One partition is planned for each
-file. In each file only record headers are parsed; ``Content-Length`` leads to the next
+file, as a record's place is told by those before it alone; ``.gz`` files of one member a record are read too. Names of
+header fields come in any case, and folded lines are joined. In each file only record headers are parsed; ``Content-Length`` leads to the next
 record. Filters on ``warc_type``, ``target_uri``, ``record_id``, ``refers_to``,
 ``payload_digest`` and ``content_length`` are pushed down and decided from the headers, and
 the block of a record that fails them is skipped with a seek. So is every payload when
@@ -21,6 +22,7 @@ table gives an archive without records, read back as an empty table.
 
 from __future__ import annotations
 
+import gzip
 import uuid
 from collections.abc import Iterator
 
@@ -148,7 +150,7 @@ class WarcReader(DataSourceReader):
         store, _ = fs.FileSystem.from_uri(self.path)
         arrow, names = to_arrow_schema(self.schema), self.schema.names
         payload, rows, held = "payload" in names, [], 0
-        with store.open_input_file(partition.value) as f:
+        with store.open_input_file(partition.value) as plain, (gzip.GzipFile(fileobj=plain) if partition.value.endswith(".gz") else plain) as f:
             for row in records(f, payload, lambda head: all(_holds(t, head) for t in self.tests)):
                 rows.append(row)
                 held += len(row["payload"] or b"") + 500
@@ -175,12 +177,41 @@ def _holds(test: Filter, head: dict) -> bool:
     return kinds[type(test)](value, test.value)
 
 
+def header_fields(lines: list[str]) -> dict[str, str]:
+    """Header lines by name in title case; a line that begins with a blank goes on with the one before it."""
+    fields: list[list[str]] = []
+    for line in lines:
+        if line[:1] in (" ", "\t") and fields:
+            fields[-1][1] += " " + line.strip()
+        elif line:
+            name, _, value = line.partition(":")
+            fields.append([TITLES.get(name.strip().lower(), name.strip()), value.strip()])
+    return dict(fields)
+
+
+#: The names of the format's header fields, which may come in any case.
+TITLES = {
+    x.lower(): x
+    for x in ("WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "WARC-Refers-To", "WARC-Payload-Digest", "WARC-Block-Digest", "WARC-Profile", "WARC-Concurrent-To", "Content-Type", "Content-Length")
+}
+
+
 def records(f, payload: bool, wanted, step: int = 1 << 16) -> Iterator[dict]:
-    """The records of an open file whose header passes ``wanted``; other blocks are skipped by their length."""
-    at, size = 0, f.size()
-    while at < size:
-        f.seek(at)
-        data = f.read(min(step, size - at))
+    """The records of an open file whose header passes ``wanted``; other blocks are skipped by their length.
+
+    A header without a length, an identifier or a type raises. Files of gzip members are read through, as
+    they have no other order.
+    """
+    at, data = 0, b""  # what is read already begins at the record, and the file goes on after it
+    while True:
+        data = data or f.read(step)
+        blank = len(data) - len(data.lstrip(b"\r\n"))  # more line ends than two may part records
+        if blank == len(data):
+            if not data:
+                return
+            at, data = at + blank, b""
+            continue
+        at, data = at + blank, data[blank:]
         while (end := data.find(b"\r\n\r\n")) < 0:
             more = f.read(step)
             if not more:
@@ -189,7 +220,9 @@ def records(f, payload: bool, wanted, step: int = 1 << 16) -> Iterator[dict]:
         lines = data[:end].decode("utf-8").split(CRLF)
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
-        heads = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
+        heads = header_fields(lines[1:])
+        if missing := {"Content-Length", "WARC-Type", "WARC-Record-ID"} - heads.keys():
+            raise ValueError(f"a WARC header without {', '.join(sorted(missing))}, at byte {at}")
         length, start = int(heads["Content-Length"]), end + 4
         row = {
             "warc_type": heads["WARC-Type"],
@@ -204,18 +237,23 @@ def records(f, payload: bool, wanted, step: int = 1 << 16) -> Iterator[dict]:
             "payload": None,
         }
         if wanted(row):
-            web = heads.get("Content-Type", "").startswith("application/http")
+            web = heads.get("Content-Type", "").lower().startswith("application/http")
             need = length if payload else min(length, step) * web
             if len(data) < start + need:
                 data += f.read(start + need - len(data))
             block = data[start : start + length]
+            if len(block) < need:
+                raise ValueError(f"a WARC block is cut short, at byte {at}")
             if web and (split := block.find(b"\r\n\r\n")) >= 0:
                 row["payload_length"] = length - split - 4
-                for x in block[:split].decode("latin-1").split(CRLF)[1:]:
-                    if x.lower().startswith("content-length:"):
-                        row["payload_length"] = int(x.split(":", 1)[1])
+                if heads["WARC-Type"] == "revisit":  # the length of what it refers to
+                    told = header_fields(block[:split].decode("latin-1").split(CRLF)[1:]).get("Content-Length")
+                    row["payload_length"] = int(told) if told else row["payload_length"]
                 block = block[split + 4 :]
             if payload:
                 row["payload"] = block
             yield row
-        at += start + length + 4
+        at += start + length
+        if start + length > len(data):
+            f.seek(at)  # never back, which would read a file of gzip members again
+        data = data[start + length :]

@@ -1,6 +1,8 @@
 """Nearest neighbours, n-gram join, sharding, chats and WARC on small cases."""
 
+import gzip
 import hashlib
+import io
 import random
 
 import numpy as np
@@ -225,6 +227,23 @@ def test_warc_round_trip(spark):
     assert warc.read_warc(spark, warc.write_warc(df.limit(0))).count() == 0
 
 
+def test_warc_of_other_writers(spark, tmp_path):
+    """Names in any case, values without a blank, folded lines, other types, members of gzip, and faults."""
+    http = b"HTTP/1.1 200 OK\r\ncontent-length:5\r\n\r\nhello"
+    one = b"WARC/1.0\r\nwarc-type:response\r\nWARC-RECORD-ID: <a>\r\nX-Note: one\r\n  two\r\ncontent-type: application/http\r\ncontent-length:%d\r\n\r\n%s\r\n\r\n" % (len(http), http)
+    two = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <b>\r\nContent-Length: 4\r\n\r\ninfo\r\n\r\n"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.warc").write_bytes(two + b"\r\n" + one)
+    (tmp_path / "in/b.warc.gz").write_bytes(gzip.compress(one.replace(b"<a>", b"<c>")) + gzip.compress(two.replace(b"<b>", b"<d>")))
+    back = warc.read_warc(spark, f"file://{tmp_path}/in")
+    got = {r["record_id"]: (r["warc_type"], r["payload_length"], bytes(r["payload"]), r["headers"].get("X-Note")) for r in back.collect()}
+    assert got == {"<a>": ("response", 5, b"hello", "one two"), "<b>": ("warcinfo", 4, b"info", None), "<c>": ("response", 5, b"hello", "one two"), "<d>": ("warcinfo", 4, b"info", None)}
+    assert {r["record_id"] for r in back.where("warc_type = 'warcinfo'").select("record_id").collect()} == {"<b>", "<d>"}
+    for bad in (b"WARC/1.0\r\nWARC-Type: x\r\nContent-Length: 0\r\n\r\n", b"HTTP/1.1 200 OK\r\n\r\n", one[:-9]):
+        with pytest.raises(ValueError):
+            list(warc.records(io.BytesIO(bad), True, lambda head: True))
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_against_sql(spark, name):
     got, want = compared(spark, queries.QUERIES[name], queries.ORACLES[name])
