@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,24 @@ def staged(df: DataFrame, what: str = "stage", *, partition_by: list[str] | None
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is frequent from this share of all rows on, so there are at most so many frequent keys.
+FREQUENT_SHARE = 2000
+
+
+def with_each(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with the one row that ``keyed`` has for each key, where no frequent key's rows meet in one task.
+
+    ``keyed`` tells in ``many`` how many rows have the key. Those of keys with a share of ``total`` of
+    at least ``1 / FREQUENT_SHARE`` are broadcast, ``2 * FREQUENT_SHARE`` at most as ``total`` may be half the rows; the others are joined by a shuffle.
+    """
+    least = max(1000, total // FREQUENT_SHARE)
+    values = [c for c in keyed.columns if c not in (key, "many")]
+    frequent = keyed.where(F.col("many") >= least).select(F.col(key).alias("_key"), F.lit(True).alias("_frequent"), *(F.col(c).alias(f"_{c}") for c in values))
+    marked = rows.join(F.broadcast(frequent), F.col(key).eqNullSafe(F.col("_key")), "left")
+    near = marked.where("_frequent").select(*rows.columns, *(F.col(f"_{c}").alias(c) for c in values))
+    rest = marked.where("_frequent is null").select(*rows.columns).join(keyed.where(F.col("many") < least).select(key, *values), key)
+    return near.unionByName(rest.select(*rows.columns, *values))
+
 
 #: Rows of an Arrow batch on its way to Python; Spark's default of 10,000 whole texts takes hundreds of MB.
 BATCH_ROWS = 1000

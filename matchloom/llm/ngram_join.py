@@ -30,7 +30,10 @@ The R-tree prunes within families rather than over the whole table: for unrelate
 some hundred words, points are too alike for a box to exclude them, and a single
 tree over all documents would compare nearly all pairs.
 
-Sets are compared by 64-bit shingle hashes, classes by a 64-bit digest and the size of the set.
+Words are hashed by a multilinear sum over their bytes (a random 64-bit factor for each place), which unlike a
+polynomial has no texts that collide by construction. Sets are compared by 64-bit shingle hashes, classes by a
+128-bit digest of the set: 64 bits name the class, and where the others tell classes of one name apart,
+they are named anew. Rows are told apart by a 128-bit hash of id and text.
 
 Defined cases: null, empty or blank texts have an empty set, link with nothing and are
 their own component; texts of one to four words have one shingle, the whole sequence;
@@ -42,6 +45,7 @@ apart, it is by a 64-bit hash of id and text.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -52,7 +56,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_batches, staged
+from .common import bounded_batches, staged, with_each
 from .components import connected_components
 
 #: Least number of groups, and shingles to a group.
@@ -63,15 +67,16 @@ TREE_LOAD = 8
 FREQUENT, BLOCK_SHINGLES = 0.002, 8_000_000
 #: Larger families are dealt out by pairs of chunks of this size.
 CHUNK_CLASSES = 3000
-#: So many keys at most are broadcast (16 MB); beyond, the same join shuffles.
+#: So many keys of 16 bytes at most are broadcast, by halves; beyond, the same join shuffles.
 BROADCAST_KEYS = 2_000_000
 FREQUENT_KEYS = 2_000_000
+#: So many frequent shingles of prefixes at most are broadcast with their buckets (20 MB); beyond, the same join shuffles.
+BROADCAST_BUCKETS = 500_000
 #: A row's id (0 where it is null, as nulls would turn a batch's ids into floats), whether that is null, and its row key.
 KEYS = ["id", "no_id", "row"]
 CHUNK_BYTES = 2_000_000
 
 R = np.uint64(0x9E3779B97F4A7C15)
-R_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 PLACE = [np.uint64(pow(0xD6E8FEB86659FD93, j + 1, 1 << 64)) for j in range(16)]
 BLANK = np.zeros(256, bool)
@@ -84,17 +89,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        n = max(n, CHUNK_BYTES + 1)
-        for k, base in enumerate((R, R_INVERSE)):
-            power = np.full(n, base, np.uint64)
-            power[0] = 1
-            _POWERS[k] = np.cumprod(power)
-    return _POWERS
+#: Words of up to so many bytes are hashed together; longer ones one by one.
+LONG_WORD = 1 << 16
+#: The factor of each place of a word.
+FACTORS = mixed((np.arange(LONG_WORD, dtype=np.uint64) + np.uint64(1)) * R) | np.uint64(1)
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -102,11 +100,16 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     blank = BLANK[raw]
     edge = np.diff(np.concatenate([[True], blank]).astype(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    powers, inverse = _powers(len(raw) + 1)
+    start, end = np.flatnonzero(edge == -1).astype(np.int32), np.flatnonzero(edge == 1).astype(np.int32)
+    length = end - start
+    place = np.arange(len(raw), dtype=np.int32)
+    if len(start):
+        place[start[0] :] -= np.repeat(start, np.diff(start, append=np.int32(len(raw))))
     upto = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[: len(raw)], out=upto[1:])
-    words = (upto[end] - upto[start]) * inverse[start] + (end - start).astype(np.uint64) * MIX[0]
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * FACTORS[np.minimum(place, LONG_WORD - 1)], out=upto[1:])
+    words = upto[end] - upto[start] + length.astype(np.uint64) * MIX[0]
+    for i in np.flatnonzero(length > LONG_WORD):
+        words[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8).digest(), "big")
     ends = np.cumsum([len(t) + 1 for t in texts])
     return mixed(words), np.searchsorted(ends, start, side="right")
 
@@ -133,19 +136,21 @@ def shingle_sets(texts: list[str | None], n: int = 5) -> list[np.ndarray]:
     return out
 
 
-def digest(own: np.ndarray) -> int:
-    """A hash of a set and its size, as a signed 64-bit number."""
+def digest(own: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set and its size, as signed 64-bit numbers."""
     if not len(own):
-        return 0
-    total = mixed(own * MIX[1] + np.uint64(1)).sum(dtype=np.uint64, keepdims=True)
-    return int(mixed(total + np.array([len(own)], np.uint64) * R).view(np.int64)[0])
+        return 0, 0
+    size = np.array([len(own)], np.uint64) * R
+    first = mixed(own * MIX[1] + np.uint64(1)).sum(dtype=np.uint64, keepdims=True)
+    second = mixed(own ^ MIX[0]).sum(dtype=np.uint64, keepdims=True)
+    return int(mixed(first + size).view(np.int64)[0]), int(mixed(second + size).view(np.int64)[0])
 
 
-def _sets(batches: Iterator[pd.DataFrame], n: int) -> Iterator[tuple[tuple, np.ndarray]]:
-    """The values of ``KEYS`` and the set of every row."""
+def _sets(batches: Iterator[pd.DataFrame], n: int, columns: list[str] = KEYS) -> Iterator[tuple[tuple, np.ndarray]]:
+    """The values of the columns and the set of every row."""
     for batch in batches:
         keys, texts, held = [], [], 0
-        for *key, t in zip(*(batch[c] for c in KEYS), batch["text"], strict=True):
+        for *key, t in zip(*(batch[c] for c in columns), batch["text"], strict=True):
             keys.append(tuple(key))
             texts.append(t)
             held += len(t or "")
@@ -183,8 +188,8 @@ class Limits:
         return (self.num + self.den) * overlap >= self.num * both
 
 
-def frequent_shingles(rows: DataFrame, n: int) -> np.ndarray:
-    """Shingles that are frequent in some block of documents and in all blocks together, sorted."""
+def frequent_shingles(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are frequent in some block of documents and in all blocks together, sorted, and the place of each when ordered by count."""
 
     def frequent(sets: list[np.ndarray]) -> pd.DataFrame:
         shingle, c = np.unique(np.concatenate(sets), return_counts=True)
@@ -211,73 +216,101 @@ def frequent_shingles(rows: DataFrame, n: int) -> np.ndarray:
     total = found.where("docs = 0").groupBy("shingle").agg(F.sum("c").alias("c")).where(F.col("c") >= max(8, FREQUENT / 2 * docs))
     # Their number is at most the mean size of a set times 2 / FREQUENT; the limit bounds it for any table.
     top = total.orderBy(F.desc("c"), "shingle").limit(FREQUENT_KEYS).toPandas()
-    return np.sort(top["shingle"].to_numpy(np.int64).view(np.uint64))
+    shingle, count = top["shingle"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
+    order = np.argsort(shingle)
+    shingle, count = shingle[order], count[order]
+    place = np.empty(len(count), np.int64)
+    place[np.lexsort((shingle, count))] = np.arange(len(count))
+    return shingle, place
 
 
 def _row_key(id_column: Column, text: Column) -> Column:
-    """What tells rows apart: equal for rows of one id and one text alone."""
-    return F.xxhash64(id_column.cast("long"), text.cast("string"))
+    """What tells rows with words apart: equal for rows of one id and one text alone."""
+    ident = F.coalesce(id_column.cast("long").cast("string"), F.lit(""))
+    return F.unhex(F.md5(F.concat(ident, F.lit(":"), F.coalesce(text.cast("string"), F.lit(""))).cast("binary")))
 
 
 def link_components(docs: DataFrame, **options) -> DataFrame:
     """Return ``(id, n_shingles, component_id)`` for every row of ``docs``; options as in ``labelled_rows``."""
-    rows = labelled_rows(docs, **options)
+    rows = staged(labelled_rows(docs, **options), "labelled")
     labelled = rows.where("n > 0")
-    least = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
-    linked = labelled.join(least, "label").select("id", F.col("n").alias("n_shingles"), "component_id")
+    least = staged(labelled.groupBy("label").agg(F.min("id").alias("component_id"), F.count("*").alias("many")), "least")
+    linked = with_each(labelled, least, "label", rows.count()).select("id", F.col("n").alias("n_shingles"), "component_id")
     alone = rows.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return linked.unionByName(alone)
 
 
-def labelled_rows(
-    docs: DataFrame,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    n: int = 5,
-    similarity: tuple[int, int] = (80, 100),
-) -> DataFrame:
-    """Return ``(id, row, n, label)`` for every row of ``docs``; ``label`` names its component and is null for empty sets."""
-    spark = docs.sparkSession
-    limits = Limits(*similarity)
-    i, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    rows = bounded_batches(docs).select(F.coalesce(i, F.lit(0)).alias("id"), i.isNull().alias("no_id"), _row_key(i, text).alias("row"), text.alias("text"))
-    frequent = spark.sparkContext.broadcast(frequent_shingles(rows, n))
+def _sketched(rows: DataFrame, limits: Limits, n: int) -> DataFrame:
+    """The class of every row; for one row or more of each class its point and its prefix, of which the first ``cold`` shingles are not frequent."""
+    frequent = rows.sparkSession.sparkContext.broadcast(frequent_shingles(rows, n))
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        late, seen = frequent.value, set()
+        (late, order), seen = frequent.value, set()
 
         def each() -> Iterator[tuple]:
             for key, own in _sets(batches, n):
-                d, prefix, point = digest(own), None, None
-                if len(own) and d not in seen:
-                    seen.add(d)
+                name, prefix, cold, point = digest(own), None, 0, None
+                if len(own) and name not in seen:
+                    seen.add(name)
                     at = np.minimum(np.searchsorted(late, own), max(len(late) - 1, 0))
                     last = late[at] == own if len(late) else np.zeros(len(own), bool)
-                    prefix = np.concatenate([own[~last], own[last]])[: limits.prefix(len(own))].view(np.int64)
+                    rare_first = own[last][np.argsort(order[at[last]])] if last.any() else own[:0]
+                    prefix = np.concatenate([own[~last], rare_first])[: limits.prefix(len(own))].view(np.int64)
+                    cold = min(len(prefix), int((~last).sum()))
                     point = counts(own)
-                yield *key, len(own), d, prefix, point
+                yield *key, len(own), *name, prefix, cold, point
+
+        yield from _batched(each(), [*KEYS, "n", "class", "check", "prefix", "cold", "point"])
+
+    made = staged(rows.mapInPandas(sketch, "id long, no_id boolean, row binary, n long, class long, check long, prefix array<long>, cold int, point binary"), "sketch")
+    # Different sets whose classes have one name get names of their own.
+    clash = staged(made.where("n > 0").groupBy("class").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b").select("class", F.lit(True).alias("clash")), "clash")
+    if clash.isEmpty():
+        return made
+    renamed = made.join(clash, "class", "left").withColumn("class", F.when(F.col("clash"), F.xxhash64("class", "check")).otherwise(F.col("class")))
+    return staged(renamed.drop("clash"), "sketch")
 
-        yield from _batched(each(), [*KEYS, "n", "class", "prefix", "point"])
 
-    sketched = staged(rows.mapInPandas(sketch, "id long, no_id boolean, row long, n long, class long, prefix array<long>, point binary"), "sketch")
-    entries = sketched.where("prefix is not null").select("class", F.explode("prefix").alias("shingle"))
+def _families(sketched: DataFrame, limits: Limits) -> tuple[DataFrame, DataFrame]:
+    """The classes that share a bucket with another, and the families ``(class, centre)`` of the buckets' centres."""
     bucket = Window.partitionBy("shingle")
-    shared = staged(
-        entries.withColumns({"least": F.min("class").over(bucket), "most": F.max("class").over(bucket), "size": F.count("*").over(bucket)})
+    firsts = sketched.where("prefix is not null")
+    cold = firsts.select("class", F.explode(F.slice("prefix", F.lit(1), F.col("cold"))).alias("shingle"))
+    cold = (
+        cold.withColumns({"least": F.min("class").over(bucket), "most": F.max("class").over(bucket), "size": F.count("*").over(bucket)})
         .where("least <> most")
-        .select("shingle", "class", "size")
-        .distinct(),
-        "shared",
+        .select("shingle", "class", "size", F.lit(False).alias("hot"))
     )
+    hot = staged(firsts.where("cold < size(prefix)").select("class", F.explode(F.slice("prefix", F.col("cold") + 1, F.size("prefix") - F.col("cold"))).alias("shingle")), "hot")
+    met = staged(hot.groupBy("shingle").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.count("*").alias("size")).where("least <> most").select("shingle", "size"), "buckets")
+    hot = hot.join(_few(met, BROADCAST_BUCKETS), "shingle").select("shingle", "class", "size", F.lit(True).alias("hot"))
+    shared = staged(cold.unionByName(hot).distinct(), "shared")
+
     shares = shared.groupBy("class").agg(F.sum("size").alias("met"))
     classes = sketched.where("n > 0").groupBy("class").agg(F.min("row").alias("rep"), F.max("n").alias("n"), F.max("point").alias("point"))
     concerned = staged(classes.join(shares, "class").withColumn("pull", F.col("met") / (F.col("n") - F.ceil(F.col("n") * limits.num / limits.den) + 1)).drop("met"), "classes")
-    central = F.max(F.struct("pull", "class")).over(bucket)
-    families = staged(
-        shared.select("shingle", "class").join(concerned.select("class", "pull"), "class").select("class", central["class"].alias("centre")).distinct(),
-        "families",
-    )
+    pulled = shared.select("shingle", "class", "hot").join(concerned.select("class", "pull"), "class")
+    best = F.max(F.struct("pull", "class"))
+    cold = pulled.where("not hot").select("class", best.over(bucket)["class"].alias("centre"))
+    tops = staged(pulled.where("hot").groupBy("shingle").agg(best.alias("top")).select("shingle", F.col("top.class").alias("centre")), "tops")
+    hot = pulled.where("hot").join(_few(tops, BROADCAST_BUCKETS), "shingle").select("class", "centre")
+    return concerned, staged(cold.unionByName(hot).distinct(), "families")
+
+
+def labelled_rows(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    n: int = 5,
+    similarity: tuple[int, int] = (80, 100),
+) -> DataFrame:
+    """Return ``(id, row, n, label)`` for every row of ``docs``; ``label`` names its component and is null for empty sets."""
+    limits = Limits(*similarity)
+    i, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    rows = bounded_batches(docs).select(F.coalesce(i, F.lit(0)).alias("id"), i.isNull().alias("no_id"), _row_key(i, text).alias("row"), text.alias("text"))
+    sketched = _sketched(rows, limits, n)
+    concerned, families = _families(sketched, limits)
 
     stars = families.where("class <> centre").select(F.col("centre").alias("a"), F.col("class").alias("b"))
     first = _verified(rows, concerned, _bounded(stars, concerned, limits), limits, n)
@@ -287,7 +320,9 @@ def labelled_rows(
     joined = connected_components(first.unionByName(second))
 
     ids = sketched.select(F.when(~F.col("no_id"), F.col("id")).alias("id"), "row", "n", "class")
-    labelled = ids.where("n > 0").join(joined.withColumnRenamed("node", "class"), "class", "left").select("id", "row", "n", F.coalesce("component", "class").alias("label"))
+    sizes = sketched.where("n > 0").groupBy("class").agg(F.count("*").alias("many"))
+    names = staged(sizes.join(joined.withColumnRenamed("node", "class"), "class", "left").select("class", "many", F.coalesce("component", "class").alias("label")), "names")
+    labelled = with_each(ids.where("n > 0"), names, "class", sketched.count()).select("id", "row", "n", "label")
     return labelled.unionByName(ids.where("n = 0").select("id", "row", "n", F.lit(None).cast("long").alias("label")))
 
 
@@ -438,12 +473,12 @@ def _verified(rows: DataFrame, classes: DataFrame, pairs: DataFrame, limits: Lim
     """The pairs of classes that link, as edges ``(u, v)``, by comparing their whole sets."""
     pairs = staged(pairs, "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    reps = _few(staged(classes.join(needed, "class", "left_semi").select(F.col("rep").alias("row")).distinct(), "reps"))
+    reps = _few(staged(classes.join(needed, "class", "left_semi").select(F.col("rep").alias("row"), "class"), "reps"), BROADCAST_BUCKETS)
 
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _batched(((digest(own), own.tobytes()) for _, own in _sets(batches, n)), ["class", "own"], 4_000_000)
+        yield from _batched(((*key, own.tobytes()) for key, own in _sets(batches, n, ["class"])), ["class", "own"], 4_000_000)
 
-    sets = rows.join(reps, "row", "left_semi").mapInPandas(again, "class long, own binary").dropDuplicates(["class"])
+    sets = rows.join(reps, "row").select("class", "text").mapInPandas(again, "class long, own binary").dropDuplicates(["class"])
     sets = staged(sets, "sets")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -483,6 +518,6 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return kept.join(twice, "row", "left_anti").select(*named).unionByName(one).toDF(*docs.columns)
 
 
-def _few(keys: DataFrame) -> DataFrame:
+def _few(keys: DataFrame, most: int = BROADCAST_KEYS // 2) -> DataFrame:
     """The keys, to be broadcast unless they are many."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    return F.broadcast(keys) if keys.count() <= most else keys

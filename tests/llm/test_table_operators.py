@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from test_entry import compared
 
 from matchloom.llm import block_knn, chat_format, components, kd_shards, ngram_join, queries, warc
+from matchloom.llm.common import with_each
 
 
 def test_knn_against_brute_force(spark):
@@ -130,6 +131,40 @@ def test_ngram_join_large_family(spark, monkeypatch):
     assert got == brute_components(texts)
 
 
+def test_word_hashes_and_digests():
+    """No words that collide by construction (Thue-Morse texts do in a polynomial), and long words as well."""
+    one = "a"
+    for _ in range(12):
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    hashes, owner = ngram_join.word_hashes([one.encode(), f"x {other}".encode(), b"", b" a\tb \xc2\x85c", ("y" * 200_000).encode(), ("y" * 199_999 + "z").encode()])
+    assert owner.tolist() == [0, 1, 1, 3, 3, 3, 4, 5] and len(set(hashes.tolist())) == 8
+    sets = ngram_join.shingle_sets([f"a b c d {one}", f"a b c d {other}", f"A  b c\nd {one}"])
+    assert sets[0].tolist() == sets[2].tolist() != sets[1].tolist()
+    assert ngram_join.digest(sets[0]) == ngram_join.digest(sets[2]) and len({*ngram_join.digest(sets[0]), *ngram_join.digest(sets[1])}) == 4
+
+
+def test_classes_of_one_name(spark, monkeypatch):
+    """Different sets whose first digests are equal stay apart."""
+    real = ngram_join.digest
+    monkeypatch.setattr(ngram_join, "digest", lambda own: (real(own)[0] % 3, real(own)[1]))
+    texts = {i: " ".join(f"w{i}x{k}" for k in range(30)) + (" end" if i % 5 == 0 else "") for i in range(12)}
+    texts |= {100: texts[0], 101: texts[0] + " more", 102: texts[3]}
+    seen = ngram_join.shingle_sets(list(texts.values()))
+    assert len({ngram_join.digest(x)[0] for x in seen}) <= 3
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    rows = docs.selectExpr("doc_id as id", "false as no_id", "unhex(md5(text)) as row", "text")
+    found = {r["id"]: r["class"] for r in ngram_join._sketched(rows, ngram_join.Limits(80, 100), 5).collect()}
+    assert len(set(found.values())) == 13 and found[0] == found[100] and found[3] == found[102]
+
+
+def test_join_of_frequent_keys(spark):
+    rows = spark.range(5000).selectExpr("if(id < 3000, null, if(id < 4500, 1, id)) as k", "id as x")
+    keyed = rows.groupBy("k").agg(F.min("x").alias("least"), F.count("*").alias("many"))
+    got = sorted((r["x"], r["least"]) for r in with_each(rows, keyed, "k", 5000).collect())
+    assert got == [(x, 0 if x < 3000 else 3000 if x < 4500 else x) for x in range(5000)]
+
+
 def test_tree_loses_no_pair():
     rng = np.random.default_rng(7)
     limits, sets = ngram_join.Limits(80, 100), []
@@ -138,7 +173,7 @@ def test_tree_loses_no_pair():
         for _ in range(30):
             keep = rng.random(len(base)) > rng.random() * 0.2
             sets.append(np.unique(np.concatenate([base[keep], rng.integers(0, 2**63, rng.integers(0, m // 6 + 1)).astype(np.uint64)])))
-    cls, n = np.array([ngram_join.digest(x) for x in sets]), np.array([len(x) for x in sets])
+    cls, n = np.array([ngram_join.digest(x)[0] for x in sets]), np.array([len(x) for x in sets])
     part = rng.integers(0, 20, len(sets))
     want = {tuple(sorted((int(cls[i]), int(cls[j])))) for i in range(len(sets)) for j in range(i) if part[i] != part[j] and limits.enough(len(np.intersect1d(sets[i], sets[j])), n[i] + n[j])}
     assert want and want <= set(ngram_join.family_pairs(cls, n, part, [ngram_join.point_of(ngram_join.counts(x)) for x in sets], limits))
