@@ -52,6 +52,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -65,6 +66,8 @@ GROUPS, LOAD = 16, 1
 TREE_LOAD = 8
 #: Share of a block's documents from which on a shingle counts as frequent there; a block holds so many shingles.
 FREQUENT, BLOCK_SHINGLES = 0.002, 8_000_000
+#: Families of up to so many classes are one leaf of the tree.
+SMALL_FAMILY = 24
 #: Larger families are dealt out by pairs of chunks of this size.
 CHUNK_CLASSES = 3000
 #: So many keys of 16 bytes at most are broadcast, by halves; beyond, the same join shuffles.
@@ -369,19 +372,41 @@ def _bounded(pairs: DataFrame, classes: DataFrame, limits: Limits) -> DataFrame:
 def _tree_pairs(families: DataFrame, named: DataFrame, limits: Limits) -> DataFrame:
     """Pairs ``(a, b)`` of classes of one family, but for its centre, that neither the tree nor a component rules out."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, low, high = key
-        found = family_pairs(rows["class"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), rows["component"].to_numpy(np.int64), [point_of(p) for p in rows["point"]], limits)
-        chunk = dict(zip(rows["class"], rows["chunk"], strict=True))
-        kept = {(a, b) for a, b in found if low == high or chunk[a] != chunk[b]}  # of two chunks, pairs across
-        return pd.DataFrame(sorted(kept), columns=["a", "b"], dtype="int64")
+    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        _, low, high = (x.as_py() for x in key)
+        cls, n, part, chunk = (rows.column(c).to_numpy() for c in ("class", "n", "component", "chunk"))
+        if len(cls) <= SMALL_FAMILY:
+            found = small_family_pairs(cls, n, part, rows.column("point"), limits)
+        else:
+            found = family_pairs(cls, n, part, [point_of(p) for p in rows.column("point").to_pylist()], limits)
+        at = dict(zip(cls.tolist(), chunk.tolist(), strict=True))
+        kept = sorted({(a, b) for a, b in found if low == high or at[a] != at[b]})  # of two chunks, pairs across
+        return pa.table({"a": [a for a, _ in kept], "b": [b for _, b in kept]}, schema=none.schema) if kept else none
 
     own = families.where("class <> centre").join(named.select("class", "component"), "class")
-    sizes = own.groupBy("centre").agg(F.count("*").alias("size"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
-    dealt = own.join(sizes.select("centre", "size"), "centre").withColumn("chunks", F.ceil(F.col("size") / CHUNK_CLASSES).cast("int"))
+    sizes = own.groupBy("centre").agg(F.count("*").alias("many"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+    sizes = staged(sizes.select("centre", "many", F.col("many").alias("size")), "sizes")
+    dealt = with_each(own, sizes, "centre", families.count()).withColumn("chunks", F.ceil(F.col("size") / CHUNK_CLASSES).cast("int"))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("class"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select("centre", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "class")
-    return dealt.join(named, "class").groupBy("centre", "low", "high").applyInPandas(run, "a long, b long").distinct()
+    return dealt.join(named, "class").groupBy("centre", "low", "high").applyInArrow(run, "a long, b long").distinct()
+
+
+def small_family_pairs(cls: np.ndarray, n: np.ndarray, part: np.ndarray, packed: pa.ChunkedArray, limits: Limits) -> Iterator[tuple[int, int]]:
+    """The same for a family of one leaf of the tree: its pairs of points, unpacked only where sizes and components leave a pair."""
+    i, j = np.triu_indices(len(cls), 1)
+    ok = (part[i] != part[j]) & (n[i] * limits.den >= n[j] * limits.num) & (n[j] * limits.den >= n[i] * limits.num)
+    points: dict[int, np.ndarray] = {}
+    for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
+        for k in (x, y):
+            if k not in points:
+                points[k] = point_of(packed[k].as_py())
+        size = min(len(points[x]), len(points[y]))
+        if limits.enough(int(np.minimum(folded(points[x], size), folded(points[y], size)).sum()), int(n[x] + n[y])):
+            a, b = int(cls[x]), int(cls[y])
+            yield min(a, b), max(a, b)
 
 
 def family_pairs(cls: np.ndarray, n: np.ndarray, part: np.ndarray, points: list[np.ndarray], limits: Limits) -> Iterator[tuple[int, int]]:

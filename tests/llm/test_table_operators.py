@@ -6,6 +6,7 @@ import io
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_entry import compared
@@ -176,7 +177,9 @@ def test_tree_loses_no_pair():
     cls, n = np.array([ngram_join.digest(x)[0] for x in sets]), np.array([len(x) for x in sets])
     part = rng.integers(0, 20, len(sets))
     want = {tuple(sorted((int(cls[i]), int(cls[j])))) for i in range(len(sets)) for j in range(i) if part[i] != part[j] and limits.enough(len(np.intersect1d(sets[i], sets[j])), n[i] + n[j])}
-    assert want and want <= set(ngram_join.family_pairs(cls, n, part, [ngram_join.point_of(ngram_join.counts(x)) for x in sets], limits))
+    packed = [ngram_join.counts(x) for x in sets]
+    assert want and want <= set(ngram_join.family_pairs(cls, n, part, [ngram_join.point_of(p) for p in packed], limits))
+    assert want <= set(ngram_join.small_family_pairs(cls, n, part, pa.chunked_array([packed]), limits))
 
 
 def test_components(spark):
