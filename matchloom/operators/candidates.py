@@ -102,18 +102,22 @@ def by_relaxed(values: DataFrame, catalogue: DataFrame, cap: int = FUZZY_CAP) ->
     return _tolerant(values, hits, "relaxed_identifier:", cap)
 
 
+def _grams(code: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(code) - GRAM + 1), lambda i: F.substring(code, i, F.lit(GRAM))))
+
+
 def by_partial(values: DataFrame, catalogue: DataFrame, cap: int = FUZZY_CAP) -> DataFrame:
     """Catalogue rows with a relaxed code that holds the value."""
     asked = values.where(F.length("value") >= PARTIAL_LEAST).select("value").distinct()
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("code") - GRAM + 1), lambda i: F.substring(F.col("code"), i, F.lit(GRAM))))
     codes = keys_of(catalogue, "full_code_relaxed", "public1_relaxed", "public2_relaxed").withColumnRenamed("value", "code").where(F.length("code") >= GRAM)
-    index = codes.select("id", "source_row", "code", F.explode(grams).alias("gram"))
-    # Any gram of the value finds all rows; the rarest of its first and last keeps buckets small.
-    ends = asked.select("value", F.explode(F.array_distinct(F.array(F.substring("value", 1, GRAM), F.expr(f"substring(value, length(value) - {GRAM - 1})")))).alias("gram"))
-    often = index.join(ends.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("rows"))
-    rare = ends.join(often, "gram").groupBy("value").agg(F.min(F.struct("rows", "gram")).alias("g"), F.count("*").alias("known"))
-    need = ends.groupBy("value").agg(F.count("*").alias("asked"))
-    rare = rare.join(need, "value").where("known = asked").select("value", F.col("g.gram").alias("gram"))  # a gram that no code has rules the value out
+    index = codes.select("id", "source_row", "code", F.explode(_grams(F.col("code"))).alias("gram"))
+    # Any gram of the value finds all rows; the rarest of all of them keeps buckets small, whatever prefix or suffix codes share.
+    held = asked.select("value", F.explode(_grams(F.col("value"))).alias("gram"))
+    often = index.groupBy("gram").agg(F.count("*").alias("rows"))
+    met = staged(held.join(often, "gram"), "grams")
+    rare = met.groupBy("value").agg(F.min(F.struct("rows", "gram")).alias("g"), F.count("*").alias("known"))
+    every = F.size(_grams(F.col("value")))
+    rare = rare.where(F.col("known") == every).select("value", F.col("g.gram").alias("gram"))  # a gram that no code has rules the value out
     hits = rare.join(index, "gram").where(F.col("code").contains(F.col("value"))).select("value", "id", "source_row").distinct()
     return _tolerant(values, hits, "partial_identifier:", cap)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import features, numbers, text
+from ..stage import staged
 
 # The source columns in order.
 SOURCE_COLUMNS = [
@@ -93,6 +94,9 @@ def check_valid(catalogue: DataFrame, source_rows: int) -> None:
         raise ValueError(f"the catalogue is not valid: {source_rows} source rows, {r['row_count']} rows, {r['unique_id_count']} ids")
 
 
+HINT_COLUMNS = ["kigugroup_norm", "t_kigugroup_norm", "fixture_size_norm", "cutout_size_norm", "mounting_norm", "wet_combined_norm", "dimming_norm", "luminous_flux_hint", "color_temperature_hint", "power_consumption_hint", "voltage_min_hint", "cri_hint"]
+
+
 def hint_counts(catalogue: DataFrame) -> DataFrame:
     """One row: how many catalogue rows have each kind of hint."""
     c = F.col
@@ -123,7 +127,8 @@ def status_counts(catalogue: DataFrame) -> DataFrame:
 
 
 def build_report(catalogue: DataFrame) -> DataFrame:
-    """One row with all statistics of a build."""
+    """One row with all statistics of a build; the catalogue is read once."""
+    catalogue = staged(catalogue.select("id", "hinban_norm", "full_code_norm", "zaiku", *HINT_COLUMNS), "report")
     codes = catalogue.agg(F.count_distinct("hinban_norm").alias("unique_hinban_count"), F.count_distinct("full_code_norm").alias("unique_full_code_count"))
     groups = duplicate_groups(catalogue).agg(F.count("*").alias("duplicate_full_code_groups"))
     states = status_counts(catalogue).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("zaiku", "row_count")))).alias("status_counts"))

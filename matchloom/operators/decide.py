@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .candidates import INSUFFICIENT, PARTIAL, RELAXED, SPEC, STRICT
-from .evidence import ranked, record, with_lists
-from .items import public_view, source_view
+from .evidence import pairs_with_rows, record, with_lists
+from .items import public_view
 
 SAFE_GAP = 12.0
 # Names of fields that make an identifier doubtful.
@@ -107,18 +107,21 @@ def _any(field: Column) -> Column:
     return out
 
 
-def result_documents(items: DataFrame, decisions: DataFrame, scored: DataFrame, top_k: int) -> DataFrame:
-    """One nested document per item: source, normalized input, search, decision, candidates and warnings."""
-    shown = with_lists(ranked(scored, top_k))
+def candidate_lists(shown: DataFrame, items: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """The candidates of each item in order of rank, with their evidence and catalogue rows; ``shown``: ranked pairs."""
+    shown = with_lists(pairs_with_rows(shown, items, catalogue))
     candidate = F.struct("rank", "score", "matched_fields", "conflicts", "db_internal_warnings", "lifecycle_warning", record().alias("record"))
-    lists = shown.select("item_key", candidate.alias("candidate")).groupBy("item_key").agg(F.array_sort(F.collect_list("candidate"), lambda a, b: a["rank"] - b["rank"]).alias("candidates"))
+    return shown.select("item_key", candidate.alias("candidate")).groupBy("item_key").agg(F.array_sort(F.collect_list("candidate"), lambda a, b: a["rank"] - b["rank"]).alias("candidates"))
+
+
+def result_documents(items: DataFrame, decisions: DataFrame, lists: DataFrame) -> DataFrame:
+    """One nested document per item: normalized input, search, decision, candidates and warnings."""
     rows = items.join(decisions, "item_key").join(lists, "item_key", "left")
     told = (F.col("truncated"), F.col("manufacturer") != "", F.size("uncertain_fields") > 0)
     warnings = F.array_compact(F.array(*(F.when(c, w) for c, w in zip(told, WARNINGS, strict=True))))
     some = F.coalesce("candidates", F.array().cast(lists.schema["candidates"].dataType))
     return rows.select(
         "item_key",
-        source_view().alias("source"),
         F.lit(VERSION).alias("matcher_version"),
         public_view().alias("normalized_input"),
         F.struct(

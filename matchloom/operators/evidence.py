@@ -151,11 +151,11 @@ def scored(pairs: DataFrame, items: DataFrame, catalogue: DataFrame) -> DataFram
     partly = F.exists("match_types", lambda m: F.startswith(m, F.lit("partial_identifier:")))
     plain = pairs_with_rows(pairs.where(~partly), items, catalogue).withColumn("similarity", F.lit(None).cast("double"))
     parts = with_similarity(pairs_with_rows(pairs.where(partly), items, catalogue))
-    return with_scores(plain.unionByName(parts))
+    return with_scores(plain.unionByName(parts)).select(*NARROW)
 
 
 def with_scores(rows: DataFrame) -> DataFrame:
-    """Add ``score`` and the counts that the decision needs to rows with ``similarity``."""
+    """``score`` and the counts that the decision needs, for rows with ``similarity``."""
     table = rules()
     score = F.greatest(F.array_max(F.transform("match_types", _identifier_weight)), F.lit(0.0))
     matched = conflicts = F.lit(0)
@@ -173,6 +173,10 @@ def with_scores(rows: DataFrame) -> DataFrame:
     )
 
 
+#: What ranking and deciding read of a scored pair, and what listing its evidence needs besides the rows.
+NARROW = ["item_key", "id", "score", "other_matches", "has_conflict", "lifecycle_warning", "match_types", "similarity"]
+
+
 def ranked(scored: DataFrame, keep: int | None = None) -> DataFrame:
     """Add ``rank`` (score down, id up) and ``score_gap`` to the next; with ``keep``, the first so many."""
     w = Window.partitionBy("item_key").orderBy(F.desc("score"), "id")

@@ -94,6 +94,29 @@ def normalize_items(raw: DataFrame) -> DataFrame:
     return out.withColumn("has_primary_identifier", known)
 
 
+#: What tells where an item was read; it has no part in matching.
+ECHO = ["item_key", "source_file", "page", "item_no", "drawing_label"]
+
+
+def with_question(items: DataFrame) -> DataFrame:
+    """Add ``question``, equal for items that are equal in all that matching reads: a 128-bit digest."""
+    asked = [c for c in items.columns if c not in ECHO]
+    return items.withColumn("question", F.md5(F.to_json(F.struct(*asked), {"ignoreNullFields": "false"}).cast("binary")))
+
+
+def questions(items: DataFrame) -> DataFrame:
+    """One item for each distinct question, with the question as its key."""
+    asked = [c for c in items.columns if c not in (*ECHO, "question")]
+    firsts = items.groupBy("question").agg(F.first(F.struct(*asked)).alias("asked"))
+    return firsts.select(F.col("question").alias("item_key"), "asked.*")
+
+
+def per_item(answers: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows keyed by question as rows keyed by item."""
+    named = items.select("item_key", "question")
+    return answers.withColumnRenamed("item_key", "question").join(named, "question").select("item_key", *(c for c in answers.columns if c != "item_key"))
+
+
 def public_view(item: str | None = None) -> Column:
     """The normalized item as it is shown: absent values null, forms for matching left out."""
     c = lambda name: F.col(f"{item}.{name}" if item else name)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,33 +11,35 @@ from pyspark.sql import functions as F
 from ..operators import candidates, catalogue, decide, evidence, items
 from ..sources.catalogue_csv import fingerprint, read_catalogue_csv
 from ..sources.items_json import raw_of_variants, read_items_json
+from ..stage import replace, staged, stages
 
-#: The row caps need a window limit above Spark's default of 1000.
-WINDOW_LIMIT = ("spark.sql.optimizer.windowGroupLimitThreshold", "5001")
+#: Settings that a session should have: the row caps of the searches are limits of windows up to 5,000 rows, which Spark
+#: pushes below their sort up to this threshold alone. Results don't depend on it.
+SETTINGS = {"spark.sql.optimizer.windowGroupLimitThreshold": "5001", "spark.sql.adaptive.enabled": "true"}
 
 
 def build(spark: SparkSession, csv: str, target: str, report: str | None = None) -> DataFrame:
     """Normalize the CSV into ``target/products`` and ``target/metadata``; return the one-row report.
 
-    The catalogue is written beside its place first and takes it only when it is valid, so a
-    failed build leaves an earlier catalogue as it was.
+    The catalogue is written beside its place and moved there once it is valid, so a build that
+    fails, also while it writes, leaves an earlier catalogue as it was.
     """
     if csv.rstrip("/") == target.rstrip("/"):
         raise ValueError("the catalogue can't replace its source")
     source = read_catalogue_csv(spark, csv)
-    staging = f"{target.rstrip('/')}/_staging"
-    catalogue.normalize_catalogue(source).write.mode("overwrite").parquet(staging)
-    staged = spark.read.parquet(staging)
-    rows = staged.count()
-    catalogue.check_valid(staged, source.count())
-    staged.write.mode("overwrite").parquet(f"{target}/products")
-    sha = F.first("sha256")
+    made, told = (f"{target.rstrip('/')}/_new_{x}" for x in ("products", "metadata"))
+    catalogue.normalize_catalogue(source).write.mode("overwrite").parquet(made)
+    products = spark.read.parquet(made)
+    rows = products.count()
+    catalogue.check_valid(products, source.count())
+    sha = fingerprint(spark, csv).agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("path", "sha256"))), lambda x: x["sha256"]))).first()[0]  # one row a file
     now = datetime.datetime.now(datetime.UTC).isoformat()
-    facts = {"schema_version": F.lit(catalogue.SCHEMA_VERSION), "source_path": F.lit(csv), "source_sha256": sha, "source_rows": F.lit(str(rows)), "built_at_utc": F.lit(now)}
-    meta = fingerprint(spark, csv).agg(F.map_from_arrays(F.array(*(F.lit(k) for k in facts)), F.array(*facts.values())).alias("m")).select(F.explode("m").alias("key", "value"))
-    meta.write.mode("overwrite").parquet(f"{target}/metadata")
+    facts = {"schema_version": catalogue.SCHEMA_VERSION, "source_path": csv, "source_sha256": sha, "source_rows": str(rows), "built_at_utc": now}
+    spark.createDataFrame(list(facts.items()), "key string, value string").coalesce(1).write.mode("overwrite").parquet(told)
+    replace(spark, f"{target.rstrip('/')}/products", made)
+    replace(spark, f"{target.rstrip('/')}/metadata", told)
     built = catalogue.build_report(spark.read.parquet(f"{target}/products"))
-    built = built.withColumns({"source_csv": F.lit(csv), "normalized_db": F.lit(target)}).join(F.broadcast(fingerprint(spark, csv).agg(sha.alias("source_sha256"))))
+    built = built.withColumns({"source_csv": F.lit(csv), "normalized_db": F.lit(target), "source_sha256": F.lit(sha)})
     if report:
         built.coalesce(1).write.mode("overwrite").json(report)
     return built
@@ -53,23 +56,42 @@ def inspect(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.parquet(f"{target}/products").agg(F.count("*").alias("rows")).join(F.broadcast(metadata(spark, target)))
 
 
+@dataclass
+class Answers:
+    """Items with their ``question``, and for each distinct question its route and its scored candidates."""
+
+    items: DataFrame
+    questions: DataFrame
+    routes: DataFrame
+    scored: DataFrame
+
+
+def answer(raw: DataFrame, products: DataFrame, **caps: int) -> Answers:
+    """Search and score every distinct question once, however many items ask it."""
+    asked = staged(items.with_question(items.normalize_items(raw)), "items")
+    questions = staged(items.questions(asked), "questions")
+    found = candidates.find_candidates(questions, products, **caps)
+    return Answers(asked, questions, found.routes, evidence.scored(found.pairs, questions, products))
+
+
 def match(spark: SparkSession, raw: DataFrame, products: DataFrame, *, top_k: int = 10) -> DataFrame:
-    """One result document per raw item."""
+    """One result document per raw item. It reads tables staged in the session or in the running ``stages`` block."""
     if top_k < 1:
         raise ValueError("top_k must be 1 or more")
-    spark.conf.set(*WINDOW_LIMIT)
-    asked = items.normalize_items(raw).persist()
-    found = candidates.find_candidates(asked, products)
-    scored = evidence.scored(found.pairs, asked, products)
-    top = decide.top_of_each(evidence.ranked(scored, 2))
-    decisions = decide.decide(asked, found.routes, top)
-    return decide.result_documents(asked, decisions, scored, top_k)
+    got = answer(raw, products)
+    first = staged(evidence.ranked(got.scored, max(top_k, 2)), "ranked")
+    decisions = decide.decide(got.questions, got.routes, decide.top_of_each(first))
+    lists = decide.candidate_lists(first.where(F.col("rank") <= top_k), got.questions, products)
+    documents = decide.result_documents(got.questions, decisions, lists).withColumnRenamed("item_key", "question")
+    whole = got.items.select("item_key", "question", items.source_view().alias("source")).join(documents, "question")
+    return whole.select("item_key", "source", *(c for c in documents.columns if c != "question"))
 
 
 def match_file(spark: SparkSession, json: str, target: str, output: str, *, top_k: int = 10) -> DataFrame:
     """Match an item file; write ``output/results`` and ``output/run``; return the summary by status."""
-    raw = raw_of_variants(read_items_json(spark, json))
-    match(spark, raw, spark.read.parquet(f"{target}/products"), top_k=top_k).write.mode("overwrite").json(f"{output}/results")
+    with stages(spark):
+        raw = raw_of_variants(read_items_json(spark, json))
+        match(spark, raw, spark.read.parquet(f"{target}/products"), top_k=top_k).write.mode("overwrite").json(f"{output}/results")
     results = spark.read.json(f"{output}/results")
     run = results.agg(F.count("*").alias("result_count")).select(F.lit(decide.VERSION).alias("matcher_version"), F.lit(json).alias("input_file"), F.lit(target).alias("db_file"), "result_count")
     run.join(F.broadcast(metadata(spark, target).withColumnRenamed("metadata", "db_metadata"))).coalesce(1).write.mode("overwrite").json(f"{output}/run")

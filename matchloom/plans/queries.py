@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import candidates, catalogue, decide, evidence, items
 from ..sources.items_json import items_of_strings, raw_of_variants
+from ..stage import staged
 from . import fixtures, jobs
 from .oracles import ORACLES  # noqa: F401  registered beside the queries
 
@@ -23,8 +24,7 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Items and catalogue; both feed several joins, so each is made once."""
-    spark.conf.set(*jobs.WINDOW_LIMIT)
-    return _items(spark, sf_dir).persist(), _catalogue(spark, sf_dir).persist()
+    return staged(_items(spark, sf_dir), "items"), staged(_catalogue(spark, sf_dir), "catalogue")
 
 
 def _columns(*names: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -101,39 +101,42 @@ def spec_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spec_counts(spark, sf_dir).where("basis = 'category_backoff'").select("item_key", "candidate_total")
 
 
-def route_per_item(spark: SparkSession, sf_dir: str) -> DataFrame:
-    routes = candidates.find_candidates(*_both(spark, sf_dir)).routes
-    return routes.select("item_key", "route", F.array_join("basis", ",").alias("basis"), "candidate_total", "truncated")
+def _answers(spark: SparkSession, sf_dir: str, **caps: int) -> jobs.Answers:
+    return jobs.answer(fixtures.raw_items(spark, sf_dir), staged(_catalogue(spark, sf_dir), "catalogue"), **caps)
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    asked, products = _both(spark, sf_dir)
-    found = candidates.find_candidates(asked, products)
-    return asked, found.routes, evidence.scored(found.pairs, asked, products)
+def route_per_item(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _answers(spark, sf_dir)
+    return items.per_item(got.routes.select("item_key", "route", F.array_join("basis", ",").alias("basis"), "candidate_total", "truncated"), got.items)
 
 
 def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _scored(spark, sf_dir)[2]
-    return scored.select("item_key", "id", "score", F.col("other_matches").alias("matched"), "has_conflict", F.coalesce("lifecycle_warning", F.lit("")).alias("lifecycle_warning"))
+    got = _answers(spark, sf_dir)
+    scored = got.scored.select("item_key", "id", "score", F.col("other_matches").alias("matched"), "has_conflict", F.coalesce("lifecycle_warning", F.lit("")).alias("lifecycle_warning"))
+    return items.per_item(scored, got.items)
 
 
 def identifier_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir)[2].where("similarity is not null").select("item_key", "id", F.round("similarity", 3).alias("similarity"))
+    got = _answers(spark, sf_dir)
+    return items.per_item(got.scored.where("similarity is not null").select("item_key", "id", F.round("similarity", 3).alias("similarity")), got.items)
 
 
 def ranked_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.ranked(_scored(spark, sf_dir)[2], 10).select("item_key", "rank", "id", "score")
+    got = _answers(spark, sf_dir)
+    return items.per_item(evidence.ranked(got.scored, 10).select("item_key", "rank", "id", "score"), got.items)
 
 
 def score_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = decide.top_of_each(evidence.ranked(_scored(spark, sf_dir)[2], 2))
-    return top.select("item_key", F.col("top_id").alias("id"), F.round(F.col("top_score") - F.col("next_score"), 3).alias("score_gap"))
+    got = _answers(spark, sf_dir)
+    top = decide.top_of_each(evidence.ranked(got.scored, 2))
+    return items.per_item(top.select("item_key", F.col("top_id").alias("id"), F.round(F.col("top_score") - F.col("next_score"), 3).alias("score_gap")), got.items)
 
 
 def match_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, routes, scored = _scored(spark, sf_dir)
-    made = decide.decide(asked, routes, decide.top_of_each(evidence.ranked(scored, 2)))
-    return made.select("item_key", "route", "status", F.coalesce("selected_id", F.lit("")).alias("selected_id"), "review_required", F.col("candidate_total").alias("candidate_count"))
+    got = _answers(spark, sf_dir)
+    made = decide.decide(got.questions, got.routes, decide.top_of_each(evidence.ranked(got.scored, 2)))
+    made = made.select("item_key", "route", "status", F.coalesce("selected_id", F.lit("")).alias("selected_id"), "review_required", F.col("candidate_total").alias("candidate_count"))
+    return items.per_item(made, got.items)
 
 
 def decision_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +145,7 @@ def decision_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def match_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole result documents: what a run writes."""
-    return jobs.match(spark, fixtures.raw_items(spark, sf_dir), _catalogue(spark, sf_dir).persist())
+    return jobs.match(spark, fixtures.raw_items(spark, sf_dir), staged(_catalogue(spark, sf_dir), "catalogue"))
 
 
 def source_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

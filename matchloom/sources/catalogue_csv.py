@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +14,8 @@ from pyspark.sql.window import Window
 
 from ..operators.catalogue import SOURCE_COLUMNS
 
+#: Bytes of a file that are held at once.
+PIECE = 8 << 20
 SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in SOURCE_COLUMNS])
 
 
@@ -25,24 +32,40 @@ def read_catalogue_csv(spark: SparkSession, path: str) -> DataFrame:
     names = _reader(spark).option("inferSchema", False).csv(path).columns
     if names != SOURCE_COLUMNS:
         raise ValueError(f"unexpected catalogue header: {names}")
-    rows = _reader(spark).schema(SCHEMA).option("enforceSchema", False).option("mode", "FAILFAST").csv(path).na.fill("")
-    return numbered(rows)
+    rows = _reader(spark).schema(SCHEMA).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
+    return numbered(rows.na.fill("").select(*SOURCE_COLUMNS, F.col("_metadata.file_path").alias("_file")))
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """Number the rows from 2 in reading order, without gaps.
+    """Number the rows from 2, file after file by ``_file`` and in reading order within each, without gaps.
 
-    A row's number is its place in its partition and the rows of the partitions before; only
-    counts, one row a partition, meet in one place.
+    Rows of a file lie together in a partition, in order. A row's number is its place there and the
+    rows of the files before; only counts, one row a file and partition, meet in one place.
     """
     at = F.monotonically_increasing_id()  # the partition in the upper bits, the place in the lower 33
-    placed = rows.withColumn("_at", at).withColumns({"_part": F.shiftright("_at", 33), "_nth": F.col("_at").bitwiseAND((1 << 33) - 1)})
-    counts = placed.groupBy("_part").agg(F.count("*").alias("c"))
-    before = F.sum("c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
-    starts = counts.select("_part", before.alias("_start"))
-    return placed.join(F.broadcast(starts), "_part").withColumn("source_row", F.col("_start") + F.col("_nth") + 2).drop("_at", "_part", "_nth", "_start")
+    placed = rows.withColumn("_at", at).withColumn("_part", F.shiftright("_at", 33))
+    counts = placed.groupBy("_file", "_part").agg(F.count("*").alias("c"), F.min("_at").alias("_first"))
+    before = F.sum("c").over(Window.orderBy("_file", "_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
+    starts = counts.select("_file", "_part", "_first", before.alias("_start"))
+    return placed.join(starts, ["_file", "_part"]).withColumn("source_row", F.col("_start") + F.col("_at") - F.col("_first") + 2).drop("_file", "_at", "_part", "_first", "_start")
 
 
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256) of each source file; one task a file."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+    """(path, sha256) of each source file, read in tasks piece by piece."""
+
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            out = []
+            for name in batch["path"]:
+                store, inner = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+                sha = hashlib.sha256()
+                with store.open_input_stream(inner) as f:
+                    while piece := f.read(PIECE):
+                        sha.update(piece)
+                out.append(sha.hexdigest())
+            yield pd.DataFrame({"path": batch["path"], "sha256": out})
+
+    files = spark.read.format("binaryFile").load(path).select("path")  # names alone; no content is read
+    return files.mapInPandas(digests, "path string, sha256 string")

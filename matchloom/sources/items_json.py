@@ -15,16 +15,16 @@ from ..operators.items import FLAGS, NUMBERS, SIZES
 def read_items_json(spark: SparkSession, path: str) -> DataFrame:
     """(item_key, v): every item as a variant, keyed by its file and place."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.parse_json("value").alias("doc"))
-    files.createOrReplaceTempView("_item_files")
     listed = spark.sql(
         """
-        select file, pos, value as v from _item_files,
+        select file, pos, value as v from {files},
         lateral variant_explode(case
             when schema_of_variant(doc) like 'OBJECT%' and schema_of_variant(try_variant_get(doc, '$.items', 'variant')) like 'ARRAY%' then try_variant_get(doc, '$.items', 'variant')
             when schema_of_variant(doc) like 'ARRAY%' then doc
             when schema_of_variant(doc) like 'OBJECT%' then parse_json('[' || to_json(doc) || ']')
             else raise_error('item JSON must be an object, an array, or an object with an items array') end)
-        """
+        """,
+        files=files,
     )
     return _checked(listed.select(F.concat_ws("#", "file", F.col("pos").cast("string")).alias("item_key"), "v"))
 
