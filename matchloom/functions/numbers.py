@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import WHITE, or_null, search_text
 
+# The patterns of figures with their units, here and in the functions below.
 NUMBER = r"\d+(?:\.\d+)?"
 GROUPED = r"\d+(?:,\d{3})*(?:\.\d+)?"
 

@@ -96,6 +96,7 @@ def rules() -> list[Rule]:
         known = left.isNotNull() & right.isNotNull()
         out.append(Rule(field, known & (apart <= F.lit(near)), known & (apart > F.lit(far)), weight, penalty, {"input_num": left, "db_num": right}))
 
+    # Tolerances, weights and penalties of the figures; so are those of the rules above and below.
     number("luminous_flux_lm", "luminous_flux_lm", "luminous_flux_hint", 0.1, 0.25, 12, 8, 1.0)
     number("color_temperature_k", "color_temperature_k", "color_temperature_hint", 150.0, 500.0, 12, 10, None)
     number("power_consumption_w", "power_consumption_w", "power_consumption_hint", 0.1, 0.25, 10, 7, 0.1)

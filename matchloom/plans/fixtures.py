@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.catalogue import SOURCE_COLUMNS
+
 CATALOGUE_SQL = """
 select 'S' || lpad(cast(p_partkey as string),7,'0') as id,
  'NNF' || lpad(cast(cast(floor(p_partkey/3) as bigint) as string),5,'0') as hinban,
@@ -48,14 +50,74 @@ select cast(p_partkey as string) as item_key,
 from part
 """
 
+_KEY = "cast(substring(id, 2) as bigint)"
+_DETAILS = {
+    "y_toukyu": f"case {_KEY}%3 when 0 then 'A級' when 1 then 'B級' else '' end",
+    "y_toritsuke": f"case {_KEY}%5 when 0 then '直付' when 1 then '埋込' else '' end",
+    "y_hyoujimen": f"case {_KEY}%4 when 0 then '片面' when 1 then '両面' else '' end",
+    "dannetsusekou": f"case {_KEY}%7 when 0 then 'SB・SGI 形' else '' end",
+    "koukyou_kataban2": f"case when {_KEY}%20=10 then 'LBF-' || substring(id, 2) else '' end",
+    "boushitsu_bouu": f"case {_KEY}%6 when 0 then '対応なし' when 1 then '防湿' when 2 then '防雨形 IP23' when 3 then '防湿・防雨' else '' end",
+}
+#: The catalogue with the columns filled that the plain one leaves empty.
+DETAILED_CATALOGUE_SQL = f"select {', '.join(f'{_DETAILS[c]} as {c}' if c in _DETAILS else c for c in SOURCE_COLUMNS)} from ({CATALOGUE_SQL}) plain"
+
+#: Items that give every field that a rule reads: fitting, contradicting, in between or not at all, by remainders of the key.
+DETAILED_ITEMS_SQL = """
+select cast(p_partkey as string) as item_key,
+ case when p_partkey%9=4 then '' else 'NNF' || lpad(cast(cast(floor(p_partkey/3) as bigint) as string),5,'0') end as hinban,
+ case when p_partkey%10=0 then 'LRS1-' || lpad(cast(p_partkey as string),6,'0') || 'LM' else '' end as public_one,
+ case when p_partkey%20=10 then 'LBF-' || lpad(cast(p_partkey as string),7,'0') else '' end as public_two,
+ case when p_partkey%9=4 and p_partkey%2=0 then 'ダウンライト' else '' end as category,
+ case when p_partkey%27=4 then 'φ' || cast(75+25*(p_size%5) as string) else '' end as cutout_text,
+ case p_partkey%3 when 0 then p_brand when 1 then 'その他' else '' end as style,
+ case p_partkey%4 when 0 then cast(p_size*100 as string) || 'lm' when 1 then '99999lm' else '' end as brightness,
+ case p_partkey%5 when 0 then 'W150×L' || cast(p_size*25 as string) when 1 then 'W1×L2' when 4 then 'W150×L' || cast(p_size*25 as string) else '' end as fixture_text,
+ case p_partkey%7 when 0 then 'A級' when 1 then 'B級' else '' end as y_toukyu,
+ case p_partkey%7 when 2 then '埋込' when 3 then '直付' else '' end as y_toritsuke,
+ case p_partkey%7 when 4 then '片面' when 5 then '両面' else '' end as y_hyoujimen,
+ case p_partkey%7 when 6 then 'ac100-242v' when 5 then '非常灯' else '' end as y_kinou,
+ case p_partkey%5 when 0 then '天井埋込' when 1 then '壁直付' when 2 then '床埋込' else '' end as mounting,
+ case p_partkey%6 when 0 then '防湿' when 1 then '防雨型' when 2 then '対応なし' when 3 then '防湿 防雨' else '' end as waterproof_text,
+ case p_partkey%4 when 0 then '調光' when 1 then '非調光' else '' end as dimming_text,
+ case p_partkey%5 when 0 then 5000.0 when 1 then 3600.0 when 2 then 4000.0 when 3 then 9000.0 end as color_temperature_k,
+ case p_partkey%4 when 0 then p_size+0.5 when 1 then 1.2*(p_size+0.5) when 2 then 2.0*(p_size+0.5) end as power_consumption_w,
+ case p_partkey%5 when 0 then 'AC100～200V' when 1 then 'AC100-300V' when 2 then '400~500V' when 3 then 'AC242V' else '' end as voltage_text,
+ case p_partkey%4 when 1 then 80.0+p_size%15 when 2 then 84.0+p_size%15 when 3 then 90.0+p_size%15 end as cri_ra,
+ case when p_partkey%13=0 then 'identity.hinban' when p_partkey%13=1 then 'specifications.dimming' else '' end as uncertain
+from part
+"""
+
 
 def _part(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(sql.replace("from part", "from {part}"), part=spark.read.parquet(f"{sf_dir}/part.parquet"))
+    # The table is a single small file, which Spark reads as one partition; the texts are worked on in as many as there are cores.
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").repartition(spark.sparkContext.defaultParallelism)
+    return spark.sql(sql.replace("from part", "from {part}"), part=part)
 
 
 def catalogue_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source catalogue of one row per part, numbered by the part."""
-    return _part(spark, sf_dir, CATALOGUE_SQL).withColumn("source_row", F.expr("cast(substring(id, 2) as bigint) + 1"))
+    return _part(spark, sf_dir, CATALOGUE_SQL).withColumn("source_row", F.expr(f"{_KEY} + 1"))
+
+
+def detailed_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _part(spark, sf_dir, DETAILED_CATALOGUE_SQL).withColumn("source_row", F.expr(f"{_KEY} + 1"))
+
+
+def detailed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raw item per part with all fields; codes of components as well."""
+    rows, some = _part(spark, sf_dir, DETAILED_ITEMS_SQL), lambda *names: F.filter(F.array(*names), lambda x: x != "")
+    return rows.select(
+        *("item_key", "hinban", "category", "style", "brightness", "y_toukyu", "y_toritsuke", "y_hyoujimen", "y_kinou"),
+        *(F.nullif(c, F.lit("")).alias(c) for c in ("waterproof_text", "dimming_text", "voltage_text")),
+        F.nullif("fixture_text", F.lit("")).alias("fixture_size_text"),
+        F.nullif("cutout_text", F.lit("")).alias("cutout_size_text"),
+        some("public_one", "public_two").alias("public_codes"),
+        F.array(F.concat(F.lit("部品 "), "item_key"), F.lit("")).alias("component_codes"),
+        some("mounting").alias("mounting"),
+        *(F.col(c).cast("double").alias(f"{c}_num") for c in ("color_temperature_k", "power_consumption_w", "cri_ra")),
+        some("uncertain").alias("uncertain_fields"),
+    )
 
 
 def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import candidates, catalogue, decide, evidence, items
@@ -26,12 +26,14 @@ def build(spark: SparkSession, csv: str, target: str, report: str | None = None)
     """
     if csv.rstrip("/") == target.rstrip("/"):
         raise ValueError("the catalogue can't replace its source")
-    source = read_catalogue_csv(spark, csv)
+    seen = Observation("source")
+    source = read_catalogue_csv(spark, csv).observe(seen, F.count(F.lit(1)).alias("rows"))  # counted while it is written
+    source = source.repartition(spark.sparkContext.defaultParallelism)  # a file of quoted lines is read by one task
     made, told = (f"{target.rstrip('/')}/_new_{x}" for x in ("products", "metadata"))
     catalogue.normalize_catalogue(source).write.mode("overwrite").parquet(made)
     products = spark.read.parquet(made)
     rows = products.count()
-    catalogue.check_valid(products, source.count())
+    catalogue.check_valid(products, seen.get["rows"])
     sha = fingerprint(spark, csv).agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("path", "sha256"))), lambda x: x["sha256"]))).first()[0]  # one row a file
     now = datetime.datetime.now(datetime.UTC).isoformat()
     facts = {"schema_version": catalogue.SCHEMA_VERSION, "source_path": csv, "source_sha256": sha, "source_rows": str(rows), "built_at_utc": now}

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from ..functions.features import MOUNTINGS
 from ..functions.text import AVAILABILITY, CATEGORIES
-from .fixtures import CATALOGUE_SQL, ITEMS_SQL
+from .fixtures import CATALOGUE_SQL, DETAILED_CATALOGUE_SQL, DETAILED_ITEMS_SQL, ITEMS_SQL
 
 
 def _ident(x: str) -> str:
@@ -37,7 +37,7 @@ def _dimension(x: str) -> str:
 
 
 def _water(x: str) -> str:
-    wet = f"(contains({x}, '防雨') or contains({x}, '防浸'))"
+    wet = f"(contains({x}, '防雨') or contains({x}, '防浸') or regexp_matches({x}, '(^| )IP[0-9]'))"
     return f"case when contains({x}, '対応なし') or contains({x}, '非対応') then 'none' when contains({x}, '防湿') and {wet} then 'damp_and_waterproof' when {wet} then 'waterproof' when contains({x}, '防湿') then 'damp' else 'unknown' end"
 
 
@@ -52,8 +52,9 @@ def _hint(x: str, pattern: str, group: int = 1) -> str:
 _SPEC = "upper(concat_ws(' ', nullif(key, ''), nullif(view_key, ''), nullif(t_akarusa, ''), nullif(t_kinou, ''), nullif(y_toukyu, ''), nullif(y_kinou, '')))"
 _PAIR = "(select a from (values " + ", ".join(f"('{k}', '{v}')" for k, v in AVAILABILITY.items()) + ") m(k, a) where m.k = trim(zaiku))"
 
-BASE = f"""
-with src as ({CATALOGUE_SQL}),
+def _base(catalogue: str) -> str:
+    return f"""
+with src as ({catalogue}),
 c1 as (
   select *, {_ident("hinban")} as hinban_norm, {_ident("kidou")} as kidou_norm, {_ident("koukyou_kataban1")} as public1_norm, {_ident("koukyou_kataban2")} as public2_norm,
     {_water("boushitsu_bouu")} as wet_primary_norm, {_water("t_kinou")} as wet_feature_norm, {_SPEC} as spec, concat_ws(' ', t_kinou, view_key, key) as dim_text
@@ -63,7 +64,7 @@ c1 as (
     {_relaxed("public1_norm")} as public1_relaxed, {_relaxed("public2_norm")} as public2_relaxed,
     {_category("kigugroup")} as kigugroup_norm, {_category("t_kigugroup")} as t_kigugroup_norm, {_search("kigustyle")} as kigustyle_norm,
     {_search("key")} as key_norm, {_search("view_key")} as view_key_norm, {_search("t_akarusa")} as brightness_norm, {_search("t_kigubunrui")} as t_kigubunrui_norm,
-    {_search("dannetsusekou")} as insulation_norm, {_search("y_kinou")} as y_kinou_norm,
+    {_search("dannetsusekou")} as insulation_norm, {_search("y_kinou")} as y_kinou_norm, {_search("y_toukyu")} as y_toukyu_norm, {_search("y_toritsuke")} as y_toritsuke_norm, {_search("y_hyoujimen")} as y_hyoujimen_norm,
     {_dimension("kigusize")} as fixture_size_norm, {_dimension("umekomi_ana")} as cutout_size_norm, {_mounting("t_toritsuke")} as mounting_norm,
     case when wet_primary_norm = 'unknown' then wet_feature_norm when wet_feature_norm = 'unknown' or wet_feature_norm = wet_primary_norm then wet_primary_norm
       when 'damp_and_waterproof' in (wet_primary_norm, wet_feature_norm) and 'none' not in (wet_primary_norm, wet_feature_norm) then 'damp_and_waterproof' else 'conflict' end as wet_combined_norm,
@@ -79,7 +80,13 @@ c1 as (
 )
 """
 
-ITEMS = f""", raw as ({ITEMS_SQL}),
+
+BASE = _base(CATALOGUE_SQL)
+
+
+def _items(fuzzy_cap: int = 2000, spec_cap: int = 5000) -> str:
+    """Items, lookups, scores and decisions; rows go by id, which has the order of the source."""
+    return f""", raw as ({ITEMS_SQL}),
 i1 as (
   select item_key, {_ident("product_code_raw")} as product_code, {_ident("hinban")} as hinban, {_ident("kidou")} as kidou, {_search("key_hint")} as key_hint, {_category("category")} as category,
     case when cutout_diameter_mm is null then '' else 'φ' || cast(cutout_diameter_mm as varchar) end as cutout_size, {_ident("public_model_code")} as public_code, luminous_flux_lm
@@ -114,17 +121,26 @@ spec_item as (
   select item_key, case when item_key in (select item_key from back) then 'category_backoff' else concat_ws(',', case when category <> '' then 'category' end, case when cutout_size <> '' then 'cutout_size' end) end as basis,
     (select count(*) from spec where spec.item_key = item.item_key) as candidate_total
   from item where not has_primary_identifier and (category <> '' or cutout_size <> '')
-), loose as (from relaxed_hit where item_key not in (select item_key from exact)),
-part_hit as (from partial_hit where item_key not in (select item_key from exact) and item_key not in (select item_key from loose)),
-hit as (from exact union all from loose union all from part_hit union all select item_key, id, 'spec_candidate' from spec),
+), loose_all as (from relaxed_hit where item_key not in (select item_key from exact) qualify row_number() over (partition by item_key, match_type order by id) <= {fuzzy_cap + 1}),
+part_all as (from partial_hit where item_key not in (select item_key from exact) and item_key not in (select item_key from loose_all) qualify row_number() over (partition by item_key, match_type order by id) <= {fuzzy_cap + 1}),
+fuzzy_all as (from loose_all union all from part_all),
+fuzzy_total as (select item_key, count(distinct id) as n from fuzzy_all group by 1),
+fuzzy_kept as (select item_key, id from fuzzy_all group by 1, 2 qualify row_number() over (partition by item_key order by min(match_type), id) <= {fuzzy_cap}),
+loose as (from loose_all where (item_key, id) in (from fuzzy_kept)),
+part_hit as (from part_all where (item_key, id) in (from fuzzy_kept)),
+spec_kept as (from spec qualify row_number() over (partition by item_key order by id) <= {spec_cap}),
+hit as (from exact union all from loose union all from part_hit union all select item_key, id, 'spec_candidate' from spec_kept),
 cand as (select item_key, id, list(match_type) as types from hit group by 1, 2),
-total as (select item_key, count(*) as n from cand group by 1),
-route as (
+total as (
+  select item_key, count(*) as n from cand where item_key in (select item_key from exact) group by 1 union all from fuzzy_total
+  union all select item_key, candidate_total from spec_item where candidate_total > 0
+), route as (
   select item_key,
     case when item_key in (select item_key from exact) then 'exact_identifier' when item_key in (select item_key from loose) then 'relaxed_identifier' when item_key in (select item_key from part_hit) then 'partial_identifier'
       when has_primary_identifier then 'identifier_not_found' when category <> '' or cutout_size <> '' then 'specification_search' else 'insufficient_input' end as route,
     case when branch = 'full_code' and item_key in (select item_key from fallback) then 'hinban' else branch end as tried,
-    item_key in (select item_key from public_hit) as by_public, coalesce((select n from total where total.item_key = item.item_key), 0) as candidate_total
+    item_key in (select item_key from public_hit) as by_public, coalesce((select n from total where total.item_key = item.item_key), 0) as candidate_total,
+    coalesce((select n from fuzzy_total where fuzzy_total.item_key = item.item_key) > {fuzzy_cap}, (select candidate_total from spec_item where spec_item.item_key = item.item_key) > {spec_cap}, false) as truncated
   from item
 ), scored as (
   select *, case when w >= 0 then w else 0 end + case when category <> '' and group_norm <> '' then case when cat_ok then 12 else -5 end else 0 end
@@ -161,6 +177,8 @@ top as (
 )
 """
 
+ITEMS = _items()
+
 _HINTS = {
     "category": "kigugroup_norm <> '' or t_kigugroup_norm <> ''",
     "fixture_size": "fixture_size_norm <> ''",
@@ -217,12 +235,12 @@ _MATCHING = {
     "join_public_code": _hit("public_hit"),
     "join_relaxed": _hit("relaxed_hit"),
     "join_partial": _hit("partial_hit"),
-    "spec_search": "select item_key, id from spec",
+    "spec_search": "select item_key, id from spec_kept",
     "spec_counts": "select item_key, basis, candidate_total, candidate_total > 5000 as truncated from spec_item",
     "spec_backoff": "select item_key, candidate_total from spec_item where basis = 'category_backoff'",
     "route_per_item": """select item_key, route, case route when 'exact_identifier' then concat_ws(',', nullif(tried, ''), case when by_public then 'public_model_code' end)
       when 'relaxed_identifier' then route when 'partial_identifier' then route when 'identifier_not_found' then coalesce(nullif(tried, ''), 'identifier')
-      when 'specification_search' then (select basis from spec_item where spec_item.item_key = route.item_key) else '' end as basis, candidate_total, false as truncated from route""",
+      when 'specification_search' then (select basis from spec_item where spec_item.item_key = route.item_key) else '' end as basis, candidate_total, truncated from route""",
     "candidate_scores": "select item_key, id, score, matched, has_conflict, lifecycle_warning from ranked",
     "identifier_similarity": "select item_key, id, round(similarity, 3) as similarity from scored where similarity is not null",
     "ranked_topk": "select item_key, rank, id, score from ranked where rank <= 10",
@@ -230,4 +248,65 @@ _MATCHING = {
     "match_decisions": _DECISION,
     "decision_summary": f"select status, count(*) as item_count from ({_DECISION}) group by 1",
 }
-ORACLES = {k: f"{BASE} {v}" for k, v in _CATALOGUE.items()} | {k: f"{BASE}{ITEMS} {v}" for k, v in _MATCHING.items()}
+#: The rules over the detailed fixture: field, when it speaks for a pair, when against it, weight and penalty.
+_PAIR_TEXTS = {
+    "style": ("style", "kigustyle_norm", 4, 2),
+    "brightness": ("brightness", "brightness_norm || key_norm || view_key_norm", 10, 5),
+    "fixture_size": ("fixture_size", "fixture_size_norm", 14, 5),
+    "cutout_size": ("cutout_size", "cutout_size_norm", 18, 5),
+    "category": ("category", "case when kigugroup_norm <> '' then kigugroup_norm else t_kigugroup_norm end", 12, 5),
+    **{k: (k, f"{k}_norm", 10, 5) for k in ("y_toukyu", "y_toritsuke", "y_hyoujimen", "y_kinou")},
+}
+_WET = "case when i.waterproof = 'unknown' or wet_combined_norm in ('unknown', 'conflict') then null else i.waterproof = wet_combined_norm or (i.waterproof in ('damp', 'waterproof') and wet_combined_norm = 'damp_and_waterproof') end"
+_PAIR_RULES = [
+    (f, f"i.{a} <> '' and {b} <> '' and (contains({b}, i.{a}) or contains(i.{a}, {b}))", f"i.{a} <> '' and {b} <> '' and not (contains({b}, i.{a}) or contains(i.{a}, {b}))", w, p)
+    for f, (a, b, w, p) in _PAIR_TEXTS.items()
+] + [
+    ("mounting", "i.mounting <> '' and contains(mounting_norm, i.mounting)", "i.mounting <> '' and mounting_norm <> '' and not contains(mounting_norm, i.mounting)", 14, 7),
+    ("waterproof", f"coalesce({_WET}, false)", f"coalesce(not ({_WET}), false)", 14, 12),
+    ("waterproof", "false", "i.waterproof <> 'unknown' and wet_combined_norm = 'conflict'", 0, 0),
+    ("dimming", "i.dimming <> 'unknown' and dimming_norm <> 'unknown' and i.dimming = dimming_norm", "i.dimming <> 'unknown' and dimming_norm <> 'unknown' and i.dimming <> dimming_norm", 14, 12),
+    ("color_temperature_k", "abs(color_temperature_hint - i.color_temperature_k) <= 150", "abs(color_temperature_hint - i.color_temperature_k) > 500", 12, 10),
+    ("power_consumption_w", "abs(power_consumption_hint - i.power_consumption_w) / greatest(i.power_consumption_w, 0.1) <= 0.1", "abs(power_consumption_hint - i.power_consumption_w) / greatest(i.power_consumption_w, 0.1) > 0.25", 10, 7),
+    ("voltage", "voltage_min_hint <= i.low and i.high <= voltage_max_hint", "i.high < voltage_min_hint or i.low > voltage_max_hint", 8, 8),
+    ("cri_ra", "abs(cri_hint - i.cri_ra) <= 2", "abs(cri_hint - i.cri_ra) > 5", 6, 4),
+]
+DETAILED = _base(DETAILED_CATALOGUE_SQL) + f""", raw as ({DETAILED_ITEMS_SQL}),
+item as (
+  select item_key, hinban, list_filter([public_one, public_two], lambda x: x <> '') as codes, {_category("category")} as category, {_search("style")} as style, {_search("brightness")} as brightness,
+    case when fixture_text = '' then '' else {_dimension("fixture_text")} end as fixture_size, case when cutout_text = '' then '' else {_dimension("cutout_text")} end as cutout_size,
+    {_search("y_toukyu")} as y_toukyu, {_search("y_toritsuke")} as y_toritsuke, {_search("y_hyoujimen")} as y_hyoujimen, {_search("y_kinou")} as y_kinou, {_mounting("mounting")} as mounting,
+    {_water("waterproof_text")} as waterproof, case dimming_text when '' then 'unknown' when '調光' then 'true' else 'false' end as dimming, cast(color_temperature_k as double) as color_temperature_k,
+    cast(power_consumption_w as double) as power_consumption_w, cast(cri_ra as double) as cri_ra, cast(nullif(regexp_extract(voltage_text, '([0-9]+)', 1), '') as double) as low,
+    cast(nullif(regexp_extract(voltage_text, '([0-9]+)V', 1), '') as double) as high, uncertain
+  from raw
+), kind as (
+  select item_key, id, 'hinban' as match_type, 75.0 as w from item join cat on cat.hinban_norm = item.hinban and item.hinban <> ''
+  union all select item_key, id, 'public_model_code:' || code, 90.0 from (select item_key, unnest(codes) as code from item) join cat on code in (public1_norm, public2_norm)
+  union all select item_key, id, 'spec_candidate', 0.0 from item i join cat on i.hinban = '' and len(i.codes) = 0 and (i.category <> '' or i.cutout_size <> '' or i.fixture_size <> '')
+    and (i.category = '' or i.category in (kigugroup_norm, t_kigugroup_norm)) and (i.cutout_size = '' or i.cutout_size = cutout_size_norm) and (i.fixture_size = '' or i.fixture_size = fixture_size_norm)
+), back as (
+  select item_key, id, 'spec_candidate' as match_type, 0.0 as w from item i join cat on i.category in (kigugroup_norm, t_kigugroup_norm)
+  where i.hinban = '' and len(i.codes) = 0 and i.category <> '' and i.cutout_size || i.fixture_size <> '' and item_key not in (select item_key from kind)
+), found as (from kind union all from back),
+pair as (select item_key, id, max(w) as w from found group by 1, 2),
+entry as (
+  {" union all ".join(f"select i.item_key, cat.id, '{f}' as field, case when {m} then '+' else '-' end as sign, cast(case when {m} then {w} else 0 end as double) as weight, cast(case when {m} then {w} else -{p} end as double) as points from pair p join item i using (item_key) join cat on cat.id = p.id where ({m}) or ({c})" for f, m, c, w, p in _PAIR_RULES)}
+), score as (
+  select p.item_key, p.id, p.w + coalesce(sum(points), 0) as score from pair p left join entry e on e.item_key = p.item_key and e.id = p.id group by p.item_key, p.id, p.w
+), place as (select *, cast(row_number() over (partition by item_key order by score desc, id) as integer) as rank from score)
+"""
+_CAPPED = f"{BASE}{_items(1, 7)}"
+_DETAILED = {
+    "evidence_entries": "select item_key, rank, id, cast(score as double) as score, field, sign, weight from place join (select item_key, id, field, sign, weight from entry union all select item_key, id, 'identifier', '+', cast(w as double) from found) using (item_key, id) where rank <= 10",
+    "result_search": """select item_key, case when exists(select 1 from found f where f.item_key = item.item_key and f.w > 0) then 'exact_identifier' when hinban <> '' or len(codes) > 0 then 'identifier_not_found'
+      when category <> '' or cutout_size <> '' or fixture_size <> '' then 'specification_search' else 'insufficient_input' end as route,
+      (select count(*) from pair where pair.item_key = item.item_key) as candidate_count, least(10, (select count(*) from pair where pair.item_key = item.item_key)) as returned_count,
+      case when uncertain <> '' then 'input_contains_uncertain_fields' else '' end as warnings, array_to_string(codes, ',') as public_codes, '部品' || item_key as component_codes from item""",
+    "catalogue_installation": _columns("insulation_norm", "y_toukyu_norm", "y_toritsuke_norm", "y_hyoujimen_norm", "wet_combined_norm", "public2_norm", "dannetsusekou", "bumon", "hatsubai_date"),
+}
+_CAPPED_QUERIES = {
+    "capped_candidates": "select item_key, id, cast(len(types) as bigint) as hits from cand",
+    "capped_routes": "select item_key, route, candidate_total, truncated from route",
+}
+ORACLES = {k: f"{DETAILED} {v}" for k, v in _DETAILED.items()} | {k: f"{_CAPPED} {v}" for k, v in _CAPPED_QUERIES.items()} | {k: f"{BASE} {v}" for k, v in _CATALOGUE.items()} | {k: f"{BASE}{ITEMS} {v}" for k, v in _MATCHING.items()}

@@ -139,6 +139,47 @@ def match_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.per_item(made, got.items)
 
 
+def capped_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates under caps so small that they cut: one row of a tolerant search, seven of a specification."""
+    asked, products = _both(spark, sf_dir)
+    return candidates.find_candidates(asked, products, fuzzy_cap=1, spec_cap=7).pairs.select("item_key", "id", F.size("match_types").cast("long").alias("hits"))
+
+
+def capped_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.find_candidates(*_both(spark, sf_dir), fuzzy_cap=1, spec_cap=7).routes.select("item_key", "route", "candidate_total", "truncated")
+
+
+def _detailed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    products = staged(catalogue.normalize_catalogue(fixtures.detailed_source(spark, sf_dir)), "catalogue")
+    return staged(jobs.match(spark, fixtures.detailed_items(spark, sf_dir), products), "results")
+
+
+def evidence_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the result documents say for and against their candidates, an entry a row."""
+    each = _detailed(spark, sf_dir).select("item_key", F.explode("candidates").alias("c"))
+    side = lambda name, sign: F.transform(name, lambda e: F.struct(e["field"].alias("field"), F.lit(sign).alias("sign"), F.coalesce(e["weight"], F.lit(0.0)).alias("weight")))
+    entries = F.concat(side("c.matched_fields", "+"), side("c.conflicts", "-"))
+    return each.select("item_key", F.col("c.rank").alias("rank"), F.col("c.record.id").alias("id"), F.col("c.score").alias("score"), F.explode(entries).alias("e")).select("item_key", "rank", "id", "score", "e.*")
+
+
+def result_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the result documents say that their items were searched, with their codes and warnings."""
+    return _detailed(spark, sf_dir).select(
+        "item_key",
+        "search.route",
+        "search.candidate_count",
+        F.col("search.returned_count").cast("long").alias("returned_count"),
+        F.array_join("warnings", ",").alias("warnings"),
+        F.array_join("normalized_input.public_model_codes", ",").alias("public_codes"),
+        F.array_join("normalized_input.component_codes", ",").alias("component_codes"),
+    )
+
+
+def catalogue_installation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = catalogue.normalize_catalogue(fixtures.detailed_source(spark, sf_dir))
+    return made.select("id", "insulation_norm", "y_toukyu_norm", "y_toritsuke_norm", "y_hyoujimen_norm", "wet_combined_norm", "public2_norm", "dannetsusekou", "bumon", "hatsubai_date")
+
+
 def decision_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.summary(match_decisions(spark, sf_dir))
 
@@ -158,6 +199,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "match_decisions": match_decisions,
     "decision_summary": decision_summary,
     "match_results": match_results,
+    "evidence_entries": evidence_entries,
+    "result_search": result_search,
+    "capped_candidates": capped_candidates,
+    "capped_routes": capped_routes,
+    "catalogue_installation": catalogue_installation,
     "catalogue_identifiers": _columns("hinban_norm", "kidou_norm", "full_code_norm", "full_code_relaxed", "public1_norm", "public2_norm", "public1_relaxed", "public2_relaxed"),
     "catalogue_category": _columns("kigugroup_norm", "t_kigugroup_norm", "kigustyle_norm"),
     "catalogue_search_text": _columns("key_norm", "view_key_norm", "brightness_norm", "t_kigubunrui_norm", "insulation_norm", "y_kinou_norm"),
