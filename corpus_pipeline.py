@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchloom.llm import bpe
-from matchloom.llm.common import staged, table
+from matchloom.llm.common import table
 from matchloom.llm.decontaminate import decontaminate
 from matchloom.llm.language_id import keep_identified
 from matchloom.llm.ngram_join import one_of_each
 from matchloom.llm.queries import held_out, tokenizer_path, tokenizer_pattern
 from matchloom.llm.secret_scan import redact_secrets
+from matchloom.stage import staged_alone
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -66,8 +67,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written and read again; what a stage stages goes with it."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        docs = staged_alone(spark, name, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
     return docs

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -83,6 +83,15 @@ def stages(spark: SparkSession) -> Iterator[str]:
         remove(spark, folder)
 
 
+def staged_alone(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns as a written table; what it staged on the way is removed once the table is written."""
+    path = new_folder(spark, name)
+    with stages(spark):
+        df = make()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a written table: later joins read it instead of planning it again, and lost executors cost nothing of it."""
     path = new_folder(df.sparkSession, name)
