@@ -2,41 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..stage import new_folder, staged, stages  # noqa: F401  staging is the library's, for all operators here
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests, one machine) is a new one made.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="matchloom-checkpoint-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def staged(df: DataFrame, what: str = "stage", *, partition_by: list[str] | None = None) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
-
-    The written table survives lost executors, is compressed, and later jobs read
-    only the columns that they need.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path, partitionBy=partition_by)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: A key is frequent from this share of all rows on, so there are at most so many frequent keys.
 FREQUENT_SHARE = 2000
 
@@ -57,6 +32,7 @@ def with_each(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFr
 
 
 #: Rows of an Arrow batch on its way to Python; Spark's default of 10,000 whole texts takes hundreds of MB.
+#: This is a setting of the session, the only one that the operators change; one that is smaller already stays.
 BATCH_ROWS = 1000
 
 

@@ -23,14 +23,13 @@ table gives an archive without records, read back as an empty table.
 from __future__ import annotations
 
 import gzip
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, StringStartsWith
 
-from .common import shared_dir
+from .common import new_folder
 
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -53,7 +52,7 @@ def write_warc(
     revisit_from: int = 1000,
 ) -> str:
     """Write one record per row of ``df`` under ``path`` (a new shared folder by default); return the path."""
-    path = path or f"{shared_dir(df.sparkSession)}/warc-{uuid.uuid4().hex}"
+    path = path or new_folder(df.sparkSession, "warc")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = df.select(
         F.col(id_col).cast("long").alias("id"),

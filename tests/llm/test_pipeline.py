@@ -1,6 +1,7 @@
 """The pipeline stage by stage on the smallest table."""
 
 import corpus_pipeline
+from matchloom import stage as stage_module
 from matchloom.llm import ngram_join
 
 SF = "/root/testdata/sf0.001"
@@ -14,7 +15,7 @@ def test_stages(spark):
         docs = stage(spark, docs, SF)
         if name != "tokens":
             assert docs.columns == corpus_pipeline.COLUMNS
-        docs = seen[name] = corpus_pipeline.staged(docs, name)
+        docs = seen[name] = stage_module.staged(docs, name)
     ids = {k: {r["doc_id"] for r in v.select("doc_id").collect()} for k, v in seen.items()}
     assert ids["language"] == set(before)  # all have letters
     groups = ngram_join.link_components(seen["language"]).collect()
@@ -30,5 +31,5 @@ def test_clashing_input(spark):
     rows = [(1, None, None, None, None), (2, "some words that are a plain text", "en", "s", 1), (2, "some words that are a plain text", "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.staged(stage(spark, docs, SF), "t")
+        docs = stage_module.staged(stage(spark, docs, SF), "t")
     assert [r["doc_id"] for r in docs.collect()] == [2]  # rows of one id and text are one group
