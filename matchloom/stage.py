@@ -61,13 +61,18 @@ def remove(spark: SparkSession, folder: str) -> None:
 def replace(spark: SparkSession, old: str, new: str) -> None:
     """Put the folder ``new`` in the place of ``old``, which is moved aside first and removed last."""
     files, target = _path(spark, old)
-    aside = _path(spark, f"{old}-replaced")[1]
+    source, aside = _path(spark, new)[1], _path(spark, f"{old}-replaced")[1]
+    if not files.exists(source):
+        raise FileNotFoundError(new)
     files.delete(aside, True)
     if files.exists(target) and not files.rename(target, aside):
         raise OSError(f"{old} can't be moved aside")
-    if not files.rename(_path(spark, new)[1], target):
+    try:
+        if not files.rename(source, target):
+            raise OSError(f"{new} can't be moved to {old}")
+    except Exception:
         files.rename(aside, target)
-        raise OSError(f"{new} can't be moved to {old}")
+        raise
     files.delete(aside, True)
 
 
