@@ -1,7 +1,9 @@
 """Exact nearest neighbours by inner product, as a block matrix join with int8 tiles.
 
-Queries go out in blocks of bounded bytes; the candidates stay where they are and stream
-past each block in tiles. A vector ``x`` is held as ``scale * q + e`` with ``q`` in int8, so a
+Queries and candidates are packed into tiles, matrices of a bounded size in one row of a table.
+Tiles of queries are dealt into blocks and tiles of candidates into groups, each of bounded bytes, and every pair of
+a block and a group is one task's work: a cogrouped join on the two numbers. No vector passes
+through the driver. A vector ``x`` is held as ``scale * q + e`` with ``q`` in int8, so a
 tile of products of int8 vectors gives each inner product up to an error that the norms of
 the parts bound:
 
@@ -9,8 +11,8 @@ the parts bound:
 
 where ``x'`` is the quantised vector. Pairs whose upper bound stays under the query's k-th best
 so far are dropped; the rest are computed again from the original components in double
-precision, one component after the other, and merged into the query's heap. Each task
-returns k rows a query at most, and these are merged by a window over the query.
+precision, one component after the other, and merged into the query's heap. Each pair of block and
+group returns k rows a query at most, and these are merged by a window over the query.
 
 Equal vectors within a tile are looked at once for all: only the ``k + 1`` smallest ids of a
 group can be among a query's k nearest, so the rest are set aside without loss.
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,7 +39,8 @@ from .common import staged
 
 #: Candidates and queries of a tile of products; a tile takes 16 MB a matrix.
 TILE, QUERY_TILE = 4096, 512
-QUERY_BLOCK_BYTES = 32_000_000
+#: Bytes of a tile as it is packed, of the queries of a block and of the candidates of a group.
+TILE_BYTES, QUERY_BLOCK_BYTES, GROUP_BYTES = 4_000_000, 32_000_000, 32_000_000
 
 
 class Tile:
@@ -129,6 +133,45 @@ def few_copies(tile: Tile, k: int) -> Tile:
     return tile if len(kept) == len(order) else tile.take(np.sort(kept))
 
 
+PACKED = "tile long, size int, ids binary, vectors binary"
+
+
+def packed(df: DataFrame, rows: int, copies: int | None = None) -> DataFrame:
+    """The vectors of ``(id, v)`` that take part, as tiles of one length each: at most ``rows`` vectors and about ``TILE_BYTES``.
+
+    With ``copies``, a tile keeps only so many of the smallest ids of equal vectors, and one more.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, made = TaskContext.get().partitionId(), 0
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def tile(size: int) -> pd.DataFrame:
+            nonlocal made
+            whole = Tile(*(np.concatenate(x) for x in zip(*held.pop(size), strict=True)))
+            whole = whole if copies is None else few_copies(whole, copies)
+            made += 1
+            return pd.DataFrame({"tile": [task << 32 | made], "size": [size], "ids": [whole.ids.astype("<i8").tobytes()], "vectors": [whole.v.astype("<f8").tobytes()]})
+
+        for batch in batches:
+            for ids, matrix in _valid(batch["id"].to_numpy(object), batch["v"].tolist()):
+                size = matrix.shape[1]
+                most = max(1, min(rows, TILE_BYTES // (8 * size)))
+                for s in range(0, len(ids), most):
+                    part = ids[s : s + most], matrix[s : s + most]
+                    if size in held and sum(len(x) for x, _ in held[size]) + len(part[0]) > most:
+                        yield tile(size)
+                    held.setdefault(size, []).append(part)
+        for size in list(held):
+            yield tile(size)
+
+    return df.mapInPandas(run, PACKED)
+
+
+def _tile(row) -> Tile:
+    return Tile(np.frombuffer(row.ids, "<i8"), np.frombuffer(row.vectors, "<f8").reshape(-1, row.size))
+
+
 def nearest(
     vectors: DataFrame,
     queries: DataFrame,
@@ -137,41 +180,43 @@ def nearest(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     block_bytes: int = QUERY_BLOCK_BYTES,
+    group_bytes: int = GROUP_BYTES,
 ) -> DataFrame:
     """Return ``(query_id, rank, id, score)``: for each query its ``k`` nearest rows of ``vectors``."""
     spark = vectors.sparkSession
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    asked = staged(pick(queries).where(F.col("id").isNotNull() & finite).groupBy("id").agg(F.min("v").alias("v")), "queries")
-    held = asked.agg(F.sum(F.size("v") * 8 + 16)).first()[0] or 0
-    blocks = max(1, -(-held // block_bytes))
-    schema, parts = "query_id long, id long, score double", []
-    for b in range(blocks):  # each block's queries are bounded, and pass over the candidates once
-        rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toPandas()
-        made = [
-            Tile(i[s : s + QUERY_TILE], m[s : s + QUERY_TILE])
-            for i, m in _valid(rows["id"].to_numpy(object), rows["v"].tolist())
-            for s in range(0, len(i), QUERY_TILE)
-        ]
-        sent = spark.sparkContext.broadcast(made)
-
-        def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            heaps = [Heaps(t, k) for t in sent.value]
-            for batch in batches:
-                for s in range(0, len(batch), TILE):
-                    part = batch.iloc[s : s + TILE]
-                    for ids, matrix in _valid(part["id"].to_numpy(object), part["v"].tolist()):
-                        tile = few_copies(Tile(ids, matrix), k)
-                        for h in heaps:
-                            if h.queries.v.shape[1] == matrix.shape[1]:
-                                h.offer(tile)
+    once = pick(queries).where(F.col("id").isNotNull() & finite).groupBy("id").agg(F.min("v").alias("v"))
+    asked = staged(packed(once, QUERY_TILE), "queries")
+    tiles = staged(packed(pick(vectors), TILE, k), "tiles")
+
+    def parts(df: DataFrame, each: int, least: int) -> int:
+        r = df.agg(F.sum(F.octet_length("vectors")).alias("bytes"), F.count("*").alias("tiles")).first()
+        return max(1, -(-(r["bytes"] or 0) // each), min(least, r["tiles"]))
+
+    blocks, groups = parts(asked, block_bytes, 1), parts(tiles, group_bytes, spark.sparkContext.defaultParallelism)
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda n: F.pmod(F.xxhash64("tile"), F.lit(n)).cast("int")
+    left = asked.withColumn("block", dealt(blocks)).withColumn("group", spread(groups))
+    right = tiles.withColumn("group", dealt(groups)).withColumn("block", spread(blocks))
+
+    def meet(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        heaps = [Heaps(_tile(r), k) for r in ours.itertuples()]
+        for r in theirs.itertuples():
+            candidates = _tile(r)
             for h in heaps:
-                ok = h.id != np.iinfo(np.int64).max
-                yield pd.DataFrame({"query_id": np.repeat(h.queries.ids, k)[ok.ravel()], "id": h.id[ok], "score": h.score[ok]})
-
-        parts.append(pick(vectors).mapInPandas(run, schema))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+                if h.queries.v.shape[1] == r.size:
+                    h.offer(candidates)
+        ok = [h.id != np.iinfo(np.int64).max for h in heaps]
+        joined = lambda each, kind: np.concatenate([np.zeros(0, kind), *each])
+        return pd.DataFrame(
+            {
+                "query_id": joined([np.repeat(h.queries.ids, k)[o.ravel()] for h, o in zip(heaps, ok, strict=True)], np.int64),
+                "id": joined([h.id[o] for h, o in zip(heaps, ok, strict=True)], np.int64),
+                "score": joined([h.score[o] for h, o in zip(heaps, ok, strict=True)], np.float64),
+            }
+        )
+
+    found = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInPandas(meet, "query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -23,9 +23,9 @@ def test_knn_against_brute_force(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     valid = {i: np.array(v, float) for i, v in rows[:360]}
     asked = df.where("vec_id % 20 = 0")
-    for block in (32_000_000, 600):
+    for block, group in ((32_000_000, 32_000_000), (600, 9_000)):
         got = {}
-        for r in block_knn.nearest(df, asked, k=20, block_bytes=block).orderBy("query_id", "rank").collect():
+        for r in block_knn.nearest(df, asked, k=20, block_bytes=block, group_bytes=group).orderBy("query_id", "rank").collect():
             got.setdefault(r["query_id"], []).append((r["id"], r["score"]))
         assert set(got) == {i for i in valid if i % 20 == 0}
         for q, found in got.items():
