@@ -12,8 +12,12 @@ summed map-side, the digit that holds the median is kept, and the next digits ar
 resolved among the rows of that digit only. All nodes of a level share each job; what
 reaches the driver is one row per node.
 
+Equal texts stay together: the rows of a group of copies take the least values of the group for their
+dimensions and the hash of the text for theirs, so no cut parts them. A group that holds more than a
+share ``TOGETHER`` of a shard's bytes or rows is parted like other rows, as shards near equal in bytes can't hold it whole.
+
 Defined cases: null text weighs nothing but the fixed 8 bytes; null dimensions sort
-first; an empty table gives an empty result; rows equal in every key column can't be
+first; an empty table gives an empty result; rows equal in id and text can't be
 parted and stay in one shard; columns beyond those named are ignored.
 """
 
@@ -30,6 +34,7 @@ from pyspark.sql.window import Window
 from .common import staged
 
 VALUE_BITS, HASH_BITS, DIGIT_BITS = 31, 32, 16
+TOGETHER = 0.01
 
 
 @dataclass
@@ -80,8 +85,9 @@ def kd_shards(
             F.col(id_col).alias("id"),
             size.alias("size"),
             F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("crc"),
+            F.xxhash64(text).alias("same"),
             *(F.coalesce(v, F.lit(float("-inf"))).alias(f"v{i}") for i, v in enumerate(values)),
-        ).withColumn("tie", F.xxhash64("id", "crc", "size").bitwiseAND(F.lit((1 << HASH_BITS) - 1))),
+        ),
         "kd",
     )
     n = len(values)
@@ -95,6 +101,7 @@ def kd_shards(
     rows, total = whole["rows"], whole["bytes"] or 0
     if shards is None:
         shards = max(1, math.ceil(total / target_bytes))
+    base = _together(base, n, total / shards * TOGETHER, (rows or 0) / shards * TOGETHER)
     span = [(whole[f"lo{i}"] or 0.0, (whole[f"hi{i}"] or 0.0) - (whole[f"lo{i}"] or 0.0)) for i in range(n)]
     keys = []
     for i, (low, width) in enumerate(span):
@@ -112,6 +119,21 @@ def kd_shards(
     return _slots(placed, rows, shards).select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", "slot")
 
 
+def _together(base: DataFrame, n: int, most_bytes: float, most_rows: float) -> DataFrame:
+    """Give the copies of a text one place in all dimensions and one ``tie``; groups beyond the limits keep those of their rows."""
+    on = ["same", "crc", "size"]
+    groups = base.groupBy(*on).agg(F.count("*").alias("copies"), *(F.min(f"v{i}").alias(f"g{i}") for i in range(n))).where("copies > 1")
+    groups = staged(groups.withColumn("parted", (F.col("copies") * F.col("size") > most_bytes) | (F.col("copies") > F.greatest(F.lit(most_rows), F.lit(2)))), "copies")
+    parted = groups.where("parted").select(*on, "parted")  # at most 2 / TOGETHER of them a shard
+    marked = base.join(F.broadcast(parted), on, "left")
+    own = F.xxhash64("id", "crc", "size")
+    alone = marked.where("parted").select("id", "size", "crc", *(f"v{i}" for i in range(n)), own.alias("tie"))
+    met = marked.where("parted is null").drop("parted").join(groups.where("not parted").drop("parted"), on, "left")
+    shared = F.when(F.col("copies").isNotNull(), F.xxhash64(*on)).otherwise(own)
+    together = met.select("id", "size", "crc", *(F.coalesce(f"g{i}", f"v{i}").alias(f"v{i}") for i in range(n)), shared.alias("tie"))
+    return together.unionByName(alone).withColumn("tie", F.col("tie").bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+
+
 def _leaf(node: Node, keys: list[Column]) -> Column:
     """The first shard of the node in which a row now lies."""
     if node.left is None:

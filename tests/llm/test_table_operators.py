@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import io
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -199,6 +200,11 @@ def test_shards(spark):
     assert total.max() - total.min() <= 2 * got["size"].max()
     assert all(sorted(x) == list(range(len(x))) for _, x in got.groupby("shard")["slot"])
     assert got.loc[got["doc_id"] == 5000, "size"].tolist() == [8]
+    crc = {i: zlib.crc32((t or "").encode()) for i, t, *_ in rows if i is not None}
+    assert all(crc[int(i)] == c for i, c in zip(got["doc_id"], got["text_crc32"], strict=True) if i == i)
+    groups = got.groupby(["text_crc32", "size"]).agg(bytes=("size", "sum"), rows=("size", "count"), shards=("shard", "nunique"))
+    small = groups[(groups["rows"] > 1) & (groups["bytes"] <= 0.01 * total.sum() / 24) & (groups["rows"] <= 2)]
+    assert len(small) > 20 and (small["shards"] == 1).all()
     parts = kd_shards.kd_shards(docs, target_bytes=200_000).agg(F.count_distinct("shard")).first()[0]
     assert parts == -(-int(got["size"].sum()) // 200_000)
     assert kd_shards.kd_shards(docs.limit(0), shards=24).count() == 0
