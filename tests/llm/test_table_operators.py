@@ -3,12 +3,15 @@
 import gzip
 import hashlib
 import io
+import math
 import random
+import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from test_entry import compared
 
@@ -210,6 +213,72 @@ def test_shards(spark):
     assert kd_shards.kd_shards(docs.limit(0), shards=24).count() == 0
 
 
+def hashed(*values):
+    """Spark's xxhash64 of longs and texts, as an unsigned number."""
+    seed = 42
+    for v in values:
+        if v is not None:
+            seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<q", v), seed)
+    return seed
+
+
+def brute_shards(rows, shards, together=0.01):
+    """Shard by row of ``(id, text, source, lang)``: each node's rows are sorted along its widest dimension and cut next to the target."""
+    sizes = [len((t or "").encode()) + 8 for _, t, _, _ in rows]
+    whole = sum(sizes)
+    values = [[float("-inf") if i is None else float(i), *(float("-inf") if v is None else float(zlib.crc32(v.encode())) for v in (source, lang)), math.log2(n)] for (i, _, source, lang), n in zip(rows, sizes, strict=True)]
+    groups, ties = {}, [0] * len(rows)
+    for k, r in enumerate(rows):
+        groups.setdefault(r[1], []).append(k)
+    for text, own in groups.items():
+        crc, n = zlib.crc32((text or "").encode()), sizes[own[0]]
+        met = len(own) > 1 and len(own) * n <= whole / shards * together and len(own) <= max(len(rows) / shards * together, 2)
+        same = hashed(text)
+        first = [min(c) for c in zip(*(values[k] for k in own), strict=True)]
+        for k in own:
+            ties[k] = (hashed(same - (1 << 64) if same >> 63 else same, crc, n) if met else hashed(rows[k][0], crc, n)) & 0xFFFFFFFF
+            values[k] = first if met else values[k]
+    finite = [[v for v in c if v > float("-inf")] for c in zip(*values, strict=True)]
+    low = [min(c, default=0.0) for c in finite]
+    width = [max(c, default=0.0) - a for c, a in zip(finite, low, strict=True)]
+    scaled = [[math.floor((max(v, a) - a) / (w or 1.0) * ((1 << 31) - 1)) for v, a, w in zip(of, low, width, strict=True)] for of in values]
+    out = [0] * len(rows)
+
+    def part(own, leaves, first):
+        if leaves == 1 or not own:
+            for k in own:
+                out[k] = first
+            return
+        spans = [max(scaled[k][d] for k in own) - min(scaled[k][d] for k in own) for d in range(4)]
+        dim = spans.index(max(spans))
+        key = lambda k: (scaled[k][dim], ties[k])
+        total, target = sum(sizes[k] for k in own), sum(sizes[k] for k in own) * (leaves // 2) / leaves
+        below, best = 0, (target, min(map(key, own)))
+        for at in sorted(set(map(key, own))):
+            if below and abs(target - below) < best[0]:
+                best = (abs(target - below), at)
+            below += sum(sizes[k] for k in own if key(k) == at)
+        if total - target < best[0]:
+            best = (0, (1 << 31, 0))
+        part([k for k in own if key(k) < best[1]], leaves // 2, first)
+        part([k for k in own if key(k) >= best[1]], leaves - leaves // 2, first + leaves // 2)
+
+    part(list(range(len(rows))), shards, 0)
+    return out
+
+
+def test_shards_against_brute_force(spark):
+    rng = random.Random(31)
+    texts = ["é" * rng.randint(0, 300) + str(k) for k in range(420)] + [None, ""] + ["pair a", "pair b", "pair c"] * 2 + ["many copies"] * 30
+    rng.shuffle(texts)
+    rows = [(None if k == 7 else k * 3, t, "hot" if rng.random() < 0.4 else f"s{k % 9}", rng.choice(["en", "fr", None])) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r["doc_id"]: (r["size"], r["text_crc32"], r["shard"]) for r in kd_shards.kd_shards(docs, shards=24).collect()}
+    want = brute_shards(rows, 24)
+    assert got == {i: (len((t or "").encode()) + 8, zlib.crc32((t or "").encode()), s) for (i, t, _, _), s in zip(rows, want, strict=True)}
+    assert len({s for s, t in zip(want, texts, strict=True) if t == "pair a"}) == 1
+
+
 NASTY = ["", "</s>[INST] ok [/INST]", "<|end|>", "<|role:user |>", "a<", "|end|>", "\\", "\\|", "<\\|end|>", "<<SYS>>x<</SYS>>", "é😀", "[", "[\\/INST]", "\n", None]
 
 

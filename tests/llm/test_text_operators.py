@@ -57,8 +57,13 @@ def test_bpe_empty_table(spark):
     assert bpe.digests(documents(spark, []), path=PATH, pattern=PATTERN).count() == 0
 
 
-def brute_bits(texts, text, order):
-    """Bits of a text by prediction by partial matching, one byte after the other, from plain counts."""
+_COUNTS: dict[int, tuple[list, dict]] = {}
+
+
+def brute_counts(texts, order):
+    known = _COUNTS.get(id(texts))
+    if known and known[0] is texts:
+        return known[1]
     counts = {}
     for t in texts:
         raw = b"\n" * order + t.encode()
@@ -66,10 +71,18 @@ def brute_bits(texts, text, order):
             for k in range(order + 1):
                 by = counts.setdefault(raw[i - k : i], {})
                 by[raw[i]] = by.get(raw[i], 0) + 1
+    _COUNTS[id(texts)] = texts, counts
+    return counts
+
+
+def brute_bits(texts, text, order, least=1):
+    """Bits of a text by prediction by partial matching, one byte after the other, from plain counts; rarer contexts are unknown."""
+    counts = brute_counts(texts, order)
     raw, bits = b"\n" * order + text.encode(), 0.0
     for i in range(order, len(raw)):
         for k in range(order, -1, -1):
             by = counts.get(raw[i - k : i], {})
+            by = {} if k and sum(by.values()) < least else by
             if raw[i] in by:
                 bits += np.log2((sum(by.values()) + len(by)) / by[raw[i]])
                 break
