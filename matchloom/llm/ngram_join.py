@@ -39,8 +39,7 @@ Defined cases: null, empty or blank texts have an empty set, link with nothing a
 their own component; texts of one to four words have one shingle, the whole sequence;
 repeated rows are copies; rows go by their texts, so rows that share an id may be of different
 components, and rows without an id link like others (a component of such rows alone has a null
-id); an empty table gives an empty result; other columns are ignored. Where rows are told
-apart, it is by a 64-bit hash of id and text.
+id); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
