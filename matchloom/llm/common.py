@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +47,13 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     if not 0 < int(conf.get(key)) <= BATCH_ROWS:
         conf.set(key, str(BATCH_ROWS))
     return df
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces whose texts have at most ``most`` bytes together, or are one row; so memory is bounded whatever batches Spark sends."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = done = 0
+    while at < len(ends):
+        upto = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield batch.slice(at, upto - at)
+        at, done = upto, int(ends[upto - 1])

@@ -12,11 +12,14 @@ from .block_knn import nearest
 from .chat_format import format_chats, loss_text, parse_chat
 from .common import staged, table
 from .decontaminate import find_leaks
+from .fim import fill_in_middle, restored
 from .html_text import extract_text
 from .kd_shards import kd_shards
 from .language_id import identify_language
 from .ngram_join import link_components
+from .ranked_search import search
 from .secret_scan import scan_secrets
+from .token_files import digests, read_tokens, write_tokens
 from .warc import read_warc, write_warc
 
 
@@ -111,6 +114,29 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", leaks.alias("contaminated"), F.array_join(F.array_sort(F.array_distinct("leaked_items")).cast("array<string>"), ",").alias("leaked_items"), "coverage", "longest_tile")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10).withColumnRenamed("id", "doc_id")
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = write_tokens(table(spark, sf_dir, "documents"), tokenizer=tokenizer_path("byte_bpe_50k.json"), end_id=0)
+    return digests(read_tokens(spark, path)).withColumnRenamed("id", "doc_id")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select(
+        F.col("id").alias("doc_id"),
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        sha(F.col("output")).alias("output_sha256"),
+        sha(restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
 OP1_SQL = """
 with v as (
   select vec_id, cast(embedding as double[]) as e from embeddings
@@ -166,6 +192,38 @@ select page_id, payload_bytes, payload_digest,
 from k
 """
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP11_SQL = f"""
+with t as (select row_number() over () as row, doc_id, {_TERMS} as t from documents),
+size as (select row, doc_id, cast(len(t) as bigint) as n from t where len(t) > 0),
+told as (select cast(count(*) as bigint) as docs, cast(sum(n) as bigint) as terms from size),
+item as (select distinct item_id, unnest({_TERMS}) as term from benchmark),
+tf as (select row, term, cast(count(*) as bigint) as tf from (select row, unnest(t) as term from t) where term in (select term from item) group by row, term),
+w as (select term, cast(floor(1000 * ln((2.0 * docs + 2) / (2.0 * count(*) + 1))) as bigint) as w from tf, told group by term, docs),
+hit as (
+  select row, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))) as points from tf join w using (term) join size using (row), told
+), scored as (
+  select item_id, row, cast(sum(points) as bigint) as score from item join hit using (term) group by item_id, row having sum(points) > 0
+)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score
+from scored join size using (row) qualify rank <= 10
+"""
+
+OP13_SQL = r"""
+with u as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as u, sha256('42:' || coalesce(cast(doc_id as varchar), '')) as h from documents
+), d as (
+  select *, cast(len(u) as bigint) as n, cast('0x' || h[1:8] as bigint) % (len(u) + 1) as one, cast('0x' || h[9:16] as bigint) % (len(u) + 1) as two, cast('0x' || h[17:24] as bigint) % 100 as three, cast('0x' || h[25:32] as bigint) % 100 as four from u
+), f as (
+  select doc_id, n, text, case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or three >= 50 then 'plain' when four < 80 then 'spm' else 'psm' end as form,
+    array_to_string(u[1:least(one, two)], '') as prefix, array_to_string(u[least(one, two) + 1:greatest(one, two)], '') as middle, array_to_string(u[greatest(one, two) + 1:], '') as suffix from d
+)
+select doc_id, n, form, case when form <> 'plain' then cast(length(prefix) as bigint) end as prefix_chars, case when form <> 'plain' then cast(length(middle) as bigint) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+  sha256(text) as restored_sha256
+from f
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_block_knn": op1_block_knn,
     "op2_byte_bpe": op2_byte_bpe,
@@ -177,6 +235,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_language_id": op9_language_id,
     "op10_decontaminate": op10_decontaminate,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_token_files": op12_token_files,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
-ORACLES: dict[str, str] = {"op1_block_knn": OP1_SQL, "op3_ngram_join": OP3_SQL, "op6_chat_format": OP6_SQL, "op8_warc": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_block_knn": OP1_SQL, "op3_ngram_join": OP3_SQL, "op6_chat_format": OP6_SQL, "op8_warc": OP8_SQL, "op11_ranked_search": OP11_SQL, "op13_fill_in_middle": OP13_SQL}
