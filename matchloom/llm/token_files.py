@@ -34,19 +34,27 @@ from pyspark.sql.window import Window
 
 from .common import bounded_batches, new_folder, slices
 
-SLICE_BYTES, TABLE_BYTES, LONGEST = 4_000_000, 96_000_000, 64
+SLICE_BYTES, TABLE_BYTES, LONGEST, LINES = 4_000_000, 96_000_000, 64, 4096
 #: About what Python keeps for an entry of the table beside its characters and ids.
 ENTRY_BYTES = 160
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 64 << 10, 1024
 
 
+# How byte-level vocabularies spell bytes. Those with a visible sign in Latin-1 stand for themselves, the others follow from 256 on.
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+ALPHABET = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+#: Marks that are neither letters, digits nor white space; the last letter of the Latin blocks.
+MARKS, LAST_LATIN = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "\u024f"
+
+
 class Encoder:
     """Ids of whole texts, as the tokenizer gives them, as little-endian 32-bit numbers.
 
-    A byte-level tokenizer without normalizer cuts a text before every single space and around every
-    single line feed between characters that are no white space, so what lies between is encoded by
-    itself, and once if it repeats. Texts for other tokenizers, and those that
-    contain a special token, are encoded whole.
+    A byte-level tokenizer without normalizer cuts a text before every single space, around every
+    single line feed between characters that are no white space, and between letters and marks. What lies between is
+    encoded once: words of Latin letters, with the marks behind them, by the tokenizer's model; other new words by the tokenizer, as lines
+    of one text. Lines with other white space are encoded whole, as are texts for other tokenizers, and those that
+    contain a special token. A table that is full keeps the words of the last texts.
     """
 
     def __init__(self, path: str):
@@ -57,50 +65,93 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         cut = told.get("pre_tokenizer") or {}
-        plain = not told.get("normalizer") and not told.get("post_processor") and not told.get("truncation") and not told.get("padding")
-        self.cuts = plain and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True)
+        plain = not any(told.get(k) for k in ("normalizer", "post_processor", "truncation", "padding"))
         self.special = [x["content"] for x in told.get("added_tokens") or []]
-        self.known: dict[str, bytes] = {}
+        (line_feed,) = self._whole(["\n"])
+        self.cuts = plain and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True) and len(line_feed) == 4
+        self.line_feed = line_feed
+        #: Ids of words at the beginning of a line, and after a space.
+        self.first: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
         self.held = 0
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def parts(self, text: str) -> list[str]:
-        """Stretches of the text that the tokenizer never joins."""
+    def parts(self, text: str) -> list[str | list[str]]:
+        """Lines that the tokenizer never joins: as words that single spaces part, or whole."""
         if not self.cuts or any(s in text for s in self.special):
             return [text]
-        blocks: list[str] = []
+        lines: list[str] = []
         before = ""
         for k, line in enumerate(text.split("\n")):
-            if k and before and line and not before[-1].isspace() and not line[0].isspace():
-                blocks += ["\n", line]
-            elif k:
-                blocks[-1] += "\n" + line
+            if k == 0 or before and line and not before[-1].isspace() and not line[0].isspace():
+                lines.append(line)
             else:
-                blocks.append(line)
+                lines[-1] += "\n" + line
             before = line
-        out: list[str] = []
-        for block in blocks:
-            if " ".join(block.split()) == block:  # single spaces are all its white space
-                first, *rest = block.split(" ")
-                out.append(first)
-                out += [" " + x for x in rest]
-            else:
-                out.append(block)
-        return out
+        return [words if (words := line.split()) and " ".join(words) == line else line for line in lines]
+
+    def _learn(self, table: dict[str, bytes], words: set[str], lead: str) -> list[str]:
+        """Encode new words; return those too long to be kept."""
+        new = words - table.keys()
+        plain, others, ids, ends = [], [], [], []
+        model, sign = self.tokenizer.model.tokenize, lead.translate(ALPHABET)
+        for w in new:
+            stem = w.rstrip(MARKS)
+            if not stem.isalpha() or not (ascii := stem.isascii()) and max(stem) > LAST_LATIN:
+                others.append(w)
+                continue
+            ids += [x.id for x in model(sign + (stem if ascii else stem.encode().decode("latin-1").translate(ALPHABET)))]  # one word to the tokenizer
+            ends.append(len(ids))
+            plain.append((w, w[len(stem) :]))
+            if plain[-1][1] not in self.tails:
+                (self.tails[plain[-1][1]],) = self._whole([plain[-1][1]])
+        raw, at = np.array(ids, "<u4").tobytes(), 0
+        for (w, tail), end in zip(plain, ends, strict=True):
+            table[w] = raw[4 * at : 4 * end] + self.tails[tail]
+            at = end
+        for s in range(0, len(others), LINES):
+            some = others[s : s + LINES]
+            ids = np.frombuffer(self._whole(["\n".join([lead + w for w in some])])[0], "<u4")
+            ends = [*np.flatnonzero(ids == np.frombuffer(self.line_feed, "<u4")).tolist(), len(ids)]
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(some, ends, strict=True):
+                table[w] = raw[4 * at : 4 * end]
+                at = end + 1
+        self.held += sum(ENTRY_BYTES + len(w) + len(table[w]) for w in new)
+        return [w for w in new if len(w) > LONGEST]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.parts(t) for t in texts]
-        new = list(set().union(*cut) - self.known.keys())
-        made = dict(zip(new, self._ids(new), strict=True))
-        out = [b"".join([known[p] if p in known else made[p] for p in parts]) for known in (self.known,) for parts in cut]
-        for p, ids in made.items():
-            if len(p) <= LONGEST:
-                self.held += ENTRY_BYTES + len(p) + len(ids)
-                self.known[p] = ids
+        lines = [x for parts in cut for x in parts if isinstance(x, list)]
+        whole = list({x for parts in cut for x in parts if isinstance(x, str)})
+        once = dict(zip(whole, self._whole(whole), strict=True))
+        inner, firsts = set().union(*[x[1:] for x in lines]), {x[0] for x in lines}
+        long = [(self.spaced, self._learn(self.spaced, inner, " ")), (self.first, self._learn(self.first, firsts, ""))]
+        out = []
+        for parts in cut:
+            made: list[bytes] = []
+            for k, x in enumerate(parts):
+                if k:
+                    made.append(self.line_feed)
+                if isinstance(x, str):
+                    made.append(once[x])
+                else:
+                    made.append(self.first[x[0]])
+                    made += map(self.spaced.__getitem__, x[1:])
+            out.append(b"".join(made))
+        for table, words in long:
+            for w in words:
+                self.held -= ENTRY_BYTES + len(w) + len(table.pop(w))
         if self.held > TABLE_BYTES:
-            self.known, self.held = {}, 0
+            last = [(self.spaced, inner), (self.first, firsts)]
+            self.spaced, self.first = ({w: table[w] for w in words if w in table} for table, words in last)
+            self.tails = {"": b""}
+            self.held = sum(ENTRY_BYTES + len(w) + len(ids) for table in (self.spaced, self.first) for w, ids in table.items())
+            if self.held > TABLE_BYTES // 2:
+                self.spaced, self.first, self.held = {}, {}, 0
         return out
 
 

@@ -103,10 +103,10 @@ def test_parts_are_encoded_as_whole_texts(text):
 
 
 def test_encoder_tables_and_other_tokenizers(library, monkeypatch):
-    texts = ["The cat  sat.\nIt's 12 o'clock\n\n x", "a <|endoftext|> b", "w" * 500 + " " + "w" * 500, "é   x", " lead\ntrail "] * 3
+    texts = ["", "\n", "a\nb\nc d", "The cat  sat.\nIt's 12 o'clock\n\n x", "a <|endoftext|> b", "w" * 500 + " " + "w" * 500, "é   x", " lead\ntrail "] * 3
     monkeypatch.setattr(token_files, "TABLE_BYTES", 300)  # starts anew all the time
     made = token_files.Encoder(BYTE_BPE)
-    assert made.cuts and len(made.parts("ab cd\nef")) == 4
+    assert made.cuts and made.parts("ab cd\nef\n g") == [["ab", "cd"], "ef\n g"] and made.parts("") == [""]
     assert [np.frombuffer(x, "<u4").tolist() for t in texts for x in made.encode([t])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
     other = token_files.Encoder(queries.tokenizer_path("word_bpe_49k.json"))  # normalizes, so texts stay whole
     assert not other.cuts
