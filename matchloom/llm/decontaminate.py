@@ -13,11 +13,12 @@ a pass over the documents, so what is sent is bounded whatever its size. Documen
 shuffled.
 
 Tiling doesn't list the places where seeds of the two meet, as texts that repeat themselves have
-a square number of them. The greatest length at which unmarked windows of both still agree is found by
-bisection over running Karp-Rabin hashes of all windows of a length; the windows of that
-length are marked from left to right, each at the first place that is free, and the search goes on
-below it. Tiles of ``m`` words have at most ``sqrt(2 m)`` different lengths, so that many rounds are
-made at most. Every tile is checked word by word, so a hash collision makes none.
+a square number of them. The greatest length at which unmarked windows of both still agree is found by running
+Karp-Rabin hashes of the unmarked windows of a length, in steps that double going down from the last length and a
+bisection of the last step; the windows of that length are marked from left to right, each at the first
+place that is free. Tiles of ``m`` words have at most ``sqrt(2 m)`` different lengths, so that many rounds are
+made at most; where lengths lie close together, a round tries one or two. The side with fewer windows is sorted. Every tile is
+checked word by word, so a hash collision makes none.
 
 Defined cases: null or wordless texts hold no seed and are clean; an item of fewer than
 ``least`` words is tiled with its own length and must be held whole; an item without words
@@ -83,14 +84,22 @@ class Windows:
         c = (codes + 2).astype(np.uint64)
         self.sums = [np.concatenate([[np.uint64(0)], np.cumsum(c * _powers(b, self.n) % np.uint64(PRIME))]) for b in BASES]
 
-    def of(self, length: int) -> np.ndarray:
-        out = np.zeros(self.n - length + 1, np.uint64)
+    def of(self, length: int, places: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(places), np.uint64)
         for base, sums in zip(BASES, self.sums, strict=True):
-            part = (sums[length:] - sums[: self.n - length + 1]) % np.uint64(PRIME)
-            out = out << np.uint64(31) | part * _powers(pow(base, -1, PRIME), len(part)) % np.uint64(PRIME)
+            part = (sums[places + length] - sums[places]) % np.uint64(PRIME)
+            out = out << np.uint64(31) | part * _powers(pow(base, -1, PRIME), self.n)[places] % np.uint64(PRIME)
         return out
 
 
+def _among(values: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which values are among the others."""
+    if not len(others):
+        return np.zeros(len(values), bool)
+    others = np.sort(others)
+    return others[np.minimum(np.searchsorted(others, values), len(others) - 1)] == values
+
+
 def _free_runs(free: np.ndarray) -> np.ndarray:
     """For every place, how many unmarked words follow in a row."""
     at = np.arange(len(free))
@@ -115,19 +124,31 @@ def tiles(a: np.ndarray, b: np.ndarray, least: int, free_a: np.ndarray | None =
         def open_windows(length: int, run_a=run_a, run_b=run_b) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
             """Places of unmarked windows of ``a`` that ``b`` has too, and all of ``b``, with their hashes; those of ``b`` sorted by hash, then place."""
             i, j = (np.flatnonzero(r[: len(r) - length + 1] >= length) for r in (run_a, run_b))
-            x, y = in_a.of(length)[i], in_b.of(length)[j]
+            x, y = in_a.of(length, i), in_b.of(length, j)
+            if len(x) < len(y):  # what is left of the longer side after this is sorted
+                met = _among(y, x)
+                j, y = j[met], y[met]
             order = np.argsort(y, kind="stable")
             j, y = j[order], y[order]
             met = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x if len(y) else np.zeros(len(x), bool)
             return i[met], x[met], j, y
 
-        low, high = least - 1, most
+        # The greatest length with a match: ``high`` has none above it, ``low`` has one or is too short.
+        low, high, step = least - 1, most, 1
+        at = high
         while low < high:
-            middle = (low + high + 1) // 2
-            low, high = (middle, high) if len(open_windows(middle)[0]) else (low, middle - 1)
+            if len((found := open_windows(at))[0]):
+                low, met = at, found
+            else:
+                high = at - 1
+            if low == least - 1:  # still going down
+                step *= 2
+                at = max(high - step + 1, least) if high >= least else high
+            else:
+                at = (low + high + 1) // 2
         if low < least:
             break
-        i, x, j, y = open_windows(low)
+        i, x, j, y = met
         first, end = np.searchsorted(y, x).tolist(), np.searchsorted(y, x, side="right").tolist()
         next_of: dict[int, int] = {}  # by the first window of a hash, the first that is free
         upto = 0
