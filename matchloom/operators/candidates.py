@@ -6,9 +6,14 @@ match_type)`` only; catalogue rows are joined once, afterwards. Each lookup is a
 exploded keys, so none is planned as a product:
 
 * keys that may stand in several catalogue columns are exploded to one column;
-* substrings of six characters or more meet in a six-gram of the value;
+* a value of up to ``LONGEST_KEY`` characters is met by the substrings of its length, a longer one by
+  those equal to its beginning, so what is joined is what is found;
 * specification searches are made once for each distinct key, with counts taken before the
   cap, so pairs beyond the cap are never built.
+
+Keys that many catalogue rows share: rows are dealt to chunks of about ``CHUNK_ROWS`` by their id, a key
+is looked up in the chunks that have it, and caps are taken in each chunk first, then over ``FAN`` chunks at a
+time. So no task holds more of one key than a chunk, or ``FAN`` times the cap, whatever the catalogue's size.
 """
 
 from __future__ import annotations
@@ -22,18 +27,61 @@ from pyspark.sql.window import Window
 from ..functions.text import relaxed
 from ..stage import staged
 
-RELAXED_LEAST, PARTIAL_LEAST, GRAM = 5, 6, 6
+RELAXED_LEAST, PARTIAL_LEAST, LONGEST_KEY = 5, 6, 12
 FUZZY_CAP, SPEC_CAP = 2000, 5000
+#: Catalogue rows of a chunk, and chunks whose first rows meet in one task.
+CHUNK_ROWS, FAN = 1_000_000, 32
 STRICT, RELAXED, PARTIAL, NOT_FOUND, SPEC, INSUFFICIENT = "exact_identifier", "relaxed_identifier", "partial_identifier", "identifier_not_found", "specification_search", "insufficient_input"
 
 
 @dataclass
 class Found:
-    """``pairs``: (item_key, id, match_types); ``routes``: one row per item (item_key, route, basis, candidate_total, truncated)."""
+    """What was found for items by identifier, and by specification.
+
+    ``identified``: (item_key, id, match_types); ``spec_items``: (item_key, SPEC_KEYS), the key under which an item was searched;
+    ``spec_hits``: (SPEC_KEYS, id), the rows of each key; ``routes``: one row per item (item_key, route, basis, candidate_total, truncated).
+    """
 
-    pairs: DataFrame
+    identified: DataFrame
+    spec_items: DataFrame
+    spec_hits: DataFrame
     routes: DataFrame
 
+    @property
+    def pairs(self) -> DataFrame:
+        """(item_key, id, match_types) of all candidates."""
+        spec = self.spec_items.join(self.spec_hits, list(SPEC_KEYS)).select("item_key", "id", F.array(F.lit("spec_candidate")).alias("match_types"))
+        return self.identified.unionByName(spec)
+
+
+# Keys that many rows share.
+
+
+def chunk_count(catalogue: DataFrame, rows: int | None = None) -> int:
+    return max(1, -(-catalogue.count() // (rows or CHUNK_ROWS)))
+
+
+def chunked(rows: DataFrame, chunks: int) -> DataFrame:
+    """Add the ``chunk`` of each row, by its id."""
+    return rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
+
+
+def lookup(asked: DataFrame, index: DataFrame, keys: list[str], chunks: int) -> DataFrame:
+    """``asked`` joined with the chunked rows of the same keys; rows of one key meet in as many tasks as chunks have it."""
+    if chunks == 1:
+        return asked.join(index, keys)
+    return asked.join(index.select(*keys, "chunk").distinct(), keys).join(index, [*keys, "chunk"])
+
+
+def first_rows(rows: DataFrame, keys: list[str], cap: int, chunks: int) -> DataFrame:
+    """The first ``cap`` rows of each key by place in the source: of each chunk, then of ``FAN`` chunks' first, until one is left."""
+    while True:
+        nth = F.row_number().over(Window.partitionBy(*keys, "chunk").orderBy("source_row", "id"))
+        rows = rows.withColumn("nth", nth).where(F.col("nth") <= cap).drop("nth")
+        if chunks == 1:
+            return rows.drop("chunk")
+        rows, chunks = rows.withColumn("chunk", F.floor(F.col("chunk") / FAN).cast("int")), -(-chunks // FAN)
+
 
 def keys_of(catalogue: DataFrame, *columns: str) -> DataFrame:
     """(value, id, source_row) for every non-empty value of the columns, once a row."""
@@ -97,35 +145,41 @@ def relaxed_values(items: DataFrame) -> DataFrame:
     return items.where("has_primary_identifier").select("item_key", F.posexplode(values).alias("pos", "value"))
 
 
-def by_relaxed(values: DataFrame, catalogue: DataFrame, cap: int = FUZZY_CAP) -> DataFrame:
-    hits = values.select("value").distinct().join(keys_of(catalogue, "full_code_relaxed", "public1_relaxed", "public2_relaxed"), "value")
-    return _tolerant(values, hits, "relaxed_identifier:", cap)
+def by_relaxed(values: DataFrame, catalogue: DataFrame, cap: int = FUZZY_CAP, chunks: int | None = None) -> DataFrame:
+    """Catalogue rows with a relaxed code equal to the value."""
+    chunks = chunks or chunk_count(catalogue)
+    index = chunked(keys_of(catalogue, *RELAXED_COLUMNS), chunks)
+    return _tolerant(values, lookup(values.select("value").distinct(), index, ["value"], chunks), "relaxed_identifier:", cap, chunks)
+
+
+RELAXED_COLUMNS = ("full_code_relaxed", "public1_relaxed", "public2_relaxed")
 
 
-def _grams(code: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(code) - GRAM + 1), lambda i: F.substring(code, i, F.lit(GRAM))))
+def _substrings(code: Column, size: int) -> Column:
+    places = F.when(F.length(code) >= size, F.sequence(F.lit(1), F.length(code) - (size - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.substring(code, i, F.lit(size)))
 
 
-def by_partial(values: DataFrame, catalogue: DataFrame, cap: int = FUZZY_CAP) -> DataFrame:
+def by_partial(values: DataFrame, catalogue: DataFrame, cap: int = FUZZY_CAP, chunks: int | None = None) -> DataFrame:
     """Catalogue rows with a relaxed code that holds the value."""
-    asked = values.where(F.length("value") >= PARTIAL_LEAST).select("value").distinct()
-    codes = keys_of(catalogue, "full_code_relaxed", "public1_relaxed", "public2_relaxed").withColumnRenamed("value", "code").where(F.length("code") >= GRAM)
-    index = codes.select("id", "source_row", "code", F.explode(_grams(F.col("code"))).alias("gram"))
-    # Any gram of the value finds all rows; the rarest of all of them keeps buckets small, whatever prefix or suffix codes share.
-    held = asked.select("value", F.explode(_grams(F.col("value"))).alias("gram"))
-    often = index.groupBy("gram").agg(F.count("*").alias("rows"))
-    met = staged(held.join(often, "gram"), "grams")
-    rare = met.groupBy("value").agg(F.min(F.struct("rows", "gram")).alias("g"), F.count("*").alias("known"))
-    every = F.size(_grams(F.col("value")))
-    rare = rare.where(F.col("known") == every).select("value", F.col("g.gram").alias("gram"))  # a gram that no code has rules the value out
-    hits = rare.join(index, "gram").where(F.col("code").contains(F.col("value"))).select("value", "id", "source_row").distinct()
-    return _tolerant(values, hits, "partial_identifier:", cap)
-
-
-def _tolerant(values: DataFrame, hits: DataFrame, kind: str, cap: int) -> DataFrame:
+    chunks = chunks or chunk_count(catalogue)
+    asked = staged(values.where(F.length("value") >= PARTIAL_LEAST).select("value").distinct(), "parts")
+    sizes = {r[0] for r in asked.select(F.least(F.length("value"), F.lit(LONGEST_KEY + 1))).distinct().collect()}  # eight at most
+    longer = LONGEST_KEY + 1 in sizes
+    sizes = sorted({min(s, LONGEST_KEY) for s in sizes}) or [PARTIAL_LEAST]
+    codes = F.filter(F.array_distinct(F.array(*RELAXED_COLUMNS)), lambda c: F.length(c) >= PARTIAL_LEAST)
+    rows = chunked(catalogue.select("id", "source_row", codes.alias("codes")), chunks)
+    held = F.array_distinct(F.flatten(F.transform("codes", lambda c: F.flatten(F.array(*(_substrings(c, s) for s in sizes))))))
+    index = rows.select("id", "source_row", "chunk", *(["codes"] if longer else []), F.explode(held).alias("key"))
+    met = lookup(asked.withColumn("key", F.substring("value", 1, LONGEST_KEY)), index, ["key"], chunks)
+    if longer:
+        met = met.where((F.length("value") <= LONGEST_KEY) | F.exists("codes", lambda c: F.contains(c, F.col("value"))))
+    return _tolerant(values, met, "partial_identifier:", cap, chunks)
+
+
+def _tolerant(values: DataFrame, hits: DataFrame, kind: str, cap: int, chunks: int) -> DataFrame:
     """The first ``cap + 1`` rows of each value, by place in the source."""
-    nth = F.row_number().over(Window.partitionBy("value").orderBy("source_row", "id"))
-    first = hits.withColumn("nth", nth).where(F.col("nth") <= cap + 1)
+    first = first_rows(hits.select("value", "id", "source_row", "chunk"), ["value"], cap + 1, chunks)
     met = values.join(first, "value")
     return met.select("item_key", "id", "source_row", F.col("pos").alias("place"), F.concat(F.lit(kind), F.col("value")).alias("match_type"))
 
@@ -155,13 +209,14 @@ def _spec_rows(catalogue: DataFrame) -> DataFrame:
     return catalogue.select("id", "source_row", F.col("cutout_size_norm").alias("cutout_size"), F.col("fixture_size_norm").alias("fixture_size"), groups.alias("categories"))
 
 
-def spec_hits(keys: DataFrame, catalogue: DataFrame, cap: int = SPEC_CAP) -> tuple[DataFrame, DataFrame]:
+def spec_hits(keys: DataFrame, catalogue: DataFrame, cap: int = SPEC_CAP, chunks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """For distinct keys: the first ``cap`` rows of each, and exact counts before the cap.
 
     The keys given decide the join: each of the seven ways to give one or more of the three
     is an equi-join on just those columns.
     """
-    rows = _spec_rows(catalogue)
+    chunks = chunks or chunk_count(catalogue)
+    rows = chunked(_spec_rows(catalogue), chunks)
     by_category = rows.withColumn("category", F.explode("categories")).drop("categories")
     given = sum((F.col(k) != "").cast("int") * (1 << i) for i, k in enumerate(SPEC_KEYS))
     distinct = staged(keys.select(*SPEC_KEYS).distinct(), "spec-keys")
@@ -169,11 +224,10 @@ def spec_hits(keys: DataFrame, catalogue: DataFrame, cap: int = SPEC_CAP) -> tup
     for mask in sorted(r[0] for r in distinct.select(given).distinct().collect()) or [1]:  # seven at most
         on = [k for i, k in enumerate(SPEC_KEYS) if mask >> i & 1]
         asked = distinct.where(" and ".join(f"{k} {'<>' if k in on else '='} ''" for k in SPEC_KEYS))
-        source = (by_category if "category" in on else rows.drop("categories")).select("id", "source_row", *on)
-        totals = asked.join(source.groupBy(*on).agg(F.count("*").alias("total")), on)
-        counts.append(totals.select(*SPEC_KEYS, "total"))
-        nth = F.row_number().over(Window.partitionBy(*on).orderBy("source_row", "id"))
-        first = source.join(asked.select(*on), on, "left_semi").withColumn("nth", nth).where(F.col("nth") <= cap)
+        source = (by_category if "category" in on else rows.drop("categories")).select("id", "source_row", "chunk", *on)
+        met = asked.join(source.groupBy(*on, "chunk").agg(F.count("*").alias("rows")), on)
+        counts.append(met.groupBy(*SPEC_KEYS).agg(F.sum("rows").alias("total")))
+        first = first_rows(met.select(*on, "chunk").join(source, [*on, "chunk"]), on, cap, chunks)
         parts.append(asked.join(first, on).select(*SPEC_KEYS, "id"))
     hits, totals = parts[0], counts[0]
     for a, b in zip(parts[1:], counts[1:], strict=True):
@@ -181,39 +235,40 @@ def spec_hits(keys: DataFrame, catalogue: DataFrame, cap: int = SPEC_CAP) -> tup
     return hits, totals
 
 
-def by_spec(items: DataFrame, catalogue: DataFrame, cap: int = SPEC_CAP) -> tuple[DataFrame, DataFrame]:
-    """Hits ``(item_key, id)`` and one row per item ``(item_key, basis, candidate_total, truncated)``.
+def by_spec(items: DataFrame, catalogue: DataFrame, cap: int = SPEC_CAP, chunks: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows ``(SPEC_KEYS, id)`` of each key, and one row per item ``(item_key, SPEC_KEYS, basis, candidate_total, truncated)``.
 
-    Where several keys together find nothing, the category alone is tried.
+    Where several keys together find nothing, the category alone is tried, and is the item's key.
     """
     asked = staged(spec_keys(items).where("category <> '' or cutout_size <> '' or fixture_size <> ''"), "spec-items")
     # The backoff of a key is a key as well, so one search serves both.
     backed = asked.select(F.lit(None).cast("string").alias("item_key"), "category", F.lit("").alias("cutout_size"), F.lit("").alias("fixture_size")).where("category <> ''")
-    hits, totals = spec_hits(asked.unionByName(backed), catalogue, cap)
+    hits, totals = spec_hits(asked.unionByName(backed), catalogue, cap, chunks)
     totals = staged(totals, "spec-totals")
     exact = asked.join(totals, list(SPEC_KEYS), "left")
     only = exact.join(totals.where("cutout_size = '' and fixture_size = ''").select("category", F.col("total").alias("backoff_total")), "category", "left")
     more = (F.col("cutout_size") != "") | (F.col("fixture_size") != "")
     back = F.col("total").isNull() & (F.col("category") != "") & more
     named = F.array_compact(F.array(*(F.when(F.col(k) != "", k) for k in SPEC_KEYS)))
+    total = F.coalesce(F.when(back, F.col("backoff_total")).otherwise(F.col("total")), F.lit(0))
     routed = only.select(
         "item_key",
         "category",
         F.when(back, "").otherwise(F.col("cutout_size")).alias("cutout_size"),
         F.when(back, "").otherwise(F.col("fixture_size")).alias("fixture_size"),
         F.when(back, F.array(F.lit("category_backoff"))).otherwise(named).alias("basis"),
-        F.coalesce(F.when(back, F.col("backoff_total")).otherwise(F.col("total")), F.lit(0)).alias("candidate_total"),
+        total.alias("candidate_total"),
+        (total > cap).alias("truncated"),
     )
-    routed = staged(routed, "spec-routes")
-    pairs = routed.join(hits, list(SPEC_KEYS)).select("item_key", "id")
-    return pairs, routed.select("item_key", "basis", "candidate_total", (F.col("candidate_total") > cap).alias("truncated"))
+    return hits, staged(routed, "spec-routes")
 
 
 # The cascade.
 
 
-def find_candidates(items: DataFrame, catalogue: DataFrame, *, fuzzy_cap: int = FUZZY_CAP, spec_cap: int = SPEC_CAP) -> Found:
+def find_candidates(items: DataFrame, catalogue: DataFrame, *, fuzzy_cap: int = FUZZY_CAP, spec_cap: int = SPEC_CAP, chunk_rows: int | None = None) -> Found:
     """All candidates of all items, and how each item was searched."""
+    chunks = chunk_count(catalogue, chunk_rows)
     full = staged(by_full_code(items, catalogue), "full-code")
     fallback = by_hinban_fallback(items, catalogue, full)
     strict = by_pair(items, catalogue).unionByName(full).unionByName(fallback).unionByName(by_hinban(items, catalogue))
@@ -226,14 +281,14 @@ def find_candidates(items: DataFrame, catalogue: DataFrame, *, fuzzy_cap: int =
     )
     left = items.join(exact_totals.select("item_key"), "item_key", "left_anti")
     values = staged(relaxed_values(left), "values")
-    loose, loose_totals = _capped(staged(by_relaxed(values, catalogue, fuzzy_cap), "relaxed"), fuzzy_cap)
+    loose, loose_totals = _capped(staged(by_relaxed(values, catalogue, fuzzy_cap, chunks), "relaxed"), fuzzy_cap)
     rest = values.join(loose_totals.select("item_key"), "item_key", "left_anti")
-    part, part_totals = _capped(staged(by_partial(rest, catalogue, fuzzy_cap), "partial"), fuzzy_cap)
-    spec, spec_totals = by_spec(items, catalogue, spec_cap)
+    part, part_totals = _capped(staged(by_partial(rest, catalogue, fuzzy_cap, chunks), "partial"), fuzzy_cap)
+    spec, searched = by_spec(items, catalogue, spec_cap, chunks)
+    spec_totals = searched.select("item_key", "basis", "candidate_total", "truncated")
 
     hits = staged(exact.unionByName(loose).unionByName(part), "hits")
-    pairs = hits.groupBy("item_key", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "match_type"))), lambda x: x["match_type"]).alias("match_types"))
-    pairs = pairs.unionByName(spec.select("item_key", "id", F.array(F.lit("spec_candidate")).alias("match_types")))  # each pair once already
+    identified = hits.groupBy("item_key", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "match_type"))), lambda x: x["match_type"]).alias("match_types"))
 
     none = F.array().cast("array<string>")
     tried = F.when(_branch() == "", none).otherwise(F.array(F.when((_branch() == "full_code") & (F.col("by_hinban") == 1), "hinban").otherwise(_branch())))
@@ -260,4 +315,4 @@ def find_candidates(items: DataFrame, catalogue: DataFrame, *, fuzzy_cap: int =
             F.coalesce(F.when(F.col("fuzzy").isNotNull(), F.col("fuzzy_total") > fuzzy_cap), F.col("spec_truncated"), F.lit(False)).alias("truncated"),
         )
     )
-    return Found(pairs, routes)
+    return Found(identified, searched.select("item_key", *SPEC_KEYS), spec, routes)

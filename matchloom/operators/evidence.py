@@ -1,8 +1,12 @@
 """Evidence: one table of weighted rules that gives the score and explains it.
 
 Every rule tells when it speaks for a candidate and when against it. The score of a pair, its
-list of matched fields and its list of conflicts are all made from the same rules. Scores
-are computed for all candidates; lists are built for the few that are shown.
+list of matched fields and its list of conflicts are all made from the same rules. Lists are built for the few candidates
+that are shown.
+
+A specification search finds thousands of rows for a key, and many items share a key. For the best of them (``best``) not every pair
+is scored: a key's rows are grouped by their signature, what the rules that any item asks for
+read of a row; each item meets each signature once, and of a signature only the first ids go on.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from pyspark.sql.window import Window
 
 from ..functions import features
 from ..functions.text import contains_either
+from ..stage import staged
+from .candidates import SPEC_KEYS, Found
 
 # What a candidate gets for how it was found.
 IDENTIFIER_WEIGHTS = {"hinban+kidou": 100, "full_code": 100, "hinban": 75, "public_model_code": 90, "relaxed_identifier": 60, "partial_identifier": 35, "spec_candidate": 0}
@@ -34,7 +40,11 @@ LIFECYCLE = ("discontinued", "planned_discontinued")
 
 @dataclass
 class Rule:
+    """``asked``: the item says what the rule is about; ``reads``: the catalogue columns that it looks at."""
+
     field: str
+    asked: Column
+    reads: tuple[str, ...]
     matched: Column
     conflict: Column
     weight: float
@@ -60,33 +70,34 @@ def rules() -> list[Rule]:
     """The rules beside the identifier, in the order in which they are listed."""
     i, c = (lambda n: F.col(f"i_{n}")), (lambda n: F.col(f"c_{n}"))
     out: list[Rule] = []
-    actual = {
-        "category": F.when(c("kigugroup_norm") != "", c("kigugroup_norm")).otherwise(c("t_kigugroup_norm")),
-        "style": c("kigustyle_norm"),
-        "key_hint": F.concat(c("key_norm"), c("view_key_norm")),
-        "brightness": F.concat(c("brightness_norm"), c("key_norm"), c("view_key_norm")),
-        **{k: c(f"{k}_norm") for k in ("fixture_size", "cutout_size", "y_toukyu", "y_toritsuke", "y_hyoujimen", "y_kinou")},
+    groups, keys = ("kigugroup_norm", "t_kigugroup_norm"), ("key_norm", "view_key_norm")
+    actual: dict[str, tuple[Column, tuple[str, ...]]] = {
+        "category": (F.when(c("kigugroup_norm") != "", c("kigugroup_norm")).otherwise(c("t_kigugroup_norm")), groups),
+        "style": (c("kigustyle_norm"), ("kigustyle_norm",)),
+        "key_hint": (F.concat(c("key_norm"), c("view_key_norm")), keys),
+        "brightness": (F.concat(c("brightness_norm"), c("key_norm"), c("view_key_norm")), ("brightness_norm", *keys)),
+        **{k: (c(f"{k}_norm"), (f"{k}_norm",)) for k in ("fixture_size", "cutout_size", "y_toukyu", "y_toritsuke", "y_hyoujimen", "y_kinou")},
     }
     for field, weight in TEXT_WEIGHTS.items():
-        left, right = i(field), actual[field]
+        left, (right, reads) = i(field), actual[field]
         both, holds = (left != "") & (right != ""), contains_either(left, right)
-        out.append(Rule(field, holds, both & ~holds, weight, min(5.0, weight / 2), {"input_text": left, "db_text": right}))
+        out.append(Rule(field, left != "", reads, holds, both & ~holds, weight, min(5.0, weight / 2), {"input_text": left, "db_text": right}))
 
     left, right = i("mounting"), c("mounting_norm")
     both, shared = (F.size(left) > 0) & (F.size(right) > 0), F.arrays_overlap(left, right)
-    out.append(Rule("mounting", both & shared, both & ~shared, 14, 7, {"input_list": left, "db_list": right}))
+    out.append(Rule("mounting", F.size(left) > 0, ("mounting_norm",), both & shared, both & ~shared, 14, 7, {"input_list": left, "db_list": right}))
 
     left, right = i("waterproof"), c("wet_combined_norm")
     fits = features.water_compatible(left, right)
     raw = F.when(right == "conflict", F.create_map(F.lit("boushitsu_bouu"), c("boushitsu_bouu"), F.lit("t_kinou"), c("t_kinou")))
-    unsure = (left != "unknown") & (right == "conflict")
+    known = left != "unknown"
     shown = {"input_text": left, "db_text": right}
-    out.append(Rule("waterproof", F.coalesce(fits, F.lit(False)), F.coalesce(~fits, F.lit(False)), 14, 12, shown))
-    out.append(Rule("waterproof", F.lit(False), unsure, 0, 0, shown | {"db_values": raw}))
+    out.append(Rule("waterproof", known, ("wet_combined_norm",), F.coalesce(fits, F.lit(False)), F.coalesce(~fits, F.lit(False)), 14, 12, shown))
+    out.append(Rule("waterproof", known, ("wet_combined_norm",), F.lit(False), known & (right == "conflict"), 0, 0, shown | {"db_values": raw}))
 
     left, right = i("dimming"), c("dimming_norm")
     both = (left != "unknown") & (right != "unknown")
-    out.append(Rule("dimming", both & (left == right), both & (left != right), 14, 12, {"input_text": left, "db_text": right}))
+    out.append(Rule("dimming", left != "unknown", ("dimming_norm",), both & (left == right), both & (left != right), 14, 12, {"input_text": left, "db_text": right}))
 
     def number(field: str, own: str, hint: str, near: float, far: float, weight: float, penalty: float, least: float | None) -> None:
         left, right = i(own), c(hint)
@@ -94,7 +105,7 @@ def rules() -> list[Rule]:
         if least is not None:  # relative to the asked value
             apart = apart / F.greatest(left, F.lit(least))
         known = left.isNotNull() & right.isNotNull()
-        out.append(Rule(field, known & (apart <= F.lit(near)), known & (apart > F.lit(far)), weight, penalty, {"input_num": left, "db_num": right}))
+        out.append(Rule(field, left.isNotNull(), (hint,), known & (apart <= F.lit(near)), known & (apart > F.lit(far)), weight, penalty, {"input_num": left, "db_num": right}))
 
     # Tolerances, weights and penalties of the figures; so are those of the rules above and below.
     number("luminous_flux_lm", "luminous_flux_lm", "luminous_flux_hint", 0.1, 0.25, 12, 8, 1.0)
@@ -102,9 +113,11 @@ def rules() -> list[Rule]:
     number("power_consumption_w", "power_consumption_w", "power_consumption_hint", 0.1, 0.25, 10, 7, 0.1)
 
     low, high, db_low, db_high = i("voltage_min_v"), i("voltage_max_v"), c("voltage_min_hint"), c("voltage_max_hint")
-    known = low.isNotNull() & high.isNotNull() & db_low.isNotNull() & db_high.isNotNull()
+    asked = low.isNotNull() & high.isNotNull()
+    known = asked & db_low.isNotNull() & db_high.isNotNull()
     ranges = {"input_range": F.array(low, high), "db_range": F.array(db_low, db_high)}
-    out.append(Rule("voltage", known & (db_low <= low) & (high <= db_high), known & ((high < db_low) | (low > db_high)), 8, 8, ranges))
+    bounds = ("voltage_min_hint", "voltage_max_hint")
+    out.append(Rule("voltage", asked, bounds, known & (db_low <= low) & (high <= db_high), known & ((high < db_low) | (low > db_high)), 8, 8, ranges))
     number("cri_ra", "cri_ra", "cri_hint", 2.0, 5.0, 6, 4, None)
     return out
 
@@ -155,9 +168,9 @@ def scored(pairs: DataFrame, items: DataFrame, catalogue: DataFrame) -> DataFram
     return with_scores(plain.unionByName(parts)).select(*NARROW)
 
 
-def with_scores(rows: DataFrame) -> DataFrame:
-    """``score`` and the counts that the decision needs, for rows with ``similarity``."""
-    table = rules()
+def with_scores(rows: DataFrame, table: list[Rule] | None = None) -> DataFrame:
+    """``score`` and the counts that the decision needs, for rows with ``similarity``; ``table``: fewer rules, where no row asks for others."""
+    table = rules() if table is None else table
     score = F.greatest(F.array_max(F.transform("match_types", _identifier_weight)), F.lit(0.0))
     matched = conflicts = F.lit(0)
     for r in table:
@@ -187,6 +200,43 @@ def ranked(scored: DataFrame, keep: int | None = None) -> DataFrame:
     return out
 
 
+#: Questions of one key that meet its signatures in one task.
+PART_QUESTIONS = 1000
+
+
+def best(found: Found, items: DataFrame, catalogue: DataFrame, keep: int, *, part_questions: int = PART_QUESTIONS) -> DataFrame:
+    """``ranked(scored(found.pairs), keep)`` without scoring all pairs of specification searches."""
+    named = scored(found.identified, items, catalogue)
+    return ranked(named.unionByName(_best_of_keys(found, items, catalogue, keep, part_questions)), keep)
+
+
+def _best_of_keys(found: Found, items: DataFrame, catalogue: DataFrame, keep: int, part_questions: int) -> DataFrame:
+    """The scored pairs of specification searches that can be among the first ``keep`` of their item.
+
+    Rows of one signature score alike, so only their first ids count; and each of the ``keep`` best signatures of an item has
+    a row, so none of the others can come before them all.
+    """
+    keys = {k: f"k_{k}" for k in SPEC_KEYS}
+    asked = items.select(*(F.col(c).alias(f"i_{c}") for c in items.columns)).join(found.spec_items.withColumnsRenamed(keys).withColumnRenamed("item_key", "i_item_key"), "i_item_key")
+    asked = staged(asked, "spec-questions")
+    everything = rules()
+    told = asked.agg(F.count("*"), *(F.max(r.asked) for r in everything)).first()  # one row: a count, a flag for each rule
+    table = [r for r, some in zip(everything, told[1:], strict=True) if some]
+    reads = {c: F.col(c) for r in table for c in r.reads}
+    reads.setdefault("wet_combined_norm", F.when(F.col("wet_combined_norm") == "conflict", "conflict").otherwise(""))
+    reads["availability_norm"] = F.when(F.col("availability_norm").isin(*LIFECYCLE), F.col("availability_norm")).otherwise("")
+    rows = found.spec_hits.withColumnsRenamed(keys).join(catalogue.select("id", *(v.alias(f"c_{k}") for k, v in reads.items())), "id")
+    signatures = rows.groupBy(*keys.values(), *(f"c_{k}" for k in reads)).agg(F.slice(F.array_sort(F.collect_list("id")), 1, keep).alias("ids"))  # of a key's capped rows
+    parts = max(1, -(-told[0] // part_questions))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("i_item_key"), F.lit(parts)).cast("int"))
+    dealt = signatures.join(asked.select(*keys.values(), "part").distinct(), list(keys.values()))  # to the parts that ask for the key
+    met = asked.join(dealt, [*keys.values(), "part"]).withColumns({"match_types": F.array(F.lit("spec_candidate")), "similarity": F.lit(None).cast("double")})
+    made = with_scores(met, table).withColumnRenamed("i_item_key", "item_key")
+    place = F.row_number().over(Window.partitionBy("item_key").orderBy(F.desc("score"), F.col("ids")[0]))
+    first = made.select("item_key", "ids", *(c for c in NARROW if c not in ("item_key", "id"))).withColumn("place", place).where(F.col("place") <= keep)
+    return first.withColumn("id", F.explode("ids")).select(*NARROW)
+
+
 def with_lists(rows: DataFrame) -> DataFrame:
     """Add ``matched_fields``, ``conflicts`` and ``db_internal_warnings``."""
     found = F.transform("match_types", lambda m: entry("identifier", _identifier_weight(m), match_type=m))
@@ -198,19 +248,23 @@ def with_lists(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"matched_fields": F.concat(found, matched), "conflicts": conflicts, "db_internal_warnings": warnings})
 
 
+# What is shown of a catalogue row as it stands in the source, in order.
+RECORD_BEFORE = ["id", "hinban", "kidou"]
+RECORD_MIDDLE = ["key", "view_key", "kigugroup", "kigustyle", "t_kigubunrui", "t_kigugroup", "price_zeinuki", "hatsubai_date", "seisan_end_date", "zaiku"]
+RECORD_AFTER = ["koukyou_kataban1", "koukyou_kataban2", "t_akarusa", "kigusize", "umekomi_ana", "t_toritsuke", "boushitsu_bouu", "t_kinou", "dannetsusekou", "y_toukyu", "y_toritsuke", "y_hyoujimen", "y_kinou"]
+RECORD_TEXTS = [c for c in (*RECORD_BEFORE, *RECORD_MIDDLE, *RECORD_AFTER) if c not in ("id", "price_zeinuki")]
+HINTS_SHOWN = {"luminous_flux_lm": "luminous_flux_hint", "color_temperature_k": "color_temperature_hint", "power_consumption_w": "power_consumption_hint", "voltage_min_v": "voltage_min_hint", "voltage_max_v": "voltage_max_hint", "cri_ra": "cri_hint"}
+
+
 def record() -> Column:
     """The catalogue row as it is shown."""
     c = lambda n: F.col(f"c_{n}")
     code = F.concat(c("hinban_norm"), F.when(c("kidou_norm") != "", F.concat(F.lit(" "), c("kidou_norm"))).otherwise(""))
-    before = ["id", "hinban", "kidou"]
-    middle = ["key", "view_key", "kigugroup", "kigustyle", "t_kigubunrui", "t_kigugroup", "price_zeinuki", "hatsubai_date", "seisan_end_date", "zaiku"]
-    after = ["koukyou_kataban1", "koukyou_kataban2", "t_akarusa", "kigusize", "umekomi_ana", "t_toritsuke", "boushitsu_bouu", "t_kinou", "dannetsusekou", "y_toukyu", "y_toritsuke", "y_hyoujimen", "y_kinou"]
-    hints = {"luminous_flux_lm": "luminous_flux_hint", "color_temperature_k": "color_temperature_hint", "power_consumption_w": "power_consumption_hint", "voltage_min_v": "voltage_min_hint", "voltage_max_v": "voltage_max_hint", "cri_ra": "cri_hint"}
     return F.struct(
-        *(c(k).alias(k) for k in before),
+        *(c(k).alias(k) for k in RECORD_BEFORE),
         code.alias("full_code"),
-        *(c(k).alias(k) for k in middle),
+        *(c(k).alias(k) for k in RECORD_MIDDLE),
         c("availability_norm").alias("availability"),
-        *(c(k).alias(k) for k in after),
-        F.struct(*(c(v).alias(k) for k, v in hints.items())).alias("parsed_hints"),
+        *(c(k).alias(k) for k in RECORD_AFTER),
+        F.struct(*(c(v).alias(k) for k, v in HINTS_SHOWN.items())).alias("parsed_hints"),
     )

@@ -88,6 +88,15 @@ select cast(p_partkey as string) as item_key,
 from part
 """
 
+#: What a detailed item says about where it was read, and its maker; in SQL over ``k``, the number in its key.
+ECHOED = {
+    "source_file": "case when k%7=0 then null else 'drawing-' || cast(k%7 as string) || '.pdf' end",
+    "page": "case when k%5<>0 then k%13 end",
+    "item_no": "case when k%3<>0 then k%29+1 end",
+    "drawing_label": "case when k%4=0 then 'L' || cast(k%50 as string) end",
+    "manufacturer": "case when k%11=0 then 'nord licht' || cast(k%2 as string) else '' end",
+}
+
 
 def _part(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     # The table is a single small file, which Spark reads as one partition; the texts are worked on in as many as there are cores.
@@ -120,6 +129,12 @@ def detailed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def echoed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detailed items with their maker and the places where they were read."""
+    items = detailed_items(spark, sf_dir).withColumn("k", F.col("item_key").cast("long"))
+    return items.withColumns({c: F.expr(v) for c, v in ECHOED.items()}).drop("k")
+
+
 def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A raw item per part."""
     return _part(spark, sf_dir, ITEMS_SQL).select(

@@ -13,11 +13,6 @@ from ..sources.catalogue_csv import fingerprint, read_catalogue_csv
 from ..sources.items_json import raw_of_variants, read_items_json
 from ..stage import replace, staged, stages
 
-#: Settings that a session should have: the row caps of the searches are limits of windows up to 5,000 rows, which Spark
-#: pushes below their sort up to this threshold alone. Results don't depend on it.
-SETTINGS = {"spark.sql.optimizer.windowGroupLimitThreshold": "5001", "spark.sql.adaptive.enabled": "true"}
-
-
 def build(spark: SparkSession, csv: str, target: str, report: str | None = None) -> DataFrame:
     """Normalize the CSV into ``target/products`` and ``target/metadata``; return the one-row report.
 
@@ -60,20 +55,32 @@ def inspect(spark: SparkSession, target: str) -> DataFrame:
 
 @dataclass
 class Answers:
-    """Items with their ``question``, and for each distinct question its route and its scored candidates."""
+    """Items with their ``question``, and for each distinct question its route and its candidates."""
 
     items: DataFrame
     questions: DataFrame
-    routes: DataFrame
-    scored: DataFrame
+    products: DataFrame
+    found: candidates.Found
+
+    @property
+    def routes(self) -> DataFrame:
+        return self.found.routes
+
+    @property
+    def scored(self) -> DataFrame:
+        """All candidates with their scores."""
+        return evidence.scored(self.found.pairs, self.questions, self.products)
+
+    def best(self, keep: int) -> DataFrame:
+        """The first ``keep`` candidates of each question, by rank."""
+        return evidence.best(self.found, self.questions, self.products, keep)
 
 
 def answer(raw: DataFrame, products: DataFrame, **caps: int) -> Answers:
-    """Search and score every distinct question once, however many items ask it."""
+    """Search every distinct question once, however many items ask it."""
     asked = staged(items.with_question(items.normalize_items(raw)), "items")
     questions = staged(items.questions(asked), "questions")
-    found = candidates.find_candidates(questions, products, **caps)
-    return Answers(asked, questions, found.routes, evidence.scored(found.pairs, questions, products))
+    return Answers(asked, questions, products, candidates.find_candidates(questions, products, **caps))
 
 
 def match(spark: SparkSession, raw: DataFrame, products: DataFrame, *, top_k: int = 10) -> DataFrame:
@@ -81,7 +88,7 @@ def match(spark: SparkSession, raw: DataFrame, products: DataFrame, *, top_k: in
     if top_k < 1:
         raise ValueError("top_k must be 1 or more")
     got = answer(raw, products)
-    first = staged(evidence.ranked(got.scored, max(top_k, 2)), "ranked")
+    first = staged(got.best(max(top_k, 2)), "ranked")
     decisions = decide.decide(got.questions, got.routes, decide.top_of_each(first))
     lists = decide.candidate_lists(first.where(F.col("rank") <= top_k), got.questions, products)
     documents = decide.result_documents(got.questions, decisions, lists).withColumnRenamed("item_key", "question")

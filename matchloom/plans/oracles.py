@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from ..functions.features import MOUNTINGS
 from ..functions.text import AVAILABILITY, CATEGORIES
-from .fixtures import CATALOGUE_SQL, DETAILED_CATALOGUE_SQL, DETAILED_ITEMS_SQL, ITEMS_SQL
+from ..operators.decide import REASONS, VERSION, WARNINGS
+from ..operators.evidence import HINTS_SHOWN, RECORD_TEXTS
+from .fixtures import CATALOGUE_SQL, DETAILED_CATALOGUE_SQL, DETAILED_ITEMS_SQL, ECHOED, ITEMS_SQL
 
 
 def _ident(x: str) -> str:
@@ -59,7 +61,7 @@ c1 as (
   select *, {_ident("hinban")} as hinban_norm, {_ident("kidou")} as kidou_norm, {_ident("koukyou_kataban1")} as public1_norm, {_ident("koukyou_kataban2")} as public2_norm,
     {_water("boushitsu_bouu")} as wet_primary_norm, {_water("t_kinou")} as wet_feature_norm, {_SPEC} as spec, concat_ws(' ', t_kinou, view_key, key) as dim_text
   from src
-), cat as (
+), cat as materialized (
   select *, hinban_norm || kidou_norm as full_code_norm, {_relaxed("hinban_norm || kidou_norm")} as full_code_relaxed,
     {_relaxed("public1_norm")} as public1_relaxed, {_relaxed("public2_norm")} as public2_relaxed,
     {_category("kigugroup")} as kigugroup_norm, {_category("t_kigugroup")} as t_kigugroup_norm, {_search("kigustyle")} as kigustyle_norm,
@@ -272,7 +274,7 @@ _PAIR_RULES = [
     ("cri_ra", "abs(cri_hint - i.cri_ra) <= 2", "abs(cri_hint - i.cri_ra) > 5", 6, 4),
 ]
 DETAILED = _base(DETAILED_CATALOGUE_SQL) + f""", raw as ({DETAILED_ITEMS_SQL}),
-item as (
+item as materialized (
   select item_key, hinban, list_filter([public_one, public_two], lambda x: x <> '') as codes, {_category("category")} as category, {_search("style")} as style, {_search("brightness")} as brightness,
     case when fixture_text = '' then '' else {_dimension("fixture_text")} end as fixture_size, case when cutout_text = '' then '' else {_dimension("cutout_text")} end as cutout_size,
     {_search("y_toukyu")} as y_toukyu, {_search("y_toritsuke")} as y_toritsuke, {_search("y_hyoujimen")} as y_hyoujimen, {_search("y_kinou")} as y_kinou, {_mounting("mounting")} as mounting,
@@ -280,33 +282,74 @@ item as (
     cast(power_consumption_w as double) as power_consumption_w, cast(cri_ra as double) as cri_ra, cast(nullif(regexp_extract(voltage_text, '([0-9]+)', 1), '') as double) as low,
     cast(nullif(regexp_extract(voltage_text, '([0-9]+)V', 1), '') as double) as high, uncertain
   from raw
-), kind as (
-  select item_key, id, 'hinban' as match_type, 75.0 as w from item join cat on cat.hinban_norm = item.hinban and item.hinban <> ''
-  union all select item_key, id, 'public_model_code:' || code, 90.0 from (select item_key, unnest(codes) as code from item) join cat on code in (public1_norm, public2_norm)
-  union all select item_key, id, 'spec_candidate', 0.0 from item i join cat on i.hinban = '' and len(i.codes) = 0 and (i.category <> '' or i.cutout_size <> '' or i.fixture_size <> '')
-    and (i.category = '' or i.category in (kigugroup_norm, t_kigugroup_norm)) and (i.cutout_size = '' or i.cutout_size = cutout_size_norm) and (i.fixture_size = '' or i.fixture_size = fixture_size_norm)
-), back as (
-  select item_key, id, 'spec_candidate' as match_type, 0.0 as w from item i join cat on i.category in (kigugroup_norm, t_kigugroup_norm)
-  where i.hinban = '' and len(i.codes) = 0 and i.category <> '' and i.cutout_size || i.fixture_size <> '' and item_key not in (select item_key from kind)
-), found as (from kind union all from back),
-pair as (select item_key, id, max(w) as w from found group by 1, 2),
-entry as (
-  {" union all ".join(f"select i.item_key, cat.id, '{f}' as field, case when {m} then '+' else '-' end as sign, cast(case when {m} then {w} else 0 end as double) as weight, cast(case when {m} then {w} else -{p} end as double) as points from pair p join item i using (item_key) join cat on cat.id = p.id where ({m}) or ({c})" for f, m, c, w, p in _PAIR_RULES)}
+), code as (select item_key, unnest(codes) as code, generate_subscripts(codes, 1) as place from item),
+public as (select id, public1_norm as code from cat where public1_norm <> '' union select id, public2_norm from cat where public2_norm <> ''),
+kind as materialized (
+  select item_key, id, 'hinban' as match_type, 75.0 as w, 0 as place from item join cat on cat.hinban_norm = item.hinban and item.hinban <> ''
+  union all select item_key, id, 'public_model_code:' || code, 90.0, place from code join public using (code)
+), asked as (select * from item where hinban = '' and len(codes) = 0 and (category <> '' or cutout_size <> '' or fixture_size <> '')),
+spec0 as materialized (
+  select item_key, id from asked i join cat on (i.category = '' or i.category in (kigugroup_norm, t_kigugroup_norm)) and (i.cutout_size = '' or i.cutout_size = cutout_size_norm) and (i.fixture_size = '' or i.fixture_size = fixture_size_norm)
+), back as materialized (
+  select item_key, id from asked i join cat on i.category in (kigugroup_norm, t_kigugroup_norm) where i.category <> '' and i.cutout_size || i.fixture_size <> '' and item_key not in (select item_key from spec0)
+), spec as (from spec0 union all from back),
+found as materialized (from kind union all select item_key, id, 'spec_candidate', 0.0, 0 from (from spec qualify row_number() over (partition by item_key order by id) <= 5000)),
+pair as materialized (select item_key, id, max(w) as w, array_to_string(list(match_type order by place), ',') as match_types from found group by 1, 2),
+total as (select item_key, count(distinct id) as n, false as truncated from kind group by 1 union all select item_key, count(*), count(*) > 5000 from spec group by 1),
+spoken as (
+  select p.item_key, p.id, unnest([{", ".join(f"struct_pack(field := '{f}', m := coalesce({m}, false), c := coalesce({c}, false), w := cast({w} as double), p := cast({p} as double))" for f, m, c, w, p in _PAIR_RULES)}]) as r
+  from pair p join item i using (item_key) join cat on cat.id = p.id
+), entry as materialized (
+  select item_key, id, r.field as field, case when r.m then '+' else '-' end as sign, case when r.m then r.w else 0 end as weight, case when r.m then r.w else -r.p end as points from spoken where r.m or r.c
 ), score as (
-  select p.item_key, p.id, p.w + coalesce(sum(points), 0) as score from pair p left join entry e on e.item_key = p.item_key and e.id = p.id group by p.item_key, p.id, p.w
-), place as (select *, cast(row_number() over (partition by item_key order by score desc, id) as integer) as rank from score)
+  select p.item_key, p.id, any_value(p.w) + coalesce(sum(points), 0) as score, count(*) filter (where sign = '+') as matched, count(*) filter (where sign = '-') as against
+  from pair p left join entry e on e.item_key = p.item_key and e.id = p.id group by p.item_key, p.id
+), place as materialized (select *, cast(row_number() over (partition by item_key order by score desc, id) as integer) as rank from score),
+route as (
+  select item.*, coalesce(total.n, 0) as candidate_count, coalesce(total.truncated, false) as truncated, item_key in (select item_key from kind where match_type <> 'hinban') as by_public, item_key in (select item_key from back) as backed,
+    case when item_key in (select item_key from kind) then 'exact_identifier' when hinban <> '' or len(codes) > 0 then 'identifier_not_found'
+      when category <> '' or cutout_size <> '' or fixture_size <> '' then 'specification_search' else 'insufficient_input' end as route
+  from item left join total using (item_key)
+)
 """
 _CAPPED = f"{BASE}{_items(1, 7)}"
 _DETAILED = {
     "evidence_entries": "select item_key, rank, id, cast(score as double) as score, field, sign, weight from place join (select item_key, id, field, sign, weight from entry union all select item_key, id, 'identifier', '+', cast(w as double) from found) using (item_key, id) where rank <= 10",
-    "result_search": """select item_key, case when exists(select 1 from found f where f.item_key = item.item_key and f.w > 0) then 'exact_identifier' when hinban <> '' or len(codes) > 0 then 'identifier_not_found'
-      when category <> '' or cutout_size <> '' or fixture_size <> '' then 'specification_search' else 'insufficient_input' end as route,
-      (select count(*) from pair where pair.item_key = item.item_key) as candidate_count, least(10, (select count(*) from pair where pair.item_key = item.item_key)) as returned_count,
-      case when uncertain <> '' then 'input_contains_uncertain_fields' else '' end as warnings, array_to_string(codes, ',') as public_codes, '部品' || item_key as component_codes from item""",
+    "result_search": """select item_key, route, candidate_count, least(10, candidate_count) as returned_count,
+      case when uncertain <> '' then 'input_contains_uncertain_fields' else '' end as warnings, array_to_string(codes, ',') as public_codes, '部品' || item_key as component_codes from route""",
     "catalogue_installation": _columns("insulation_norm", "y_toukyu_norm", "y_toritsuke_norm", "y_hyoujimen_norm", "wet_combined_norm", "public2_norm", "dannetsusekou", "bumon", "hatsubai_date"),
 }
+_REASON = {k: "'" + v.replace("'", "''") + "'" for k, v in REASONS.items()}
+_ECHO = f", echo as (select item_key, {', '.join(f'{v} as {c}' for c, v in ECHOED.items())} from (select item_key, cast(item_key as bigint) as k from raw))"
+_DOCUMENTS = {
+    "result_items": f"""select item_key, source_file, page, item_no, drawing_label, coalesce({_search("manufacturer")}, '') as manufacturer, category, style, hinban, '' as kidou, hinban as full_code, fixture_size, cutout_size, mounting,
+      nullif(waterproof, 'unknown') as waterproof, nullif(dimming, 'unknown') as dimming, brightness, color_temperature_k, power_consumption_w, coalesce(low, high) as voltage_min_v, high as voltage_max_v, cri_ra, uncertain as uncertain_fields
+      from item join echo using (item_key)""",
+    "result_decisions": f"""select item_key, '{VERSION}' as matcher_version, route,
+      case route when 'exact_identifier' then concat_ws(',', case when hinban <> '' then 'hinban' end, case when by_public then 'public_model_code' end) when 'identifier_not_found' then case when hinban <> '' then 'hinban' else 'identifier' end
+        when 'specification_search' then case when backed then 'category_backoff' else concat_ws(',', case when category <> '' then 'category' end, case when cutout_size <> '' then 'cutout_size' end, case when fixture_size <> '' then 'fixture_size' end) end else '' end as basis,
+      candidate_count, truncated, status, case when status in ('conflict', 'exact_unique', 'spec_filtered_unique') then id else '' end as selected_id,
+      case when status = 'exact_unique' then lifecycle or doubtful when status = 'spec_filtered_unique' and route = 'exact_identifier' then lifecycle else true end as review_required,
+      case status when 'insufficient_input' then {_REASON["insufficient"]} when 'not_found' then {_REASON["not_found"]} when 'conflict' then {_REASON["conflict"]}
+        when 'exact_unique' then {_REASON["unique"]} || case when lifecycle then {_REASON["lifecycle"]} else '' end || case when doubtful then {_REASON["uncertain"]} else '' end
+        when 'spec_filtered_unique' then case when route = 'exact_identifier' then {_REASON["separated"]} else {_REASON["spec_unique"]} end when 'exact_multiple' then {_REASON["multiple"]} else {_REASON["spec"]} end as reason,
+      case when status = 'spec_filtered_unique' and route = 'exact_identifier' then cast(round(gap, 3) as double) end as score_gap, case when status = 'spec_candidates' then cast(round(coalesce(gap, score), 3) as double) end as top_score_gap,
+      concat_ws(',', case when truncated then '{WARNINGS[0]}' end, case when manufacturer <> '' then '{WARNINGS[1]}' end, case when uncertain <> '' then '{WARNINGS[2]}' end) as warnings
+      from (
+        select *, contains(uncertain, 'identity.') as doubtful, case when id is null then case when route = 'insufficient_input' then route else 'not_found' end
+          when route = 'exact_identifier' and candidate_count = 1 then case when conflict then 'conflict' else 'exact_unique' end
+          when route = 'exact_identifier' then case when coalesce(gap, 0) >= 12 and matched >= 1 and not conflict then 'spec_filtered_unique' else 'exact_multiple' end
+          when candidate_count = 1 and matched >= 2 and not conflict then 'spec_filtered_unique' else 'spec_candidates' end as status
+        from route join echo using (item_key) left join (
+          select a.item_key, a.id, a.score, a.matched, a.score - b.score as gap, a.against > 0 or wet_combined_norm = 'conflict' as conflict, availability_norm in ('discontinued', 'planned_discontinued') as lifecycle
+          from place a join cat on cat.id = a.id left join place b on b.item_key = a.item_key and b.rank = 2 where a.rank = 1) top using (item_key))""",
+    "result_candidates": f"""select item_key, rank, cat.id, cast(score as double) as score, match_types, hinban_norm || case when kidou_norm <> '' then ' ' || kidou_norm else '' end as full_code, availability_norm as availability,
+      case when wet_combined_norm = 'conflict' then 'db_internal_waterproof_conflict' else '' end as db_internal_warnings, case when availability_norm in ('discontinued', 'planned_discontinued') then availability_norm else '' end as lifecycle_warning,
+      {", ".join(f"cat.{c}" for c in RECORD_TEXTS)}, cast(cat.price_zeinuki as double) as price_zeinuki, {", ".join(f"{v} as {k}" for k, v in HINTS_SHOWN.items())}
+      from place join pair using (item_key, id) join cat using (id) where rank <= 10""",
+}
 _CAPPED_QUERIES = {
     "capped_candidates": "select item_key, id, cast(len(types) as bigint) as hits from cand",
     "capped_routes": "select item_key, route, candidate_total, truncated from route",
 }
-ORACLES = {k: f"{DETAILED} {v}" for k, v in _DETAILED.items()} | {k: f"{_CAPPED} {v}" for k, v in _CAPPED_QUERIES.items()} | {k: f"{BASE} {v}" for k, v in _CATALOGUE.items()} | {k: f"{BASE}{ITEMS} {v}" for k, v in _MATCHING.items()}
+ORACLES = {k: f"{DETAILED} {v}" for k, v in _DETAILED.items()} | {k: f"{DETAILED}{_ECHO} {v}" for k, v in _DOCUMENTS.items()} | {k: f"{_CAPPED} {v}" for k, v in _CAPPED_QUERIES.items()} | {k: f"{BASE} {v}" for k, v in _CATALOGUE.items()} | {k: f"{BASE}{ITEMS} {v}" for k, v in _MATCHING.items()}

@@ -89,7 +89,8 @@ def _partial(asked: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def spec_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates.by_spec(*_both(spark, sf_dir))[0]
+    hits, routed = candidates.by_spec(*_both(spark, sf_dir))
+    return routed.join(hits, list(candidates.SPEC_KEYS)).select("item_key", "id")
 
 
 def spec_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,18 +124,18 @@ def identifier_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ranked_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = _answers(spark, sf_dir)
-    return items.per_item(evidence.ranked(got.scored, 10).select("item_key", "rank", "id", "score"), got.items)
+    return items.per_item(got.best(10).select("item_key", "rank", "id", "score"), got.items)
 
 
 def score_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = _answers(spark, sf_dir)
-    top = decide.top_of_each(evidence.ranked(got.scored, 2))
+    top = decide.top_of_each(got.best(2))
     return items.per_item(top.select("item_key", F.col("top_id").alias("id"), F.round(F.col("top_score") - F.col("next_score"), 3).alias("score_gap")), got.items)
 
 
 def match_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = _answers(spark, sf_dir)
-    made = decide.decide(got.questions, got.routes, decide.top_of_each(evidence.ranked(got.scored, 2)))
+    made = decide.decide(got.questions, got.routes, decide.top_of_each(got.best(2)))
     made = made.select("item_key", "route", "status", F.coalesce("selected_id", F.lit("")).alias("selected_id"), "review_required", F.col("candidate_total").alias("candidate_count"))
     return items.per_item(made, got.items)
 
@@ -175,6 +176,59 @@ def result_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    products = staged(catalogue.normalize_catalogue(fixtures.detailed_source(spark, sf_dir)), "catalogue")
+    return staged(jobs.match(spark, fixtures.echoed_items(spark, sf_dir), products), "results")
+
+
+def result_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items as the result documents show them: where each was read, and its normalized fields."""
+    texts = ["manufacturer", "category", "style", "hinban", "kidou", "full_code", "fixture_size", "cutout_size", "brightness"]
+    return _documents(spark, sf_dir).select(
+        "item_key",
+        "source.*",
+        *(F.coalesce(F.col(f"normalized_input.{c}"), F.lit("")).alias(c) for c in texts),
+        F.array_join("normalized_input.mounting", ",").alias("mounting"),
+        *(F.col(f"normalized_input.{c}") for c in ("waterproof", "dimming", "color_temperature_k", "power_consumption_w")),
+        F.col("normalized_input.voltage.min_v").alias("voltage_min_v"),
+        F.col("normalized_input.voltage.max_v").alias("voltage_max_v"),
+        "normalized_input.cri_ra",
+        F.array_join("normalized_input.uncertain_fields", ",").alias("uncertain_fields"),
+    )
+
+
+def result_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the result documents say that their items were searched and decided."""
+    return _documents(spark, sf_dir).select(
+        "item_key",
+        "matcher_version",
+        "search.route",
+        F.array_join("search.basis", ",").alias("basis"),
+        "search.candidate_count",
+        F.col("search.candidate_pool_truncated").alias("truncated"),
+        "decision.status",
+        F.coalesce("decision.selected_id", F.lit("")).alias("selected_id"),
+        *(F.col(f"decision.{c}") for c in ("review_required", "reason", "score_gap", "top_score_gap")),
+        F.array_join("warnings", ",").alias("warnings"),
+    )
+
+
+def result_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates of the result documents: how each was found, and its catalogue row."""
+    each = _documents(spark, sf_dir).select("item_key", F.explode("candidates").alias("c"))
+    types = F.transform(F.filter("c.matched_fields", lambda e: e["field"] == "identifier"), lambda e: e["match_type"])
+    return each.select(
+        "item_key",
+        "c.rank",
+        "c.score",
+        F.array_join(types, ",").alias("match_types"),
+        F.array_join("c.db_internal_warnings", ",").alias("db_internal_warnings"),
+        F.coalesce("c.lifecycle_warning", F.lit("")).alias("lifecycle_warning"),
+        *(F.col(f"c.record.{k}") for k in ("id", "full_code", "availability", "price_zeinuki", *evidence.RECORD_TEXTS)),
+        "c.record.parsed_hints.*",
+    )
+
+
 def catalogue_installation(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = catalogue.normalize_catalogue(fixtures.detailed_source(spark, sf_dir))
     return made.select("id", "insulation_norm", "y_toukyu_norm", "y_toritsuke_norm", "y_hyoujimen_norm", "wet_combined_norm", "public2_norm", "dannetsusekou", "bumon", "hatsubai_date")
@@ -201,6 +255,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "match_results": match_results,
     "evidence_entries": evidence_entries,
     "result_search": result_search,
+    "result_items": result_items,
+    "result_decisions": result_decisions,
+    "result_candidates": result_candidates,
     "capped_candidates": capped_candidates,
     "capped_routes": capped_routes,
     "catalogue_installation": catalogue_installation,

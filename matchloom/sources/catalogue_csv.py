@@ -9,45 +9,37 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from ..operators.catalogue import SOURCE_COLUMNS
+from .csv_records import read_records, without_ends
 
 #: Bytes of a file that are held at once.
 PIECE = 8 << 20
-SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in SOURCE_COLUMNS])
 
 
-def _reader(spark: SparkSession):
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8")
+#: How a record is parsed; fields stay as they are, quotes within are doubled.
+RECORD = {"escape": '"', "multiLine": "true", "mode": "FAILFAST"}
 
 
 def read_catalogue_csv(spark: SparkSession, path: str) -> DataFrame:
     """The 27 text columns and ``source_row``, the record's number counted from 2; absent values are empty.
 
-    Raises unless the header has the 27 names in order. Records with too few or too many
-    fields raise when they are read.
+    Raises unless the header has the 27 names in order; those of further files raise when they are read, as do
+    records with too few or too many fields. Files are numbered on in order of their names. A file is read by
+    as many tasks as the session splits it for, quoted line breaks or not; lines end with line feeds, perhaps after a carriage return.
     """
-    names = _reader(spark).option("inferSchema", False).csv(path).columns
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8")
+    names = reader.option("inferSchema", False).csv(path).columns
     if names != SOURCE_COLUMNS:
         raise ValueError(f"unexpected catalogue header: {names}")
-    rows = _reader(spark).schema(SCHEMA).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
-    return numbered(rows.na.fill("").select(*SOURCE_COLUMNS, F.col("_metadata.file_path").alias("_file")))
-
-
-def numbered(rows: DataFrame) -> DataFrame:
-    """Number the rows from 2, file after file by ``_file`` and in reading order within each, without gaps.
-
-    Rows of a file lie together in a partition, in order. A row's number is its place there and the
-    rows of the files before; only counts, one row a file and partition, meet in one place.
-    """
-    at = F.monotonically_increasing_id()  # the partition in the upper bits, the place in the lower 33
-    placed = rows.withColumn("_at", at).withColumn("_part", F.shiftright("_at", 33))
-    counts = placed.groupBy("_file", "_part").agg(F.count("*").alias("c"), F.min("_at").alias("_first"))
-    before = F.sum("c").over(Window.orderBy("_file", "_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
-    starts = counts.select("_file", "_part", "_first", before.alias("_start"))
-    return placed.join(starts, ["_file", "_part"]).withColumn("source_row", F.col("_start") + F.col("_at") - F.col("_first") + 2).drop("_file", "_at", "_part", "_first", "_start")
+    parsed = F.from_csv(without_ends(F.col("text")), ", ".join(f"{c} string" for c in SOURCE_COLUMNS), RECORD)
+    rows = read_records(spark, path).withColumn("r", parsed)
+    named = F.lit(True)
+    for c in SOURCE_COLUMNS:
+        named = named & F.coalesce(F.col(f"r.{c}") == c, F.lit(False))
+    wrong = F.raise_error(F.concat(F.lit("unexpected catalogue header in "), "file")).cast("boolean")
+    rows = rows.where(F.when(F.col("record") > 0, True).when(named, False).otherwise(wrong))
+    return rows.select(*(F.coalesce(F.col(f"r.{c}"), F.lit("")).alias(c) for c in SOURCE_COLUMNS), (F.col("file_begun") + F.col("record") + 1).alias("source_row"))
 
 
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
