@@ -1,7 +1,8 @@
 """Text forms: cleaned text, search text, identifiers, categories.
 
 All builders but :func:`nfkc` are native expressions. They expect cleaned text (see
-:func:`cleaned`), so the one Python step, Unicode compatibility form, runs once a column.
+:func:`cleaned`), so the one Python step, Unicode compatibility form, runs once a column, and only for
+texts that it may change: those of ASCII, kana, ideographs and a few signs never leave the JVM.
 """
 
 from __future__ import annotations
@@ -50,10 +51,20 @@ AVAILABILITY = {
 WHITE = r"[\s\x{1C}-\x{1F}]"
 
 
+#: Characters, in ranges, that compatibility form leaves as they are, also side by side: none of them combines with the one before.
+STABLE = ["\x00-\x7f", "×", "Α-Ω", "α-ω", "‐", "–", "—", "−", "□", "○", "、-〃", "ぁ-ゖ", "ァ-ー", "一-鿿"]
+
+
+def may_change(text: Column) -> Column:
+    """The text if compatibility form may change it, else null."""
+    ranges = "".join("-".join(rf"\x{{{ord(c):X}}}" for c in r.split("-")) for r in STABLE)
+    return F.when(~F.regexp_like(text, F.lit(rf"\A[{ranges}]*\z")), text)
+
+
 @F.pandas_udf(T.StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     """Unicode compatibility form; Spark has no function for it."""
-    return values.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x), na_action="ignore")
+    return values.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
 def tidy(text: Column) -> Column:
@@ -64,7 +75,7 @@ def tidy(text: Column) -> Column:
 
 def cleaned(df: DataFrame, columns: list[str], prefix: str = "_") -> DataFrame:
     """Add the cleaned text of each column under ``prefix`` + its name, in one Arrow pass."""
-    forms = df.withColumns({f"{prefix}{c}": nfkc(F.col(c)) for c in columns})
+    forms = df.withColumns({f"{prefix}{c}": F.coalesce(nfkc(may_change(F.col(c))), F.col(c)) for c in columns})
     return forms.withColumns({f"{prefix}{c}": tidy(F.col(f"{prefix}{c}")) for c in columns})
 
 

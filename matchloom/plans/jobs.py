@@ -11,20 +11,23 @@ from pyspark.sql import functions as F
 from ..operators import candidates, catalogue, decide, evidence, items
 from ..sources.catalogue_csv import fingerprint, read_catalogue_csv
 from ..sources.items_json import raw_of_variants, read_items_json
-from ..stage import replace, staged, stages
+from ..stage import replace, restore, staged, stages
 
 def build(spark: SparkSession, csv: str, target: str, report: str | None = None) -> DataFrame:
-    """Normalize the CSV into ``target/products`` and ``target/metadata``; return the one-row report.
+    """Normalize the CSV into ``target/products``, its metadata within; return the one-row report.
 
     The catalogue is written beside its place and moved there once it is valid, so a build that
-    fails, also while it writes, leaves an earlier catalogue as it was.
+    fails, also while it writes, leaves an earlier catalogue as it was. Rows and metadata are one folder, so they
+    change together. A driver that dies between the two renames of the change leaves the earlier catalogue
+    aside; the next build, match or inspection puts it back.
     """
     if csv.rstrip("/") == target.rstrip("/"):
         raise ValueError("the catalogue can't replace its source")
     seen = Observation("source")
     source = read_catalogue_csv(spark, csv).observe(seen, F.count(F.lit(1)).alias("rows"))  # counted while it is written
     source = source.repartition(spark.sparkContext.defaultParallelism)  # a file of quoted lines is read by one task
-    made, told = (f"{target.rstrip('/')}/_new_{x}" for x in ("products", "metadata"))
+    made = f"{target.rstrip('/')}/_new_products"
+    restore(spark, products_of(target))
     catalogue.normalize_catalogue(source).write.mode("overwrite").parquet(made)
     products = spark.read.parquet(made)
     rows = products.count()
@@ -32,25 +35,38 @@ def build(spark: SparkSession, csv: str, target: str, report: str | None = None)
     sha = fingerprint(spark, csv).agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("path", "sha256"))), lambda x: x["sha256"]))).first()[0]  # one row a file
     now = datetime.datetime.now(datetime.UTC).isoformat()
     facts = {"schema_version": catalogue.SCHEMA_VERSION, "source_path": csv, "source_sha256": sha, "source_rows": str(rows), "built_at_utc": now}
-    spark.createDataFrame(list(facts.items()), "key string, value string").coalesce(1).write.mode("overwrite").parquet(told)
-    replace(spark, f"{target.rstrip('/')}/products", made)
-    replace(spark, f"{target.rstrip('/')}/metadata", told)
-    built = catalogue.build_report(spark.read.parquet(f"{target}/products"))
+    spark.createDataFrame(list(facts.items()), "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{made}/{FACTS}")
+    replace(spark, products_of(target), made)
+    built = catalogue.build_report(open_catalogue(spark, target))
     built = built.withColumns({"source_csv": F.lit(csv), "normalized_db": F.lit(target), "source_sha256": F.lit(sha)})
     if report:
         built.coalesce(1).write.mode("overwrite").json(report)
     return built
 
 
+#: The metadata's folder in that of the rows; readers of the rows pass over names that begin like this.
+FACTS = "_facts"
+
+
+def products_of(target: str) -> str:
+    return f"{target.rstrip('/')}/products"
+
+
+def open_catalogue(spark: SparkSession, target: str) -> DataFrame:
+    """The rows of a built catalogue; an earlier one that a failed replacement left aside is put back first."""
+    restore(spark, products_of(target))
+    return spark.read.parquet(products_of(target))
+
+
 def metadata(spark: SparkSession, target: str) -> DataFrame:
     """The build's metadata as one row with a map."""
-    rows = spark.read.parquet(f"{target}/metadata")
+    rows = spark.read.parquet(f"{products_of(target)}/{FACTS}")
     return rows.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("metadata"))
 
 
 def inspect(spark: SparkSession, target: str) -> DataFrame:
     """One row: the number of rows, from the file footers, and the metadata."""
-    return spark.read.parquet(f"{target}/products").agg(F.count("*").alias("rows")).join(F.broadcast(metadata(spark, target)))
+    return open_catalogue(spark, target).agg(F.count("*").alias("rows")).join(F.broadcast(metadata(spark, target)))
 
 
 @dataclass
@@ -100,7 +116,7 @@ def match_file(spark: SparkSession, json: str, target: str, output: str, *, top_
     """Match an item file; write ``output/results`` and ``output/run``; return the summary by status."""
     with stages(spark):
         raw = raw_of_variants(read_items_json(spark, json))
-        match(spark, raw, spark.read.parquet(f"{target}/products"), top_k=top_k).write.mode("overwrite").json(f"{output}/results")
+        match(spark, raw, open_catalogue(spark, target), top_k=top_k).write.mode("overwrite").json(f"{output}/results")
     results = spark.read.json(f"{output}/results")
     run = results.agg(F.count("*").alias("result_count")).select(F.lit(decide.VERSION).alias("matcher_version"), F.lit(json).alias("input_file"), F.lit(target).alias("db_file"), "result_count")
     run.join(F.broadcast(metadata(spark, target).withColumnRenamed("metadata", "db_metadata"))).coalesce(1).write.mode("overwrite").json(f"{output}/run")

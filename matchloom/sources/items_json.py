@@ -1,7 +1,7 @@
 """Item JSON: nested records with fields that are scalars or ``{value, raw}`` objects, as a raw item table.
 
-A file holds one item, an array of items, or an object with an ``items`` array; for many
-items, JSON lines of one item each are read in parallel.
+A file holds one item, an array of items, or an object with an ``items`` array, and is read by as many tasks as it has
+splits; so are JSON lines of one item each.
 """
 
 from __future__ import annotations
@@ -10,23 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.items import FLAGS, NUMBERS, SIZES
+from .json_elements import read_elements
 
 
 def read_items_json(spark: SparkSession, path: str) -> DataFrame:
     """(item_key, v): every item as a variant, keyed by its file and place."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.parse_json("value").alias("doc"))
-    listed = spark.sql(
-        """
-        select file, pos, value as v from {files},
-        lateral variant_explode(case
-            when schema_of_variant(doc) like 'OBJECT%' and schema_of_variant(try_variant_get(doc, '$.items', 'variant')) like 'ARRAY%' then try_variant_get(doc, '$.items', 'variant')
-            when schema_of_variant(doc) like 'ARRAY%' then doc
-            when schema_of_variant(doc) like 'OBJECT%' then parse_json('[' || to_json(doc) || ']')
-            else raise_error('item JSON must be an object, an array, or an object with an items array') end)
-        """,
-        files=files,
-    )
-    return _checked(listed.select(F.concat_ws("#", "file", F.col("pos").cast("string")).alias("item_key"), "v"))
+    rows = read_elements(spark, path).select(F.concat_ws("#", "file", F.col("pos").cast("string")).alias("item_key"), F.parse_json("text").alias("v"))
+    return _checked(rows)
 
 
 def read_items_jsonl(spark: SparkSession, path: str) -> DataFrame:

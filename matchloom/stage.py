@@ -76,6 +76,14 @@ def replace(spark: SparkSession, old: str, new: str) -> None:
     files.delete(aside, True)
 
 
+def restore(spark: SparkSession, folder: str) -> None:
+    """Put back the folder that a replacement cut short between its two renames has left aside."""
+    files, target = _path(spark, folder)
+    aside = _path(spark, f"{folder}-replaced")[1]
+    if not files.exists(target) and files.exists(aside):
+        files.rename(aside, target)
+
+
 @contextmanager
 def stages(spark: SparkSession) -> Iterator[str]:
     """A folder for what is staged within the block; results must be written before its end."""

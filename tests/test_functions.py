@@ -74,3 +74,20 @@ def test_water_compatible(spark, asked, has, expected):
 @pytest.mark.parametrize("value, expected", [("12.50", "12.5"), ("100", "100"), ("0.1234567", "0.123457"), ("1234567.5", "1.23457e+06"), ("x", "x")])
 def test_number_text(spark, value, expected):
     assert spark.range(1).select(numbers.number_text(F.lit(value)).alias("y")).first()["y"] == expected
+
+
+def test_texts_that_python_sees(spark):
+    """Only texts that compatibility form may change go to Python; the others are as it leaves them."""
+    import random
+    import unicodedata
+
+    chars = [chr(c) for r in text.STABLE for c in range(ord(r.split("-")[0]), ord(r.split("-")[-1]) + 1)]
+    assert all(unicodedata.is_normalized("NFKC", c) and not unicodedata.combining(c) for c in chars)
+    rng = random.Random(6)
+    stable = ["".join(rng.choices(chars, k=20)) for _ in range(200)] + ["", "plain\n", "ベースライト φ125 W150×L300", "−5 一般"]
+    assert all(unicodedata.is_normalized("NFKC", s) for s in stable)
+    other = ["ＮＮＦ４", "ｶﾞ", "が", "é", "①", "x\n²", "㎜", "　", "가", "가"]
+    rows = spark.createDataFrame([(k, s) for k, s in enumerate([*stable, *other, None])], "k int, s string")
+    got = rows.select("k", "s", text.may_change(F.col("s")).alias("sent"), F.coalesce(text.nfkc(text.may_change(F.col("s"))), "s").alias("form")).orderBy("k").collect()
+    assert [r["sent"] for r in got] == [None] * len(stable) + other + [None]
+    assert [r["form"] for r in got] == [s and unicodedata.normalize("NFKC", s) for s in [*stable, *other, None]]

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import shutil
 
 import pytest
 from data import item, write_csv
@@ -130,6 +131,20 @@ def test_a_failed_build_leaves_the_catalogue(spark, built, tmp_path):
     assert {r["id"] for r in spark.read.parquet(str(folder / "db/products")).collect()} == before
 
 
+def test_a_replacement_cut_short(spark, built, tmp_path):
+    """A driver that dies between the renames leaves the earlier catalogue aside, with its metadata; readers put it back."""
+    target = tmp_path / "db"
+    shutil.copytree(built[0] / "db", target)
+    (target / "products").rename(target / "products-replaced")
+    shutil.copytree(target / "products-replaced", target / "_new_products")
+    seen = jobs.inspect(spark, str(target)).first()
+    assert seen["rows"] == 5 and seen["metadata"]["source_rows"] == "5"
+    jobs.build(spark, write_csv(tmp_path / "c.csv", [{"id": "A"}]), str(target))
+    seen = jobs.inspect(spark, str(target)).first()
+    assert seen["rows"] == 1 and seen["metadata"]["source_rows"] == "1"
+    assert sorted(x.name for x in target.iterdir()) == ["products"]
+
+
 def test_numbers_and_digests_of_several_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for k, n in enumerate((3, 40, 1)):

@@ -2,6 +2,7 @@
 
 import csv
 import io
+import json
 import random
 
 import pytest
@@ -9,7 +10,7 @@ from data import ROWS, write_csv
 from pyspark.sql import functions as F
 
 from matchloom.operators.catalogue import SOURCE_COLUMNS
-from matchloom.sources import csv_records
+from matchloom.sources import csv_records, json_elements
 from matchloom.sources.catalogue_csv import read_catalogue_csv
 
 
@@ -101,3 +102,44 @@ def test_bad_records_raise(spark, tmp_path):
     with pytest.raises(Exception, match="header"):
         read_catalogue_csv(spark, str(tmp_path / "two")).collect()
     assert read_catalogue_csv(spark, write_csv(tmp_path / "none.csv", [])).agg(F.count("*")).first()[0] == 0
+
+
+def random_value(rng, depth=0):
+    texts = ["", "a", 'say "x"', "{", "}", "[]}", "\\", '\\"}', "}{", '"items": [', "日本", "\n"]
+    kind = rng.randrange(6 if depth < 3 else 4)
+    if kind < 2:
+        return rng.choice(texts)
+    if kind < 4:
+        return rng.choice([1, -2.5, True, None])
+    if kind == 4:
+        return [random_value(rng, depth + 1) for _ in range(rng.randrange(3))]
+    return {rng.choice([*texts, "items", "k"]): random_value(rng, depth + 1) for _ in range(rng.randrange(4))}
+
+
+@pytest.mark.parametrize("size", [40, 500, 10**6])
+def test_items_of_splits(spark, tmp_path, small_splits, size):
+    """The items that Python's reader finds, however the files are cut."""
+    rng = random.Random(size)
+    items = lambda n: [{"k": random_value(rng), rng.choice(["items", "x", "}"]): random_value(rng)} for _ in range(n)]
+    n = 5 if size == 40 else 25
+    around = {"meta": [{"a": [{}]}, {}], "no": {"items": [{"x": 1}]}, 'odd "items": [': "}"}
+    values = [items(n), [], {"items": items(n)}, around | {"items": items(n), "after": [{"b": 1}, {}], "more": {"items": [{}]}}, {"items": []}, {"items": 3, "z": items(2)}, {}, {"k": random_value(rng)}, around, [{}]]
+    for k, v in enumerate(values):
+        text = json.dumps(v, indent=rng.choice([None, 1]), ensure_ascii=rng.random() < 0.5)
+        (tmp_path / f"{k}.json").write_text(rng.choice(["", "﻿", "\n "]) + text + rng.choice(["", "\n"]), encoding="utf-8")
+    small_splits(size)
+    got = {}
+    for r in json_elements.read_elements(spark, str(tmp_path)).collect():
+        got.setdefault(int(r["file"].rsplit("/", 1)[1].split(".")[0]), []).append((r["pos"], json.loads(r["text"])))
+    for k, v in enumerate(values):
+        want = v if isinstance(v, list) else v["items"] if isinstance(v.get("items"), list) else [v]
+        assert sorted(got.get(k, []), key=lambda x: x[0]) == list(enumerate(want))
+
+
+@pytest.mark.parametrize("text", ["[1]", '["a"]', "[[]]", '[{"a": 1}, 2]', '[{"a": 1} {"b": 2}]', '[{"a": 1},]', '[{"a": 1}', '[{"a": "}', '{"items": [{}, null]}', '{"items": [{}', "3", '"{}"', '{"a": 1', "[,{}]"])
+@pytest.mark.parametrize("size", [3, 10**6])
+def test_broken_items(spark, tmp_path, small_splits, text, size):
+    (tmp_path / "a.json").write_text(text)
+    small_splits(size)
+    with pytest.raises(Exception, match="JSON"):
+        json_elements.read_elements(spark, str(tmp_path)).collect()
