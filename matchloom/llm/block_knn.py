@@ -21,7 +21,8 @@ Defined cases: vectors that are null, empty, zero or hold a null or non-finite c
 take no part, as query or candidate; vectors of another length than the query's are no
 candidates of it; ties go to the smaller id; rows with the query's own id are left out;
 rows that repeat an id are candidates each,
-and of queries that repeat an id the one whose vector sorts first counts; an empty table gives an empty result.
+and of queries that repeat an id the one whose vector sorts first counts; a product beyond the largest double is
+infinite, and one that is not a number (of infinite parts of both signs) counts as negative infinity; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -50,11 +51,11 @@ class Tile:
         self.ids, self.v = ids, vectors.astype(np.float64)
         peak = np.abs(self.v).max(1)
         self.scale = peak / 127.0
-        with np.errstate(invalid="ignore", divide="ignore"):
+        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
             self.q = np.rint(self.v / self.scale[:, None]).astype(np.int8)
-        part = self.q * self.scale[:, None]
-        self.norm = np.sqrt((part**2).sum(1))
-        self.error = np.sqrt(((self.v - part) ** 2).sum(1)) * (1 + 1e-9) + 1e-300
+            part = self.q * self.scale[:, None]
+            self.norm = np.sqrt((part**2).sum(1))
+            self.error = np.sqrt(((self.v - part) ** 2).sum(1)) * (1 + 1e-9) + 1e-300
 
     def take(self, at: np.ndarray) -> "Tile":
         return Tile(self.ids[at], self.v[at])
@@ -102,16 +103,19 @@ class Heaps:
         self.id = np.full((n, k), np.iinfo(np.int64).max)
 
     def offer(self, tile: Tile) -> None:
-        near, bound = products(self.queries, tile)
-        own = self.queries.ids[:, None] == tile.ids
-        floor = self.score[:, -1]
-        if near.shape[1] > self.k:
-            low = np.where(own, -np.inf, near - bound)
-            floor = np.maximum(floor, np.partition(low, -self.k, axis=1)[:, -self.k])
-        qi, ci = np.nonzero((near + bound >= floor[:, None]) & ~own)
-        if not len(qi):
-            return
-        found = exact(self.queries.v[qi], tile.v[ci])
+        with np.errstate(over="ignore", invalid="ignore"):
+            near, bound = products(self.queries, tile)
+            sure = np.isfinite(near) & np.isfinite(bound)  # other pairs set no floor, and all go on to be recomputed
+            own = self.queries.ids[:, None] == tile.ids
+            floor = self.score[:, -1]
+            if near.shape[1] > self.k:
+                low = np.where(own | ~sure, -np.inf, near - bound)
+                floor = np.maximum(floor, np.partition(low, -self.k, axis=1)[:, -self.k])
+            qi, ci = np.nonzero((~sure | (near + bound >= floor[:, None])) & ~own)
+            if not len(qi):
+                return
+            found = exact(self.queries.v[qi], tile.v[ci])
+        found = np.where(np.isnan(found), -np.inf, found)
         # Merge: old and new entries by query, best first, and the first k of each query.
         rows = np.concatenate([np.repeat(np.arange(len(self.score)), self.k), qi])
         score, ids = np.concatenate([self.score.ravel(), found]), np.concatenate([self.id.ravel(), tile.ids[ci]])
