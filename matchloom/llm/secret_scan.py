@@ -88,11 +88,14 @@ def ordered(spans: list[Span]) -> list[Span]:
 
 
 def candidates(text: str, spans: list[Span]) -> list[tuple[int, int]]:
-    """Runs of credential characters that are no plain words and touch no base span."""
-    out = []
+    """Runs of credential characters that are no plain words and touch no base span; ``spans``: by their beginnings, as runs are."""
+    out, k, far = [], 0, 0
     for m in RUN.finditer(text):
         a, b = m.span()
-        if not PLAIN.fullmatch(m[0]) and not any(s < b and a < e for _, s, e in spans):
+        while k < len(spans) and spans[k][1] < b:
+            far = max(far, spans[k][2])
+            k += 1
+        if far <= a and not PLAIN.fullmatch(m[0]):
             out.append((a, b))
     return out
 
