@@ -195,10 +195,14 @@ TITLES = {
 }
 
 
+#: A record's header is shorter than this, or the file is no WARC file.
+HEADER_BYTES = 1 << 20
+
+
 def records(f, payload: bool, wanted, step: int = 1 << 16) -> Iterator[dict]:
     """The records of an open file whose header passes ``wanted``; other blocks are skipped by their length.
 
-    A header without a length, an identifier or a type raises. Files of gzip members are read through, as
+    A header without a length, an identifier or a type raises, and so does one of more than ``HEADER_BYTES``. Files of gzip members are read through, as
     they have no other order.
     """
     at, data = 0, b""  # what is read already begins at the record, and the file goes on after it
@@ -211,8 +215,10 @@ def records(f, payload: bool, wanted, step: int = 1 << 16) -> Iterator[dict]:
             at, data = at + blank, b""
             continue
         at, data = at + blank, data[blank:]
-        while (end := data.find(b"\r\n\r\n")) < 0:
-            more = f.read(step)
+        seen = 0
+        while (end := data.find(b"\r\n\r\n", seen)) < 0:
+            seen = max(0, len(data) - 3)
+            more = f.read(step) if seen < HEADER_BYTES else b""
             if not more:
                 raise ValueError(f"a WARC header does not end, at byte {at}")
             data += more
