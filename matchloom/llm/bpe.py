@@ -15,8 +15,8 @@ words are found in the replay and are done again one by one in that order.
 
 The work has no shuffle, as merges never cross words. A block is bounded by the bytes of its
 new words and by the number of words of its documents, which are held as numbers (one document
-at least); the table is emptied when it holds too many words. So memory is bounded
-whatever the table of documents holds, and a lost task is redone alone.
+at least); the table is emptied when it holds too many words, or too many bytes of words and ids. So memory is bounded
+whatever the table of documents holds, but for a single document's own size, and a lost task is redone alone.
 
 Defined cases: null text is encoded as empty text (no ids); an empty text has no ids;
 unpaired surrogates can't occur in Spark strings; repeated rows are encoded each; other
@@ -40,6 +40,8 @@ from .common import bounded_batches
 
 #: Bytes of the new words of a block, words of its documents, and words that a worker's table keeps; all bound its memory.
 BLOCK_BYTES, BLOCK_WORDS, TABLE_WORDS = 2_000_000, 4_000_000, 400_000
+#: Bytes that the table keeps; of each word, and of each of its characters with the ids that it may take.
+TABLE_BYTES, WORD_BYTES, CHAR_BYTES = 160_000_000, 160, 16
 #: Longer texts are split word by word instead of into a list of words.
 LONG_CHARS = 1 << 20
 #: Ranks whose positions are sorted out of the index at a time.
@@ -217,11 +219,12 @@ class Numbers(dict):
 
     def __init__(self) -> None:
         self.fresh: list[str] = []
-        self.fresh_bytes = 0
+        self.fresh_bytes = self.bytes = 0
 
     def __missing__(self, word: str) -> int:
         self.fresh.append(word)
         self.fresh_bytes += len(word)
+        self.bytes += WORD_BYTES + CHAR_BYTES * len(word)
         number = self[word] = len(self)
         return number
 
@@ -282,7 +285,7 @@ def encoded(batches: Iterator[pd.DataFrame], path: str, pattern: str, block_byte
             yield keys[a : a + 256], [table.ids(w) for w in coded[a : a + 256]]
         keys.clear()
         coded.clear()
-        if len(table.number) > TABLE_WORDS:
+        if len(table.number) > TABLE_WORDS or table.number.bytes > TABLE_BYTES:
             table.__init__()
 
     for batch in batches:

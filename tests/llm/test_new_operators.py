@@ -220,3 +220,80 @@ def test_bounds_leave_most_documents_unscored():
     want = np.lexsort([np.arange(docs), -whole])[:3]
     assert found.tolist() == want.tolist() and scores.tolist() == whole[want].tolist()
     assert scored < docs // 4
+
+
+# Bounds of earlier operators.
+
+
+def test_products_beyond_doubles(spark):
+    """Vectors whose products overflow: every query keeps its k nearest."""
+    from matchloom.llm import block_knn
+
+    big = [(0, [1e200, 1.0]), (20, [1e160, -1e160])] + [(k, [1e200 * k, 1.0]) for k in range(1, 6)] + [(9, [-1e200, 0.0]), (10, [1.0, 1.0]), (11, [1e190, 1e190])]
+    df = spark.createDataFrame(big, "vec_id long, embedding array<double>")
+    got = {}
+    for r in block_knn.nearest(df, df.where("vec_id % 20 = 0"), k=2).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["score"]))
+    for q, vector in big[:2]:
+        scores = [(sum(np.float64(x) * np.float64(y) for x, y in zip(vector, v, strict=True)), i) for i, v in big if i != q]
+        want = sorted(((-np.inf if np.isnan(s) else s, i) for s, i in scores), key=lambda x: (-x[0], x[1]))[:2]
+        assert sorted(got[q]) == [(n, i, s) for n, (s, i) in enumerate(want, 1)]
+
+
+def test_runs_beside_many_spans():
+    from matchloom.llm import secret_scan
+
+    rng = random.Random(1)
+    for _ in range(200):
+        text = "".join(rng.choice("ab1 /-") for _ in range(60))
+        spans = sorted(("hex", a, a + rng.randint(1, 15)) for a in (rng.randrange(60) for _ in range(rng.randint(0, 6))))
+        spans = sorted(spans, key=lambda s: s[1])
+        want = [m.span() for m in secret_scan.RUN.finditer(text) if not secret_scan.PLAIN.fullmatch(m[0]) and not any(s < m.end() and m.start() < e for _, s, e in spans)]
+        assert secret_scan.candidates(text, spans) == want
+    log = "".join(f"h4sh/{k:024} {k:032x} t0k3n-{k:024}-x9\n" for k in range(40_000))  # 40,000 spans and 80,000 other runs
+    base = secret_scan.base_spans(log)
+    assert len(base) == 40_000 and len(secret_scan.candidates(log, base)) == 80_000
+
+
+def test_table_of_long_words():
+    """The worker's table is emptied by bytes, not by words alone; the ids stay right."""
+    import pandas as pd
+
+    from matchloom.llm import bpe
+
+    path, pattern = queries.tokenizer_path(), queries.tokenizer_pattern()
+    texts = ["".join(random.Random(k).choices("abcdefgh", k=20_000)) for k in range(30)]
+    held = []
+    plain = bpe.Words.__init__
+
+    def counted(self):
+        held.append(self.number.bytes if hasattr(self, "number") else 0)
+        plain(self)
+
+    bpe._LOADED.pop((path, pattern), None)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(bpe.Words, "__init__", counted)
+        patch.setattr(bpe, "TABLE_BYTES", 2_000_000)
+        got = [list(x) for _, lists in bpe.encoded(iter([pd.DataFrame({"id": range(30), "text": texts})]), path, pattern, 100_000) for x in lists]
+    bpe._LOADED.pop((path, pattern), None)
+    ranks = bpe._ranks(path, pattern)
+    assert got == [list(ranks.one_word(t.encode())) for t in texts]
+    assert len(held) > 3 and max(held) < 2_000_000 + 10 * 20_000 * bpe.CHAR_BYTES
+
+
+def test_a_header_that_never_ends():
+    import io
+
+    from matchloom.llm import warc
+
+    class Counted(io.BytesIO):
+        asked = 0
+
+        def read(self, n=-1):
+            self.asked += n
+            return super().read(n)
+
+    f = Counted(b"WARC/1.1\r\n" + b"x: " + b"y" * 30_000_000)
+    with pytest.raises(ValueError, match="does not end"):
+        list(warc.records(f, True, lambda row: True))
+    assert f.asked <= warc.HEADER_BYTES + (1 << 17)
