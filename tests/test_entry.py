@@ -30,7 +30,7 @@ def test_names():
     assert set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", ["catalogue_identifiers", "catalogue_hints", "catalogue_dimensions", "join_partial", "join_relaxed", "spec_counts", "build_report", "match_decisions", "evidence_entries", "result_search", "result_items", "result_decisions", "result_candidates", "ranked_topk", "score_gap", "capped_candidates", "capped_routes", "catalogue_installation", "route_per_item", "spec_search", "candidate_scores"])
+@pytest.mark.parametrize("name", ["catalogue_identifiers", "catalogue_hints", "catalogue_dimensions", "join_partial", "join_relaxed", "spec_counts", "build_report", "match_decisions", "evidence_entries", "result_search", "result_decisions", "result_candidates", "capped_candidates", "capped_routes", "catalogue_installation", "route_per_item", "spec_search", "candidate_scores"])
 def test_against_sql(spark, name):
     got, want = compared(spark, QUERIES[name], ORACLES[name])
     assert got == want

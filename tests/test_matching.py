@@ -136,7 +136,7 @@ def test_a_replacement_cut_short(spark, built, tmp_path):
     target = tmp_path / "db"
     shutil.copytree(built[0] / "db", target)
     (target / "products").rename(target / "products-replaced")
-    shutil.copytree(target / "products-replaced", target / "_new_products")
+    shutil.copytree(target / "products-replaced", target / "_new_products", dirs_exist_ok=True)
     seen = jobs.inspect(spark, str(target)).first()
     assert seen["rows"] == 5 and seen["metadata"]["source_rows"] == "5"
     jobs.build(spark, write_csv(tmp_path / "c.csv", [{"id": "A"}]), str(target))
