@@ -10,7 +10,9 @@ greatest alone.
 Elements that name their role are used as hard borders: navigation, headers of the page,
 footers, asides, and blocks whose class or id marks adverts, menus, notices, sidebars or
 reader comments count as no text (within an article, and for ids of sections anywhere, only whole
-classes and ids of a narrower list do, and ids of headings never). ``article`` and ``main``
+classes and ids of a narrower list do, and ids of headings never). What is dropped for its class, or for being a form, is only set
+aside: it comes back where it holds an article, or on pages without one most of the page's text, as wrappers of whole pages do; reader
+comments come back only where they hold the page's main element or title. An ``article`` marked as a comment, or within comments, is one. ``article`` and ``main``
 elements weigh on the distribution: their lines count as surges each, so nothing within
 them is lost, and where they hold a third of the page's text the other lines count nothing. On other pages
 everything from the first surge to the last dive is kept, and with it the short
@@ -70,9 +72,11 @@ NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 #: Whole classes and ids that mark the same within an article, where ids are often slugs of headings.
 INNER_MARKS = re.compile(
-    r"(?:ads?|adverts?|advertisements?|advertising|sponsored|promo|comments?|comment-?list|replies|respond|disqus(?:_thread)?|share|sharing|share-(?:bar|buttons?|links)|social-(?:bar|buttons?|links|share)|related-(?:articles|links|posts|stories)|newsletter(?:-signup)?|subscribe|signup|sidebar|breadcrumbs?|pagination|pager|nav|navbar|navigation|cookie-(?:banner|consent|notice)|popup)",
+    r"(?:(?:ads?|adverts?|cookies?|newsletter|comments?|sponsor(?:ed)?|promo|site|share|social)-(?:slot|bar|box|area|unit|banner|notice|wrapper|section|container|list|form|widget)|ads?|adverts?|advertisements?|advertising|sponsored|promo|comments?|comment-?list|replies|respond|disqus(?:_thread)?|share|sharing|share-(?:bar|buttons?|links)|social-(?:bar|buttons?|links|share)|related-(?:articles|links|posts|stories)|newsletter(?:-signup)?|subscribe|signup|sidebar|breadcrumbs?|pagination|pager|nav|navbar|navigation|cookie-(?:banner|consent|notice)|popup)",
     re.I,
 )
+#: Words in a class or id that mark reader comments.
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|replies|disqus|respond)(?:$|[\s_-])", re.I)
 ROLES = re.compile(r"navigation|complementary|contentinfo|banner", re.I)
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 #: Parts of a class that tell what an element is with or without, not what it is.
@@ -82,19 +86,29 @@ SPACE = re.compile(r"\s+")
 RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 
 
-def roles_of(name: str, rest: str, within: bool) -> tuple[bool, bool]:
-    """Whether the attributes of a tag mark it as no text of the article, and whether they hide it; ``within``: it stands in an article."""
-    marked = hidden = False
+def roles_of(name: str, rest: str, within: bool) -> tuple[bool, bool, bool]:
+    """Whether the attributes of a tag mark it as no text of the article, whether as comments, and whether they hide it; ``within``: it stands in an article."""
+    marked = hidden = talk = False
     for key, a, b, c in ATTRIBUTE.findall(rest):
         key, value = key.lower(), a or b or c
         if key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true" or key == "style" and UNSHOWN.search(value):
             hidden = True
         elif key in ("class", "id", "role") and not (key == "id" and name in HEADINGS):  # such an id is an anchor
+            talk = talk or bool(COMMENTS.search(MODIFIER.sub("", value)))
             if within or key == "id" and name == "section":
                 marked = marked or any((ROLES if key == "role" else INNER_MARKS).fullmatch(x) for x in value.split())
             else:
                 marked = marked or bool(MARKS.search(MODIFIER.sub("", value)))
-    return marked, hidden
+    return marked, talk, hidden
+
+
+class Aside:
+    """An element set aside, within ``parent``: what tells whether it comes back."""
+
+    def __init__(self, parent: int, talk: bool) -> None:
+        self.parent, self.talk = parent, talk
+        self.chars = 0
+        self.article = self.whole = False  # whether it holds an article, and the page's main element or title
 
 
 class Place(NamedTuple):
@@ -110,6 +124,8 @@ class Open(NamedTuple):
 
     name: str
     drops: bool
+    aside: bool = False
+    article: bool = False
 
 
 class Scanner:
@@ -123,6 +139,11 @@ class Scanner:
         self.lines: list[str] = []
         self.inside: list[bool] = []
         self.places: list[Place] = []
+        self.asides: list[Aside] = []
+        self.aside_of: list[int] = []  # by line, the innermost element set aside, or -1
+        self.begun_before: list[list[int]] = []  # by line, those begun since the line before
+        self.begun: list[int] = []
+        self.open_asides: list[int] = []
         self.held: list[str] = []
         self.loose = self.border = False  # whether text outside links is held, and whether a border came before it
         self.stack: list[Open] = []
@@ -144,11 +165,21 @@ class Scanner:
                 self.lines.append(text)
                 self.inside.append(self.articles > 0)
                 self.places.append(Place(self.headings > 0, not self.loose, self.border))
-                self.border = False
+                self.aside_of.append(self.open_asides[-1] if self.open_asides else -1)
+                self.begun_before.append(self.begun)
+                self.border, self.begun = False, []
         self.loose = False
 
-    def push(self, name: str, drops: bool) -> None:
-        self.stack.append(Open(name, drops))
+    def push(self, name: str, drops: bool, aside: bool = False, talk: bool = False) -> None:
+        article = name in ("article", "main") and not (aside and talk)
+        self.stack.append(Open(name, drops, aside, article))
+        if not self.drops and self.open_asides and (article or name == "h1"):
+            held = self.asides[self.open_asides[-1]]
+            held.article, held.whole = held.article or article, held.whole or name in ("main", "h1")
+        if aside:
+            self.asides.append(Aside(self.open_asides[-1] if self.open_asides else -1, talk))
+            self.open_asides.append(len(self.asides) - 1)
+            self.begun.append(len(self.asides) - 1)
         self.count[name] += 1
         self.scopes[-1][name] += 1
         if name in SCOPES:
@@ -159,14 +190,16 @@ class Scanner:
         if name in self.within:
             self.within[name][-1] += 1
         self.drops += drops
-        self.articles += name in ("article", "main")
+        self.articles += article
         self.headings += name in HEADINGS
 
     def pop(self) -> str:
-        name, drops = self.stack[-1]
-        if name in BLOCKS or drops:
+        name, drops, aside, article = self.stack[-1]
+        if name in BLOCKS or drops or aside:
             self.flush()
         self.stack.pop()
+        if aside:
+            self.open_asides.pop()
         if name in SCOPES:
             self.scopes.pop()
         self.count[name] -= 1
@@ -177,7 +210,7 @@ class Scanner:
             if name in lists:
                 self.within[inner].pop()
         self.drops -= drops
-        self.articles -= name in ("article", "main")
+        self.articles -= article
         self.headings -= name in HEADINGS
         return name
 
@@ -194,18 +227,20 @@ class Scanner:
             if self.within[ended][-1] > 0:
                 self.close(ended)
         quiet = self.drops > 0
-        drops, marked = name in DROPPED, False
+        drops, marked, talk, hidden = name in DROPPED and name != "form", False, False, False
         if not quiet and not drops and rest:
-            marked, hidden = roles_of(name, rest, self.articles > 0)
-            drops = marked or hidden
+            marked, talk, hidden = roles_of(name, rest, self.articles > 0)
         if name == "header" and not self.articles:  # of the page, not of the article
             drops = True
-        drops = drops and name not in ("body", "html", "article", "main")
-        if name in BLOCKS or drops:
+        drops = (drops or hidden and name not in ("article", "main")) and name not in ("body", "html")
+        if name in ("article", "main"):
+            marked = marked and talk and name == "article"
+        aside = not quiet and not drops and (marked or name == "form") and name not in ("body", "html")
+        if name in BLOCKS or drops or aside:
             self.flush()
         self.border = self.border or not quiet and drops and (marked or name in BORDERS)
         if name not in VOID and name not in RAW and not rest.endswith("/"):
-            self.push(name, drops)
+            self.push(name, drops, aside, talk)
 
     def ended(self, name: str) -> None:
         if name == "br" or name == "p" and not self.scopes[-1]["p"]:
@@ -263,11 +298,37 @@ class Scanner:
         return end + len(mark) if end >= 0 else len(page)
 
 
+#: Share of a page's text, and characters, beyond which an element is a wrapper of the page, whatever its class says; a notice may hold most of a page of a few words.
+WRAPPED_SHARE, WRAPPED_CHARS = 1 / 2, 120
+
+
 def lines_of(page: str) -> tuple[list[str], list[bool], list[Place]]:
     """The text lines of a page, whether each lies in an ``article`` or ``main`` element, and how it stands."""
     scanner = Scanner()
     scanner.read(page)
-    return scanner.lines, scanner.inside, scanner.places
+    asides = scanner.asides
+    for line, g in zip(scanner.lines, scanner.aside_of, strict=True):
+        if g >= 0:
+            asides[g].chars += len(line)
+    for x in reversed(asides):  # from the inner ones outwards; comments count for nothing around them
+        if x.parent >= 0 and not x.talk:
+            outer = asides[x.parent]
+            outer.chars, outer.article, outer.whole = outer.chars + x.chars, outer.article or x.article, outer.whole or x.whole
+    # Where an article tells what the text is, size tells nothing.
+    named = any(x.article for x in asides) or any(own and g < 0 for own, g in zip(scanner.inside, scanner.aside_of, strict=True))
+    least, stays = WRAPPED_SHARE * sum(map(len, scanner.lines)), []
+    for x in asides:
+        wraps = x.article or not named and x.chars > max(least, WRAPPED_CHARS)
+        stays.append((x.whole if x.talk else wraps) and (x.parent < 0 or stays[x.parent]))
+    lines, inside, places, bordered = [], [], [], False
+    for line, own, place, g, begun in zip(scanner.lines, scanner.inside, scanner.places, scanner.aside_of, scanner.begun_before, strict=True):
+        bordered = bordered or place.bordered or not all(stays[k] for k in begun)
+        if g < 0 or stays[g]:
+            lines.append(line)
+            inside.append(own)
+            places.append(place._replace(bordered=bordered))
+            bordered = False
+    return lines, inside, places
 
 
 #: Share of a page's text that its article elements hold, from which on they bound the search.

@@ -297,3 +297,31 @@ def test_a_header_that_never_ends():
     with pytest.raises(ValueError, match="does not end"):
         list(warc.records(f, True, lambda row: True))
     assert f.asked <= warc.HEADER_BYTES + (1 << 17)
+
+
+LONG = "The long text of the article goes on for more than one hundred and twenty characters, as running text of pages mostly does, so that it surges."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<form><article><p>{LONG}</p></article></form>", LONG),
+        (f"<form><div><p>{LONG}</p></div></form>", LONG),
+        (f"<div class='layout sidebar-right'><article><p>{LONG}</p></article></div>", LONG),
+        (f"<div id='page' class='side by'><main><p>{LONG}</p></main></div>", LONG),
+        (f"<section class='news alert'><article><p>{LONG}</p></article></section>", LONG),
+        *((f"<article><p>{LONG}</p><div class='{k}'>buy this now</div></article>", LONG) for k in ("ad-slot", "cookie-bar", "site-notice", "comments-area", "newsletter-box")),
+        (f"<article><p>{LONG}</p></article><section id='comment-section'><article><p>{LONG} No!</p></article></section>", LONG),
+        (f"<article><p>{LONG}</p></article><article class='comment'><p>{LONG} Yes!</p></article>", LONG),
+        (f"<p>{LONG}</p><form><label>mail</label></form><p>{LONG}</p>", f"{LONG} {LONG}"),
+        (f"<div class='single comments-open'><h1>Title</h1><p>{LONG}</p></div>", f"Title {LONG}"),
+        (f"<div class=sidebar><div class=promo><article><p>{LONG}</p></article></div><div class=ad>{LONG}</div></div>", LONG),
+        (f"<article><p>{LONG}</p></article><div class=sidebar>{LONG * 5}</div>", LONG),
+        (f"<p>Short.</p><div class=notice>{LONG[:100]}</div>", "Short."),
+    ],
+)
+def test_what_is_set_aside(page, want):
+    """Wrappers of articles and of whole pages come back, whatever their class; adverts, notices and comments don't."""
+    from matchloom.llm import html_text
+
+    assert html_text.main_text(page) == want
