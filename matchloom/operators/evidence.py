@@ -140,11 +140,19 @@ def _sequence_ratio(pairs: pd.Series) -> pd.Series:
     return pairs.map(lambda p: max((SequenceMatcher(None, x["a"], x["b"]).ratio() for x in p), default=0.0))
 
 
-def with_similarity(rows: DataFrame) -> DataFrame:
-    """Add ``similarity`` of the codes, for candidates found by a part of an identifier.
+#: The characters of relaxed codes.
+CODE_CHARACTERS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+#: In SQL over a pair ``p``: how many characters its codes have in common, wherever they stand; no sequence of matches has more.
+_SHARED = " + ".join(f"least(length(p.a) - length(replace(p.a, '{c}', '')), length(p.b) - length(replace(p.b, '{c}', '')))" for c in CODE_CHARACTERS)
+
 
-    A code that holds the other has a ratio of its lengths alone. Only pairs that could beat
-    those go through the sequence matcher.
+def open_pairs(rows: DataFrame) -> DataFrame:
+    """Add ``similarity``, the best ratio that lengths alone tell, and ``_pairs``, the code pairs that could beat it.
+
+    A code that holds the other has a ratio of its lengths; any other pair has at most that of the characters that both
+    have, counted with repeats.
     """
     i, c = (lambda n: F.col(f"i_{n}")), (lambda n: F.col(f"c_{n}"))
     pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
@@ -152,9 +160,16 @@ def with_similarity(rows: DataFrame) -> DataFrame:
     pairs = F.filter(F.concat(F.array(pair(i("product_code_relaxed"), c("full_code_relaxed"))), public), lambda p: (p["a"] != "") & (p["b"] != ""))
     least = lambda p: 2.0 * F.least(F.length(p["a"]), F.length(p["b"])) / (F.length(p["a"]) + F.length(p["b"]))
     held = lambda p: p["a"].contains(p["b"]) | p["b"].contains(p["a"])
-    rows = rows.withColumn("_pairs", pairs)
+    rows = rows.withColumn("_pairs", F.array_distinct(pairs))
     rows = rows.withColumn("similarity", F.coalesce(F.array_max(F.transform(F.filter("_pairs", held), least)), F.lit(0.0)))
-    rows = rows.withColumn("_pairs", F.filter("_pairs", lambda p: ~held(p) & (least(p) > F.col("similarity"))))
+    over = lambda n: f"2.0D * ({n}) / (length(p.a) + length(p.b)) > similarity"
+    beats = f"not contains(p.a, p.b) and not contains(p.b, p.a) and {over('least(length(p.a), length(p.b))')} and {over(_SHARED)}"
+    return rows.withColumn("_pairs", F.expr(f"filter(_pairs, p -> {beats})"))
+
+
+def with_similarity(rows: DataFrame) -> DataFrame:
+    """Add ``similarity`` of the codes, for candidates found by a part of an identifier; only ``open_pairs`` go through the sequence matcher."""
+    rows = open_pairs(rows)
     plain = rows.where(F.size("_pairs") == 0).drop("_pairs")
     matched = rows.where(F.size("_pairs") > 0).withColumn("similarity", F.greatest("similarity", _sequence_ratio("_pairs"))).drop("_pairs")
     return plain.unionByName(matched)

@@ -160,3 +160,20 @@ def test_no_specification_search(spark):
     assert rows_of(got.best(10)) == plain_best(got)(10)
     assert jobs.answer(raw.where("item_key = 'b'"), made).best(2).count() == 0
     made.unpersist()
+
+
+def test_similarity_of_open_pairs(spark):
+    """The greatest ratio of all code pairs, though few of them go through the sequence matcher."""
+    from difflib import SequenceMatcher
+
+    rng = random.Random(12)
+    code = lambda: "".join(rng.choices("ABCD123", k=rng.randint(0, 9)))
+    data = [(k, code(), [code() for _ in range(rng.randrange(3))], code(), code(), code()) for k in range(400)]
+    rows = staged(spark.createDataFrame(data, "k int, i_product_code_relaxed string, i_public_codes_relaxed array<string>, c_full_code_relaxed string, c_public1_relaxed string, c_public2_relaxed string"), "codes")
+    pairs = {k: [(a, b) for a, b in [(p, f), *((v, c) for v in public for c in (one, two))] if a and b] for k, p, public, f, one, two in data}
+    want = {k: max((SequenceMatcher(None, a, b).ratio() for a, b in v), default=0.0) for k, v in pairs.items()}
+    got = {r["k"]: r["similarity"] for r in evidence.with_similarity(rows).collect()}
+    assert got == pytest.approx(want, abs=1e-12)
+    left = sum(len(r["_pairs"]) for r in evidence.open_pairs(rows).collect())
+    held = sum(a in b or b in a for v in pairs.values() for a, b in v)
+    assert 0 < left < 0.8 * (sum(map(len, pairs.values())) - held)
