@@ -177,3 +177,14 @@ def test_similarity_of_open_pairs(spark):
     left = sum(len(r["_pairs"]) for r in evidence.open_pairs(rows).collect())
     held = sum(a in b or b in a for v in pairs.values() for a, b in v)
     assert 0 < left < 0.8 * (sum(map(len, pairs.values())) - held)
+
+
+def test_no_growing_side_is_broadcast(spark):
+    """Small as these tables are: Spark takes large ones for as small, by their compressed files and before explodes."""
+    made = staged(catalogue.normalize_catalogue(fixtures.catalogue_source(spark, SF)), "catalogue")
+    got = jobs.answer(fixtures.raw_items(spark, SF), made)
+    asked = candidates.relaxed_values(got.questions)
+    parts = candidates.by_partial(asked, made, chunks=1), candidates.by_partial(asked, made, chunks=2), candidates.by_relaxed(asked, made)
+    for df in (*parts, got.found.pairs, got.routes, got.scored, got.best(2), items.per_item(got.routes, got.items)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "Join" in plan
