@@ -188,3 +188,19 @@ def test_no_growing_side_is_broadcast(spark):
     for df in (*parts, got.found.pairs, got.routes, got.scored, got.best(2), items.per_item(got.routes, got.items)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Broadcast" not in plan and "Join" in plan
+
+
+def test_items_of_one_key_are_dealt(spark):
+    """All items ask for one key; they meet its rows in tasks of equal size."""
+    asked = spark.range(8000).select(F.col("id").cast("string").alias("item_key"), F.lit("a").alias("category"), F.lit("").alias("cutout_size"), F.lit("").alias("fixture_size"))
+    hits = spark.range(20).select(*(F.lit(v).alias(k) for k, v in zip(candidates.SPEC_KEYS, ("a", "", ""), strict=True)), F.concat(F.lit("P"), "id").alias("id"))
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(keep, ("false", "4"), strict=True):
+            spark.conf.set(k, v)
+        met = candidates.deal(asked, "item_key", hits, list(candidates.SPEC_KEYS), 64).select("item_key", "id")
+        sizes = sorted(r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect())
+        assert sum(sizes) == met.distinct().count() == 160_000 and len(sizes) == 4 and sizes[-1] <= 3 * sizes[0]
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
