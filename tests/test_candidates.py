@@ -198,9 +198,20 @@ def test_items_of_one_key_are_dealt(spark):
     try:
         for k, v in zip(keep, ("false", "4"), strict=True):
             spark.conf.set(k, v)
-        met = candidates.deal(asked, "item_key", hits, list(candidates.SPEC_KEYS), 64).select("item_key", "id")
+        met = candidates.deal(asked.withColumn("part", candidates.part_of("item_key", 64)), hits, list(candidates.SPEC_KEYS)).select("item_key", "id")
         sizes = sorted(r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect())
         assert sum(sizes) == met.distinct().count() == 160_000 and len(sizes) == 4 and sizes[-1] <= 3 * sizes[0]
     finally:
         for k, v in keep.items():
             spark.conf.set(k, v)
+
+
+def test_a_shared_strict_key_makes_no_pairs(spark):
+    """Forty items ask for the base number of sixty rows: what is kept is a row an item and a row a product."""
+    rows = [ROWS[0] | {"id": f"C{k:03}", "hinban": "X1", "key": f"K{k % 7}"} for k in range(60)]
+    made = staged(catalogue.normalize_catalogue(spark.createDataFrame([tuple(r.get(c, "") for c in catalogue.SOURCE_COLUMNS) for r in rows], ", ".join(f"{c} string" for c in catalogue.SOURCE_COLUMNS))), "catalogue")
+    raw = spark.createDataFrame([(str(k), "X1", f"K{k}") for k in range(40)], "item_key string, hinban string, key_hint string")
+    got = jobs.answer(raw, made)
+    assert (got.found.strict_items.count(), got.found.strict_rows.count(), got.found.identified.count(), got.found.pairs.count()) == (40, 60, 0, 2400)
+    assert {(r["route"], r["candidate_total"]) for r in got.routes.collect()} == {("exact_identifier", 60)}
+    assert rows_of(got.best(3)) == plain_best(got)(3)
