@@ -215,3 +215,29 @@ def test_a_shared_strict_key_makes_no_pairs(spark):
     assert (got.found.strict_items.count(), got.found.strict_rows.count(), got.found.identified.count(), got.found.pairs.count()) == (40, 60, 0, 2400)
     assert {(r["route"], r["candidate_total"]) for r in got.routes.collect()} == {("exact_identifier", 60)}
     assert rows_of(got.best(3)) == plain_best(got)(3)
+
+
+def test_parts_follow_the_askers_of_a_key(spark):
+    """A key that few ask for is dealt to one part, however many questions there are in all."""
+    asked = spark.range(3010).select(F.col("id").alias("item_key"), F.when(F.col("id") < 3000, "a").otherwise("b").alias("category"))
+    parts = {r["category"]: sorted(r["parts"]) for r in candidates.parted(asked, ["category"], questions=1000).groupBy("category").agg(F.collect_set("part").alias("parts")).collect()}
+    assert parts == {"a": [0, 1, 2], "b": [0]}
+
+
+@pytest.mark.parametrize("keep", [1, 4, 40])
+def test_a_share_of_the_signatures_bounds_the_others(spark, monkeypatch, keep):
+    """Most pairs lie behind the bound, also where scores tie; what ranks is the same. Where the share has fewer than ``keep``, nothing is bounded."""
+    rows = [ROWS[0] | {"id": f"C{k:03}", "hinban": f"X{k}", "kigugroup": "ダウンライト", "y_kinou": f"消費電力:{k}.5W Ra{80 + k % 9}"} for k in range(400)]
+    made = staged(catalogue.normalize_catalogue(spark.createDataFrame([tuple(r.get(c, "") for c in catalogue.SOURCE_COLUMNS) for r in rows], ", ".join(f"{c} string" for c in catalogue.SOURCE_COLUMNS))), "catalogue")
+    raw = spark.createDataFrame([(str(k), "ダウンライト", k * 20.0 + 1, 80.0 + k) for k in range(12)], "item_key string, category string, power_consumption_w_num double, cri_ra_num double")
+    got = jobs.answer(raw, made)
+    seen = {}
+    monkeypatch.setattr(evidence, "staged", lambda df, name: seen.setdefault(name, staged(df, name)))
+    assert rows_of(got.best(keep)) == plain_best(got)(keep)
+    assert seen["signatures"].count() == 400
+    if keep == 40:
+        assert seen["floors"].count() == 0
+        return
+    assert seen["floors"].count() == 12
+    ahead = got.scored.join(seen["floors"].withColumnRenamed("i_item_key", "item_key"), "item_key").where(F.struct((0.0 - F.col("score")).alias("down"), "id") <= F.col("floor")).count()
+    assert 12 * keep <= ahead < 12 * 400 / 2
