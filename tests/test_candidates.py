@@ -241,3 +241,12 @@ def test_a_share_of_the_signatures_bounds_the_others(spark, monkeypatch, keep):
     assert seen["floors"].count() == 12
     ahead = got.scored.join(seen["floors"].withColumnRenamed("i_item_key", "item_key"), "item_key").where(F.struct((0.0 - F.col("score")).alias("down"), "id") <= F.col("floor")).count()
     assert 12 * keep <= ahead < 12 * 400 / 2
+
+
+def test_ranking_joins_written_scores(spark):
+    """Each way of searching writes its scores, so the plan that ranks them holds no rules and no joins; similarity reads what was found by identifier alone."""
+    made = staged(catalogue.normalize_catalogue(fixtures.catalogue_source(spark, SF)), "catalogue")
+    got = jobs.answer(fixtures.raw_items(spark, SF), made)
+    assert "Join" not in got.best(2)._jdf.queryExecution().optimizedPlan().toString()
+    files = " ".join(got.similar.inputFiles())
+    assert "/identified-" in files and not any(f"/{name}-" in files for name in ("strict-rows", "spec-hits", "spec-asked"))
