@@ -250,3 +250,19 @@ def test_ranking_joins_written_scores(spark):
     assert "Join" not in got.best(2)._jdf.queryExecution().optimizedPlan().toString()
     files = " ".join(got.similar.inputFiles())
     assert "/identified-" in files and not any(f"/{name}-" in files for name in ("strict-rows", "spec-hits", "spec-asked"))
+
+
+def test_identified_pairs_meet_their_rows_once(spark, monkeypatch):
+    """Scores of what identifiers found are written by one join with catalogue rows and one with items, whether found by a part or not; the same scores as by joining each kind alone."""
+    made = staged(catalogue.normalize_catalogue(fixtures.catalogue_source(spark, SF)), "catalogue")
+    got = jobs.answer(fixtures.raw_items(spark, SF), made)
+    joins = {}
+    monkeypatch.setattr(evidence, "staged", lambda df, name: (joins.update({name: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")}), staged(df, name))[1])
+    one = evidence.scored(got.found.identified, got.questions, made)
+    assert joins == {"named-scores": 2} and "Join" not in one._jdf.queryExecution().optimizedPlan().toString()
+    plain = evidence.pairs_with_rows(got.found.identified.where(~evidence.found_by_part()), got.questions, made).withColumn("similarity", F.lit(None).cast("double"))
+    each = evidence.with_scores(plain.unionByName(evidence.similar(got.found.identified, got.questions, made))).select(*evidence.NARROW)
+    kinds = {r["part"] for r in got.found.identified.select(evidence.found_by_part().alias("part")).distinct().collect()}
+    assert kinds == {True, False} and sorted(map(str, one.collect())) == sorted(map(str, each.collect()))
+    got.best(2)
+    assert joins["signatures"] == 1  # with catalogue rows: what keys find is read, not searched again
