@@ -34,7 +34,9 @@ from pyspark.sql.window import Window
 
 from .common import bounded_batches, new_folder, slices
 
-SLICE_BYTES, TABLE_BYTES, LONGEST, LINES = 4_000_000, 96_000_000, 64, 4096
+SLICE_BYTES, TABLE_BYTES, LONGEST, LINES = 4_000_000, 128_000_000, 64, 4096
+#: Words that the model gets as one text (longer ones take longer a word), and characters of texts that are encoded together.
+CHUNK, BLOCK_CHARS = 32, 400_000
 #: About what Python keeps for an entry of the table beside its characters and ids.
 ENTRY_BYTES = 160
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 64 << 10, 1024
@@ -52,14 +54,14 @@ class Encoder:
 
     A byte-level tokenizer without normalizer cuts a text before every single space, around every
     single line feed between characters that are no white space, and between letters and marks. What lies between is
-    encoded once: words of Latin letters, with the marks behind them, by the tokenizer's model; other new words by the tokenizer, as lines
-    of one text. Lines with other white space are encoded whole, as are texts for other tokenizers, and those that
+    encoded once: words of Latin letters by the tokenizer's model, many at a time, and those with marks behind them as the same
+    word and its marks; other new words by the tokenizer, as lines of one text. Lines with other white space are encoded whole, as are texts for other tokenizers, and those that
     contain a special token. A table that is full keeps the words of the last texts.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a worker for each core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
@@ -70,6 +72,14 @@ class Encoder:
         (line_feed,) = self._whole(["\n"])
         self.cuts = plain and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space", True) and len(line_feed) == 4
         self.line_feed = line_feed
+        #: The model under lines of spelt words, where a word after a space always begins with a token that begins with the space; which tokens do.
+        self.lines, self.leads = None, np.zeros(0, bool)
+        model, space = told["model"], " ".translate(ALPHABET)
+        if model.get("type") == "BPE" and space in model["vocab"] and not any(model.get(k) for k in ("unk_token", "dropout", "continuing_subword_prefix", "end_of_word_suffix")):
+            self.lines = Tokenizer(self.tokenizer.model)
+            self.lines.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+            self.leads = np.zeros(max(model["vocab"].values()) + 1, bool)
+            self.leads[[k for token, k in model["vocab"].items() if token.startswith(space)]] = True
         #: Ids of words at the beginning of a line, and after a space.
         self.first: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
@@ -95,23 +105,23 @@ class Encoder:
 
     def _learn(self, table: dict[str, bytes], words: set[str], lead: str) -> list[str]:
         """Encode new words; return those too long to be kept."""
-        new = words - table.keys()
-        plain, others, ids, ends = [], [], [], []
-        model, sign = self.tokenizer.model.tokenize, lead.translate(ALPHABET)
+        new = [w for w in words if w not in table]
+        bare, tailed, others = [], [], []
         for w in new:
             stem = w.rstrip(MARKS)
-            if not stem.isalpha() or not (ascii := stem.isascii()) and max(stem) > LAST_LATIN:
+            if not stem.isalpha() or not stem.isascii() and max(stem) > LAST_LATIN:
                 others.append(w)
-                continue
-            ids += [x.id for x in model(sign + (stem if ascii else stem.encode().decode("latin-1").translate(ALPHABET)))]  # one word to the tokenizer
-            ends.append(len(ids))
-            plain.append((w, w[len(stem) :]))
-            if plain[-1][1] not in self.tails:
-                (self.tails[plain[-1][1]],) = self._whole([plain[-1][1]])
-        raw, at = np.array(ids, "<u4").tobytes(), 0
-        for (w, tail), end in zip(plain, ends, strict=True):
-            table[w] = raw[4 * at : 4 * end] + self.tails[tail]
-            at = end
+            elif len(stem) == len(w):
+                bare.append(w)
+            else:
+                tailed.append((w, stem))
+        table.update(self._modelled(bare, lead))
+        alone = self._modelled([stem for stem in {stem for _, stem in tailed} if stem not in table], lead)
+        for w, stem in tailed:
+            tail = w[len(stem) :]
+            if tail not in self.tails:
+                (self.tails[tail],) = self._whole([tail])
+            table[w] = (alone[stem] if stem in alone else table[stem]) + self.tails[tail]
         for s in range(0, len(others), LINES):
             some = others[s : s + LINES]
             ids = np.frombuffer(self._whole(["\n".join([lead + w for w in some])])[0], "<u4")
@@ -120,17 +130,63 @@ class Encoder:
             for w, end in zip(some, ends, strict=True):
                 table[w] = raw[4 * at : 4 * end]
                 at = end + 1
-        self.held += sum(ENTRY_BYTES + len(w) + len(table[w]) for w in new)
+        self.held += ENTRY_BYTES * len(new) + sum(map(len, new)) + sum(map(len, map(table.__getitem__, new)))
         return [w for w in new if len(w) > LONGEST]
 
+    def _modelled(self, words: list[str], lead: str) -> dict[str, bytes]:
+        """Ids of words of letters, each one word to the tokenizer."""
+        sign, out = lead.translate(ALPHABET), {}
+        for s in range(0, len(words), LINES):
+            some = words[s : s + LINES]
+            spelt = [sign + (w if w.isascii() else w.encode().decode("latin-1").translate(ALPHABET)) for w in some]
+            ids: list[int] = []
+            if lead and self.lines is not None:
+                for x in self.lines.encode_batch_fast(["\n".join(spelt[k : k + CHUNK]) for k in range(0, len(spelt), CHUNK)], add_special_tokens=False):
+                    ids += x.ids
+                raw = np.array(ids, "<u4")
+                ends = [*np.flatnonzero(self.leads[raw]).tolist()[1:], len(ids)]
+            else:
+                ends = []
+                for w in spelt:
+                    ids += [x.id for x in self.tokenizer.model.tokenize(w)]
+                    ends.append(len(ids))
+                raw = np.array(ids, "<u4")
+            at, held = 0, raw.tobytes()
+            for w, end in zip(some, ends, strict=True):
+                out[w] = held[4 * at : 4 * end]
+                at = end
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        inner: set[str] = set()
+        firsts: set[str] = set()
+        out: list[bytes] = []
+        some, size = [], 0
+        for k, text in enumerate(texts):
+            some.append(text)
+            size += len(text)
+            if size > BLOCK_CHARS or k == len(texts) - 1:
+                out += self._block(some, inner, firsts)
+                some, size = [], 0
+        if self.held > TABLE_BYTES:
+            last = [(self.spaced, inner), (self.first, firsts)]
+            self.spaced, self.first = ({w: table[w] for w in words if w in table} for table, words in last)
+            self.tails = {"": b""}
+            self.held = sum(ENTRY_BYTES + len(w) + len(ids) for table in (self.spaced, self.first) for w, ids in table.items())
+            if self.held > TABLE_BYTES // 2:
+                self.spaced, self.first, self.held = {}, {}, 0
+        return out
+
+    def _block(self, texts: list[str], inner: set[str], firsts: set[str]) -> list[bytes]:
+        """Ids of a few texts; add their words to ``inner``, and those at the beginning of a line to ``firsts``."""
         cut = [self.parts(t) for t in texts]
         lines = [x for parts in cut for x in parts if isinstance(x, list)]
         whole = list({x for parts in cut for x in parts if isinstance(x, str)})
         once = dict(zip(whole, self._whole(whole), strict=True))
-        inner, firsts = set().union(*[x[1:] for x in lines]), {x[0] for x in lines}
-        long = [(self.spaced, self._learn(self.spaced, inner, " ")), (self.first, self._learn(self.first, firsts, ""))]
-        out = []
+        begin = {x[0] for x in lines}
+        spaced = set().union(*[x[1:] for x in lines])
+        long = [(self.spaced, self._learn(self.spaced, spaced, " ")), (self.first, self._learn(self.first, begin, ""))]
+        out, find = [], self.spaced.__getitem__
         for parts in cut:
             made: list[bytes] = []
             for k, x in enumerate(parts):
@@ -140,18 +196,13 @@ class Encoder:
                     made.append(once[x])
                 else:
                     made.append(self.first[x[0]])
-                    made += map(self.spaced.__getitem__, x[1:])
+                    made += map(find, x[1:])
             out.append(b"".join(made))
         for table, words in long:
             for w in words:
                 self.held -= ENTRY_BYTES + len(w) + len(table.pop(w))
-        if self.held > TABLE_BYTES:
-            last = [(self.spaced, inner), (self.first, firsts)]
-            self.spaced, self.first = ({w: table[w] for w in words if w in table} for table, words in last)
-            self.tails = {"": b""}
-            self.held = sum(ENTRY_BYTES + len(w) + len(ids) for table in (self.spaced, self.first) for w, ids in table.items())
-            if self.held > TABLE_BYTES // 2:
-                self.spaced, self.first, self.held = {}, {}, 0
+        inner |= spaced
+        firsts |= begin
         return out
 
 

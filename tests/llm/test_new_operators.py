@@ -113,6 +113,25 @@ def test_encoder_tables_and_other_tokenizers(library, monkeypatch):
     assert np.frombuffer(other.encode(["Two  Words\nhere"])[0], "<u4").tolist() == other.tokenizer.encode("Two  Words\nhere", add_special_tokens=False).ids
 
 
+def test_words_reach_the_model_once_without_their_marks(monkeypatch):
+    """Words of letters go to the model many at a time, in a block of texts each once however it is marked; the ids are those of whole texts, for blocks of any size."""
+    monkeypatch.setattr(token_files, "CHUNK", 3)
+    made, sent = token_files.Encoder(BYTE_BPE), []
+
+    class Lines:
+        def encode_batch_fast(self, texts, *, whole=made.lines, **kw):
+            sent.extend(w for t in texts for w in t.split("\n"))
+            return whole.encode_batch_fast(texts, **kw)
+
+    made.lines = Lines()
+    texts = ["An alpha, alpha. alpha beta!", "A beta; gamma: \u00e9t\u00e9! \u00e9t\u00e9", "", "The gamma alpha) \u0120 \u0120, delta\nalpha beta\n\nat x1 delta?!", "A beta alpha"]
+    want = [x.ids for x in made.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in made.encode(texts)] == want
+    assert len(sent) == len(set(sent)) == 6  # alpha, beta, gamma, delta and two that aren't ASCII
+    monkeypatch.setattr(token_files, "BLOCK_CHARS", 20)
+    assert [np.frombuffer(x, "<u4").tolist() for x in token_files.Encoder(BYTE_BPE).encode(texts)] == want
+
+
 def test_token_files_against_library(spark, library):
     rng = random.Random(9)
     words = "the of and naïve straße 東京 42 it's x,y \n \t".split(" ")
