@@ -70,3 +70,10 @@ def test_parts_of_documents(got):
     want = sorted((k, c["rank"], c["record"]["id"], of("+", c["matched_fields"]) + of("-", c["conflicts"])) for k, r in whole.items() for c in r["candidates"])
     shown = made.shown(("field", "weight")).select("item_key", "rank", "id", "matched_fields", "conflicts").collect()
     assert sorted((r["item_key"], r["rank"], r["id"], of("+", r["matched_fields"]) + of("-", r["conflicts"])) for r in shown) == want
+
+
+@pytest.mark.parametrize("name, no", [("result_search", {"strict-scores", "spec-scores", "ranked", "results"})])
+def test_only_what_is_shown_is_made(spark, folder, seen, name, no):
+    """A query writes no documents, and scores no candidates where it shows none."""
+    queries.QUERIES[name](spark, folder)
+    assert seen and not no & set(seen)
