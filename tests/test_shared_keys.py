@@ -72,7 +72,7 @@ def test_parts_of_documents(got):
     assert sorted((r["item_key"], r["rank"], r["id"], of("+", r["matched_fields"]) + of("-", r["conflicts"])) for r in shown) == want
 
 
-@pytest.mark.parametrize("name, no", [("result_search", {"strict-scores", "spec-scores", "ranked", "results"})])
+@pytest.mark.parametrize("name, no", [("result_search", {"strict-scores", "spec-scores", "ranked", "results"}), ("result_items", {"catalogue", "spec-keys", "ranked", "results"})])
 def test_only_what_is_shown_is_made(spark, folder, seen, name, no):
     """A query writes no documents, and scores no candidates where it shows none."""
     queries.QUERIES[name](spark, folder)
